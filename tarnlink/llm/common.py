@@ -32,7 +32,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size: for a scan, the bytes of its files. Used to size partitions."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def held_out(doc_id: Column | str) -> Column:
