@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, sharding
+from . import flac, mixing, ngram_join, sharding
 from .common import table
 
 
@@ -25,12 +25,17 @@ def op5_shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = flac.add_media(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return flac.features(media, ["doc_id", "n_bytes"])
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op4_mix_sources, op5_shard_histogram)}
+QUERIES = {f.__name__: f for f in (op1_flac_media, op2_ngram_join, op4_mix_sources, op5_shard_histogram)}
 
 ORACLE: dict[str, str] = {
     "op4_mix_sources": """
