@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, mixing, ngram_join, sharding
-from .common import table
+from . import flac, langid, mixing, ngram_join, sharding, toxicity
+from .common import held_out, table
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_flac_media, op2_ngram_join, op4_mix_sources, op5_shard_histogram)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    out = toxicity.score(docs, index, ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~held_out("doc_id"))
+    out = langid.predict(docs, model, ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "similarity", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_flac_media, op2_ngram_join, op4_mix_sources, op5_shard_histogram, op6_toxicity, op8_language_centroids)}
 
 ORACLE: dict[str, str] = {
     "op4_mix_sources": """

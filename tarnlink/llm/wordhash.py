@@ -62,13 +62,14 @@ class Words:
     hashes: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i + 1]]: runs of non-white bytes, A-Z in lower case."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _ISWORD) -> Words:
+    """Words of the texts data[offsets[i]:offsets[i + 1]], A-Z in lower case: runs of the bytes where kind holds, by
+    default the non-white ones."""
     base = int(offsets[0])
     offsets = offsets - base
     data = _LOWER[data[base : base + int(offsets[-1])]]
     n = len(data)
-    inside = _ISWORD[data]
+    inside = kind[data]
     fresh = np.ones(n + 1, dtype=bool)  # no word goes on over this byte's left edge
     if n:
         fresh[1:n] = ~inside[:-1]
