@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, langid, mixing, ngram_join, sharding, toxicity
-from .common import held_out, table
+from . import flac, langid, mixing, nbest, ngram_join, secrets, sharding, token_rollup, toxicity
+from .common import held_out, shared_dir, table
+
+#: Public tokenizer files; every executor has them at this path.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+RANKS, PIECES = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +56,34 @@ def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "similarity", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_flac_media, op2_ngram_join, op4_mix_sources, op5_shard_histogram, op6_toxicity, op8_language_centroids)}
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one batch of inserts into a new store; committing it again changes nothing."""
+    shared_dir(spark)
+    store = token_rollup.Store(spark, f"{spark.sparkContext.getCheckpointDir()}/rollup-{uuid.uuid4().hex}")
+    count = token_rollup.token_counter(RANKS)
+    docs = table(spark, sf_dir, "documents").select("source", "lang", count("text").alias("tokens"))
+    batch = token_rollup.deltas(docs, "byte_bpe_50k", op=F.lit("insert"), tokens=F.col("tokens"))
+    for _ in range(2):
+        store.commit("documents", batch)
+    return store.totals()
+
+
+def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encode(table(spark, sf_dir, "documents"), PIECES, ["doc_id"], digest=True)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    of = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    said = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    base = F.filter("findings", lambda f: f["kind"] != "novel")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(said(base), 256).alias("base_sha256"), said(F.col("findings")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_flac_media, op2_ngram_join, op4_mix_sources, op5_shard_histogram, op6_toxicity, op7_token_rollup, op8_language_centroids, op9_nbest_pieces, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {
     "op4_mix_sources": """
