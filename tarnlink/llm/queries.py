@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, langid, mixing, nbest, ngram_join, secrets, sharding, token_rollup, toxicity
+from . import flac, langid, mixing, nbest, ngram_join, pivots, secrets, sharding, token_rollup, toxicity
 from .common import held_out, shared_dir, table
 
 #: Public tokenizer files; every executor has them at this path.
@@ -22,6 +22,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.filter("q is not null").select("doc_id", F.when(F.col("q") >= 1, 2.0).otherwise(0.5).alias("weight"))
 
 
+def op3_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), quality=quality(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -83,7 +87,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_flac_media, op2_ngram_join, op4_mix_sources, op5_shard_histogram, op6_toxicity, op7_token_rollup, op8_language_centroids, op9_nbest_pieces, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_flac_media, op2_ngram_join, op3_pivot_index, op4_mix_sources, op5_shard_histogram, op6_toxicity, op7_token_rollup, op8_language_centroids, op9_nbest_pieces, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {
     "op4_mix_sources": """
