@@ -1,10 +1,66 @@
-"""Corpus pipeline: documents through the stages below, each written as Parquet and read again by the next."""
+"""Corpus pipeline: documents through five stages, each written as Parquet and read again by the next.
+
+toxicity drops documents that score 0.7 or more, near_duplicates leaves one document of each group (word 5-grams,
+Jaccard 0.8 or more), secrets replaces found secrets in the texts, mixing takes documents to the sources' target
+weights (a document taken twice is two rows), pieces encodes what is left. Stages keep the columns of documents up to
+the last. Ids name documents: rows that repeat an id and a text count once.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnlink.llm import mixing, nbest, ngram_join, secrets, toxicity
+from tarnlink.llm.common import held_out, shared_dir, table
+from tarnlink.llm.queries import PIECES, quality
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    return toxicity.without_toxic(docs, index)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    weights = quality(spark, sf_dir)
+    return mixing.apply_mix(docs, mixing.mix(docs, quality=weights), quality=weights)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return nbest.encode(docs, PIECES, ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", hide_secrets),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+#: Scores, components and segmentations have no SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    shared_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{i}-{name}")
