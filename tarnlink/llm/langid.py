@@ -166,4 +166,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64()), pa.array(far, pa.bool_())], names=[*keep, "lang_pred", "score", "similarity", "rejected"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], text_col).mapInArrow(run, f"{schema}lang_pred string, score double, similarity double, rejected boolean")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"{schema}lang_pred string, score double, similarity double, rejected boolean")

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import plan_bytes, settle
 from .components import components
@@ -325,14 +326,40 @@ def links(docs: DataFrame, table: DataFrame, text_col: str, k: int, num: int, de
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, class (equal sets share one). Texts are linked when
-    den * intersection >= num * union of their shingle sets."""
+    """A row per document: doc_id, n_shingles, component_id, class (equal sets share one), group (the same for all
+    classes of a component; null without words). Texts are linked when den * intersection >= num * union of their
+    shingle sets."""
     table = prefixes(docs, id_col, text_col, k, num, den)
     roots = components(links(docs, table, text_col, k, num, den))
     full = table.filter("n > 0")
     least = full.groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(heads, "root").select(F.col("cls").alias("_c"), "component_id")
+    named = named.join(heads, "root").select(F.col("cls").alias("_c"), "component_id", F.col("root").alias("group"))
     out = table.join(named, (F.col("cls") == F.col("_c")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class"), "group")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component: the one of least id (null ids last). Rows without words all stay."""
+    found = settle(near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den).filter("n_shingles > 0").select("doc_id", "class", "group"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
+    best = found.groupBy("group").agg(F.min(key).alias("best")).select(F.col("group").alias("_g"), "best")
+    beside = found.join(best, F.col("group") == F.col("_g")).filter(~key.eqNullSafe(F.col("best")))
+    beside = settle(beside.select(F.col("doc_id").alias("_lost"), F.col("class").alias("_class")).distinct())
+    at, schema = docs.columns.index(text_col), StructType(docs.schema.fields).add("_tag", "long")
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = raw(batch.column(at))
+            cls = [_class_of(s) if len(s) else None for i, j in slabs(offsets) for s in shingle_sets(data, offsets[i : j + 1], k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], names=[*batch.schema.names, "_tag"])
+
+    small = beside.count() <= 500_000
+    rows = docs.mapInArrow(tag, schema)
+    lost = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_lost")) & (F.col("_tag") == F.col("_class"))
+    rows = rows.join(F.broadcast(beside) if small else beside, lost, "left_anti")
+    if found.groupBy("doc_id", "class").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return rows.drop("_tag")
+    worded = rows.filter("_tag is not null").dropDuplicates([id_col, "_tag"])  # repeated rows, where there are any
+    return worded.union(rows.filter("_tag is null")).drop("_tag")

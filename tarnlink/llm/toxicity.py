@@ -245,4 +245,20 @@ def score(docs: DataFrame, index: Index | None, keep: list[str], text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(shown, kind)], names=[*keep, "score", "evidence"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], text_col).mapInArrow(run, f"{schema}score double, evidence array<struct<example: long, toxic: int, similarity: double>>")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"{schema}score double, evidence array<struct<example: long, toxic: int, similarity: double>>")
+
+
+def without_toxic(docs: DataFrame, index: Index | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = raw(batch.column(at))
+            keep = []
+            for i, j in slabs(offsets):
+                for terms_of, x in index.vectors(data, offsets[i : j + 1]):
+                    keep.append(index.calibrated(index.vote(terms_of, x)[0] if len(terms_of) else index.prior) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs if index is None else docs.mapInArrow(run, docs.schema)
