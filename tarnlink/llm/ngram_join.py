@@ -347,7 +347,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     best = found.groupBy("group").agg(F.min(key).alias("best")).select(F.col("group").alias("_g"), "best")
     beside = found.join(best, F.col("group") == F.col("_g")).filter(~key.eqNullSafe(F.col("best")))
     beside = settle(beside.select(F.col("doc_id").alias("_lost"), F.col("class").alias("_class")).distinct())
-    at, schema = docs.columns.index(text_col), StructType(docs.schema.fields).add("_tag", "long")
+    at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields]).add("_tag", "long")
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
