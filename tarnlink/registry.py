@@ -233,12 +233,12 @@ def scalar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("select o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') as stamp, 'bytes=' || (o_orderkey * 10) || '-' || (o_orderkey * 10 + 99) as range_header, round(o_totalprice / nullif(o_custkey, 0), 6) as per, least(o_orderkey, 100)::bigint as low, 'order ' || o_orderkey || ' of ' || o_orderstatus as label from orders")
+@query("select o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') as stamp, 'bytes=' || (o_orderkey * 10) || '-' || (o_orderkey * 10 + 99) as range_header, coalesce(floor(o_totalprice / nullif(o_custkey, 0))::bigint, 0) as per, least(o_orderkey, 100)::bigint as low, 'order ' || o_orderkey || ' of ' || o_orderstatus as label from orders")
 def scalar_misc(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         "o_orderkey", F.date_format("o_orderdate", "yyyyMMdd_HHmmss").alias("stamp"), web.byte_range(F.col("o_orderkey") * 10, F.lit(100)).alias("range_header"),
-        F.round(F.try_divide("o_totalprice", "o_custkey"), 6).alias("per"), F.least("o_orderkey", F.lit(100)).cast("long").alias("low"), F.format_string("order %d of %s", "o_orderkey", "o_orderstatus").alias("label"),
+        F.coalesce(F.floor(F.try_divide("o_totalprice", "o_custkey")), F.lit(0)).alias("per"), F.least("o_orderkey", F.lit(100)).cast("long").alias("low"), F.format_string("order %d of %s", "o_orderkey", "o_orderstatus").alias("label"),
     )
 
 
