@@ -30,17 +30,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size: for a scan, the bytes of its files. Used to size partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes of all texts, measured: Catalyst knows the size of files only. Used to size partitions."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0)
 
 
 def held_out(doc_id: Column | str) -> Column:
     """True for the rows that no model may learn from: crc32 of the id as text leaves 1 modulo 3."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
-def spread(df: DataFrame, n: int, *keys: Column) -> DataFrame:
-    """df dealt evenly by a hash of keys over n partitions, each row on its own."""
-    return df.repartition(max(1, n), *keys)

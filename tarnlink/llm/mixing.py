@@ -105,16 +105,21 @@ def edges(mixed: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None, seed: str = "mix") -> DataFrame:
     """docs with the mix in effect: each row as often as the mix takes it. The row at a budget's edge stays whole;
-    rows without words stay once. Since a source's choice is a key threshold, texts are not exchanged."""
+    rows without words stay once. Since a source's choice is a key threshold, texts are
+    not exchanged (but to find their weights, where those are too many to send to all tasks)."""
     cols = docs.columns
     limits = edges(mixed).select(F.col("source").alias("_src"), F.col("epochs").alias("_epochs"), F.col("edge").alias("_edge"))
     out = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     if quality is not None:
-        out = out.join(quality.select(F.col("doc_id").alias("_qid"), F.col("weight").alias("_q")), F.col(id_col) == F.col("_qid"), "left")
+        weights = settle(quality.select(F.col("doc_id").alias("_qid"), F.col("weight").alias("_q")))
+        small = weights.count() <= 1_000_000
+        out = out.join(F.broadcast(weights) if small else weights, F.col(id_col) == F.col("_qid"), "left")
     else:
         out = out.withColumn("_q", F.lit(1.0))
     out = out.withColumn("_key", sample_key(F.col(id_col), F.coalesce("_q", F.lit(1.0)), seed))
-    out = out.join(limits, F.col(source_col).eqNullSafe(F.col("_src")), "left")
+    limits = settle(limits)  # a row per source
+    small = limits.count() <= 1_000_000
+    out = out.join(F.broadcast(limits) if small else limits, F.col(source_col).eqNullSafe(F.col("_src")), "left")
     taken = F.struct(F.col("_key").alias("key"), F.col(id_col).alias("doc_id"), F.col("_size").alias("size")) <= F.col("_edge")
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_epochs") + F.coalesce(taken, F.lit(False)).cast("long"))
     return (

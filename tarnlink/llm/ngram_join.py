@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import plan_bytes, settle
+from .common import text_bytes, settle
 from .components import components
 from .wordhash import U, mix, raw, shingle_sets, slabs
 
 NULL_ID = -(1 << 63)
 #: Classes that may share a shingle before blocks take over from pairs; classes in a block.
 FEW, BLOCK = 48, 256
-#: Input bytes for each bucket of shingles.
-BUCKET_BYTES = 5 << 20
+#: Bytes of text for each bucket of shingles.
+BUCKET_BYTES = 9 << 20
 _BLOBS = "part int, kind int, a binary, b binary, c binary, d binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abcd")])
 
@@ -172,7 +172,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     """A row per document: doc_id, n, cls, alone (shingles that no other document has) and toks, the rest of its
     rare-first prefix; position of toks[i] in the order: alone + i. Kept in the checkpoint folder."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    buckets = max(4, -(-plan_bytes(docs) // BUCKET_BYTES))
+    buckets = max(4, -(-text_bytes(rows, text_col) // BUCKET_BYTES))
     parts = max(4, buckets // 2)
     blobs = rows.mapInArrow(_dealt(buckets, parts, k), _BLOBS)
     blobs = blobs.repartition(parts, "part").mapInArrow(_shared(parts), _BLOBS)
