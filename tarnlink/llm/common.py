@@ -39,3 +39,13 @@ def held_out(doc_id: Column | str) -> Column:
     """True for the rows that no model may learn from: crc32 of the id as text leaves 1 modulo 3."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as far as df has such columns already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out

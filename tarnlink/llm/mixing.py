@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle
+from .common import WORD, fresh, settle
 
 #: Rows in one (source, key range) cell, on average.
 CELL_ROWS = 20_000
@@ -108,20 +108,19 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text
     rows without words stay once. Since a source's choice is a key threshold, texts are
     not exchanged (but to find their weights, where those are too many to send to all tasks)."""
     cols = docs.columns
-    limits = edges(mixed).select(F.col("source").alias("_src"), F.col("epochs").alias("_epochs"), F.col("edge").alias("_edge"))
-    out = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    size, key, q, qid, src, epochs, edge, times = fresh(docs, "_size", "_key", "_q", "_qid", "_src", "_epochs", "_edge", "_times")
+    out = docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     if quality is not None:
-        weights = settle(quality.select(F.col("doc_id").alias("_qid"), F.col("weight").alias("_q")))
+        weights = settle(quality.select(F.col("doc_id").alias(qid), F.col("weight").alias(q)))
         small = weights.count() <= 1_000_000
-        out = out.join(F.broadcast(weights) if small else weights, F.col(id_col) == F.col("_qid"), "left")
+        out = out.join(F.broadcast(weights) if small else weights, F.col(id_col) == F.col(qid), "left")
     else:
-        out = out.withColumn("_q", F.lit(1.0))
-    out = out.withColumn("_key", sample_key(F.col(id_col), F.coalesce("_q", F.lit(1.0)), seed))
-    limits = settle(limits)  # a row per source
+        out = out.withColumn(q, F.lit(1.0))
+    out = out.withColumn(key, sample_key(F.col(id_col), F.coalesce(q, F.lit(1.0)), seed))
+    limits = settle(edges(mixed).select(F.col("source").alias(src), F.col("epochs").alias(epochs), F.col("edge").alias(edge)))  # a row per source
     small = limits.count() <= 1_000_000
-    out = out.join(F.broadcast(limits) if small else limits, F.col(source_col).eqNullSafe(F.col("_src")), "left")
-    taken = F.struct(F.col("_key").alias("key"), F.col(id_col).alias("doc_id"), F.col("_size").alias("size")) <= F.col("_edge")
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_epochs") + F.coalesce(taken, F.lit(False)).cast("long"))
-    return (
-        out.withColumn("_times", times.cast("int")).filter("_times > 0").withColumn("_copy", F.explode(F.expr("array_repeat(1, _times)"))).select(*cols)
-    )
+    out = out.join(F.broadcast(limits) if small else limits, F.col(source_col).eqNullSafe(F.col(src)), "left")
+    taken = F.struct(F.col(key).alias("key"), F.col(id_col).alias("doc_id"), F.col(size).alias("size")) <= F.col(edge)
+    count = F.when(F.col(size) == 0, 1).otherwise(F.col(epochs) + F.coalesce(taken, F.lit(False)).cast("long"))
+    out = out.withColumn(times, count.cast("int")).filter(F.col(times) > 0)
+    return out.withColumn(size, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in cols])

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import text_bytes, settle
+from .common import fresh, settle, text_bytes
 from .components import components
 from .wordhash import U, mix, raw, shingle_sets, slabs
 
@@ -345,21 +345,22 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = settle(near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den).filter("n_shingles > 0").select("doc_id", "class", "group"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
     best = found.groupBy("group").agg(F.min(key).alias("best")).select(F.col("group").alias("_g"), "best")
+    tagged, lost, of = fresh(docs, "_tag", "_lost", "_class")
     beside = found.join(best, F.col("group") == F.col("_g")).filter(~key.eqNullSafe(F.col("best")))
-    beside = settle(beside.select(F.col("doc_id").alias("_lost"), F.col("class").alias("_class")).distinct())
-    at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields]).add("_tag", "long")
+    beside = settle(beside.select(F.col("doc_id").alias(lost), F.col("class").alias(of)).distinct())
+    at, names, schema = docs.columns.index(text_col), docs.columns, StructType([*docs.schema.fields]).add(tagged, "long")
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column(at))
             cls = [_class_of(s) if len(s) else None for i, j in slabs(offsets) for s in shingle_sets(data, offsets[i : j + 1], k)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], names=[*batch.schema.names, "_tag"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], names=[*names, tagged])
 
     small = beside.count() <= 500_000
     rows = docs.mapInArrow(tag, schema)
-    lost = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_lost")) & (F.col("_tag") == F.col("_class"))
-    rows = rows.join(F.broadcast(beside) if small else beside, lost, "left_anti")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(lost)) & (F.col(tagged) == F.col(of))
+    rows = rows.join(F.broadcast(beside) if small else beside, same, "left_anti")
     if found.groupBy("doc_id", "class").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return rows.drop("_tag")
-    worded = rows.filter("_tag is not null").dropDuplicates([id_col, "_tag"])  # repeated rows, where there are any
-    return worded.union(rows.filter("_tag is null")).drop("_tag")
+        return rows.drop(tagged)
+    worded = rows.filter(F.col(tagged).isNotNull()).dropDuplicates([id_col, tagged])  # repeated rows, where there are any
+    return worded.union(rows.filter(F.col(tagged).isNull())).drop(tagged)
