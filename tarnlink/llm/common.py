@@ -30,6 +30,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows in a batch that goes to Python, where rows hold whole texts.
+BATCH_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on batches to and from Python have at most BATCH_ROWS rows: the session's default of 10,000 is too many
+    for rows of whole texts, since several batches are held on either side at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """Bytes of all texts, measured: Catalyst knows the size of files only. Used to size partitions."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0)

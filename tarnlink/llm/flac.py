@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .wordhash import raw
 
 #: Samples in a block. 192 has a block-size code of its own (1).
@@ -471,6 +472,7 @@ def payload(text: bytes) -> bytes:
 
 def add_media(df: DataFrame, text_col: str, media_col: str = "media", bytes_col: str = "n_bytes", lpc: int = 2) -> DataFrame:
     """df with the FLAC file of each text's padded UTF-8 bytes, and the bytes before padding."""
+    text_batches(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,6 +500,7 @@ def _groups(sizes: np.ndarray, most: int = SLAB * BLOCK) -> Iterator[tuple[int,
 def pcm_blocks(df: DataFrame, id_col: str, media_col: str = "media", per_block: int = 16) -> DataFrame:
     """Rows (id, sample_offset, samples, pcm) of up to per_block FLAC blocks each: sorted or bucketed by
     (id, sample_offset), a reader finds any sample without decoding."""
+    text_batches(df.sparkSession)
     step = per_block * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,6 +521,7 @@ _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_b
 def features(df: DataFrame, keep: list[str], media_col: str = "media") -> DataFrame:
     """keep, and what the stored bytes hold once decoded and verified: digests, the CRC of the last 16 samples
     (found by seeking), and a feature text: blocks, mean, root mean square and zero crossings."""
+    text_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: Hashed trigrams (a power of two); distinct texts a language to cluster; centroids a language.
 DIM, SAMPLE, CENTROIDS = 1 << 13, 400, 3
 TEMPERATURE = 0.05
@@ -94,6 +96,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def fit(docs: DataFrame, train: Column, *, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """A model from the rows of docs where train holds and lang isn't null."""
+    text_batches(docs.sparkSession)
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +148,7 @@ def fit(docs: DataFrame, train: Column, *, text_col: str = "text", lang_col: str
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep, lang_pred, score (0 to 1: how much nearer the best language is than the others), similarity (cosine with the
     nearest centroid), rejected."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, settle, text_bytes
+from .common import fresh, settle, text_batches, text_bytes
 from .components import components
 from .wordhash import U, mix, raw, shingle_sets, slabs
 
@@ -42,7 +42,7 @@ NULL_ID = -(1 << 63)
 #: Classes that may share a shingle before blocks take over from pairs; classes in a block.
 FEW, BLOCK = 48, 256
 #: Bytes of text for each bucket of shingles.
-BUCKET_BYTES = 9 << 20
+BUCKET_BYTES = 7 << 20
 _BLOBS = "part int, kind int, a binary, b binary, c binary, d binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abcd")])
 
@@ -66,7 +66,7 @@ def _dealt(buckets: int, parts: int, k: int):
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             data, offsets = raw(batch.column(1))
-            for i, j in slabs(offsets, 16 << 20):
+            for i, j in slabs(offsets, 8 << 20):
                 for i in range(i, j, 1 << 16):
                     e = min(j, i + (1 << 16))
                     sets = [s for x, y in slabs(offsets[i : e + 1]) for s in shingle_sets(data, offsets[i + x : i + y + 1], k)]
@@ -171,6 +171,7 @@ def _prefixes(num: int, den: int):
 def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """A row per document: doc_id, n, cls, alone (shingles that no other document has) and toks, the rest of its
     rare-first prefix; position of toks[i] in the order: alone + i. Kept in the checkpoint folder."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     buckets = max(4, -(-text_bytes(rows, text_col) // BUCKET_BYTES))
     parts = max(4, buckets // 2)
@@ -342,6 +343,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each component: the one of least id (null ids last). Rows without words all stay."""
+    text_batches(docs.sparkSession)
     found = settle(near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den).filter("n_shingles > 0").select("doc_id", "class", "group"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
     best = found.groupBy("group").agg(F.min(key).alias("best")).select(F.col("group").alias("_g"), "best")

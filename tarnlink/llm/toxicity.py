@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .wordhash import U, mix, powers, raw, slabs, words
 
 POSITIVE, NEGATIVE, VOCABULARY, BLOCK, NEIGHBOURS = 1500, 2500, 4096, 64, 15
@@ -164,6 +165,7 @@ def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[i
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index | None:
     """An index learnt from the labelled rows where train (of the id) holds."""
+    text_batches(docs.sparkSession)
     marked = labels.filter(train & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(id_col), id_col))
     totals = {int(r["y"] > 0): r["n"] for r in marked.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -223,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
 
 def score(docs: DataFrame, index: Index | None, keep: list[str], text_col: str = "text", evidence: int = 3) -> DataFrame:
     """keep, score (0 to 1) and evidence: the nearest examples' ids, labels and similarities."""
+    text_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("example", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +253,7 @@ def score(docs: DataFrame, index: Index | None, keep: list[str], text_col: str =
 
 def without_toxic(docs: DataFrame, index: Index | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score below threshold, with all their columns."""
+    text_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
