@@ -107,4 +107,22 @@ e as (select d.*, ss, target, case when ss > 0 then floor(target / ss) else 0 en
   from d join t on d.source is not distinct from t.source)
 select doc_id, size, ss as source_size, target,
   (e * size + greatest(0, least(size, round(target - e * ss)::bigint - bf)))::bigint as taken from e""",
+    "op2_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 85 * (a.n + b.n - k)),
+b as (select x, y from e union all select y, x from e),
+r as (select x, y from b union select r.x, b.y from r join b on r.y = b.x)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id
+from documents d left join n using (doc_id) left join (select x, min(y) m from r group by 1) c on c.x = d.doc_id""",
+    "op3_pivot_index": """
+with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id x, b.vec_id y from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (select x, y from p union select r.x, p.y from r join p on r.y = p.x),
+c as (select x, min(y) m from r group by 1), k as (select x, count(*) k from p group by 1)
+select vec_id, coalesce(k, 0)::bigint as n_links, least(vec_id, coalesce(m, vec_id)) as component_id, vec_id = least(vec_id, coalesce(m, vec_id)) as kept
+from embeddings left join c on c.x = vec_id left join k on k.x = vec_id""",
 }

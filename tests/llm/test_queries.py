@@ -120,14 +120,16 @@ def test_op4(spark, odd, which):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-def test_op4_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
-    cur = con.execute(queries.ORACLE["op4_mix_sources"])
+    cur = con.execute(queries.ORACLE[name])
     cols = [c[0] for c in cur.description]
-    show = lambda r: (r["doc_id"], r["size"], r["source_size"], round(r["target"], 4), r["taken"])
-    assert sorted(show(dict(zip(cols, r, strict=True))) for r in cur.fetchall()) == sorted(show(r) for r in run(spark, "op4_mix_sources", SMALL))
+    got = run(spark, name, SMALL)
+    show = lambda r: tuple(round(r[c], 4) if isinstance(r[c], float) else r[c] for c in sorted(cols))
+    assert sorted(show(dict(zip(cols, r, strict=True))) for r in cur.fetchall()) == sorted(show(r.asDict()) for r in got)
 
 
 @TABLES
