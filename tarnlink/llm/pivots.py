@@ -11,7 +11,7 @@ unit gives link counts and a spanning forest of its links, never its pairs.
 
 The pivots are chosen farthest-first from at most SAMPLE vectors, those with the smallest hashes (a documented
 bound), so that a dense group holds no more than one and its members agree on their order. Every vector is indexed.
-Recall is measured against brute force in the tests; on the check tables it is 1.00.
+Recall is measured against brute force in the tests (over 10,256 vectors with a group of about 1,000 near copies: 0.99998).
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
 link with nothing; equal vectors link; null ids never name a component unless alone; an empty table gives no rows.
