@@ -165,6 +165,17 @@ def test_novelty():
     assert secrets.findings(f"a word {random_key} here", n) == []  # not in a sensitive context
 
 
+@pytest.mark.parametrize(
+    "form",
+    ["AWS_SECRET_ACCESS_KEY={}", "SECRET_KEY={}", "PRIVATE_KEY={}", "auth={}", "credential={}", "bearer_{}", "SECRET_KEY='{}'", "access_key = {}", "signing key: {}", "AccountKey: {}", "{} is the password", "{}_secret", "export PRIVATE_KEY={}=="],
+)
+def test_joined_and_named_secrets(form):
+    value = "q7Zt2LwXv9KcR4mHn8Yb3PfJ6sGd5QaTe1UiVoNx"
+    text = f"some words before it, {form.format(value)} and some words after it"
+    (found,) = [f for f in secrets.findings(text, secrets.Novelty()) if f["kind"] == "novel"]
+    assert text[found["start"] : found["end"]].rstrip("=") == value
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "api_key = ABCDEFGHIJKL1234 done"), (2, None), (3, "clean")], "score long, text string")
     assert [r["text"] for r in secrets.redact(df).orderBy("score").collect()] == ["[SECRET] done", None, "clean"]
