@@ -176,6 +176,14 @@ def test_joined_and_named_secrets(form):
     assert text[found["start"] : found["end"]].rstrip("=") == value
 
 
+@pytest.mark.parametrize("between", ["", "and some other words, " * 4, "x" * 225])
+def test_repeated_secret(between):
+    value = "q7Zt2LwXv9KcR4mHn8Yb3PfJ6sGd5QaTe1UiVoNx"
+    text = f"export SECRET_KEY={value}\n{between}curl -H 'bearer {value}' {between} again, token {value}."
+    found = secrets.findings(text, secrets.Novelty())
+    assert [text[f["start"] : f["end"]] for f in found] == [value] * 3
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "api_key = ABCDEFGHIJKL1234 done"), (2, None), (3, "clean")], "score long, text string")
     assert [r["text"] for r in secrets.redact(df).orderBy("score").collect()] == ["[SECRET] done", None, "clean"]
