@@ -5,7 +5,8 @@ whatever it pops first is best. No piece of the vocabulary holds a space mark af
 lattice falls into one lattice a word (space marks and what follows up to the next mark). Words are scored once each
 with numpy, all words of a length side by side: forward and backward scores give the best path and, as the best
 sum over an edge off that path, the runner-up. Only the N - 1 words of a text whose runners-up cost least can differ
-from their best in its N best segmentations; A* lists the alternatives of just those, and their sums are merged.
+from their best in its N best segmentations; A* lists the alternatives of just those, and their sums are merged together
+with the words' choices, from which the ids of all N segmentations are put together.
 
 Characters without a piece are one lattice edge (score UNKNOWN below the least piece) and come out as byte pieces.
 Text is otherwise taken as it is: a mark is put before it, and spaces become marks.
@@ -20,6 +21,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +74,7 @@ class Vocabulary:
             bits = np.zeros(1 << 16, bool)
             bits[(mix(h) >> U(48)).astype(np.int64)] = True
             self.tables[n] = (h[order], np.array([self.score[p][0] for p in own])[order], np.array([self.score[p][1] for p in own], np.int64)[order], bits)
-        self.alternatives = lru_cache(maxsize=10_000)(self._alternatives)
+        self.segmentations = lru_cache(maxsize=10_000)(self._segmentations)
 
     def edges(self, word: str, end: int) -> Iterator[tuple[int, float]]:
         """(start, score) of the lattice edges that end at end; shorter ones first."""
@@ -104,6 +106,16 @@ class Vocabulary:
                 serial += 1
         return tuple(out)
 
+    def _segmentations(self, word: str, k: int, best: bytes) -> tuple[tuple[float, np.ndarray], ...]:
+        """The k best segmentations of word as (score, ids); first the one with the ids that best holds, whatever
+        ties with it."""
+        found = []
+        for score, cuts in self._alternatives(word, k):
+            found.append((score, np.array([x for i, j in zip(cuts, cuts[1:]) for x in self.ids(word[i:j])], np.int32)))
+        at = next((i for i, (_, ids) in enumerate(found) if ids.tobytes() == best), len(found) - 1)
+        first = found[at] if found[at][1].tobytes() == best else (found[0][0], np.frombuffer(best, np.int32))
+        return (first, *found[:at], *found[at + 1 :])
+
     def ids(self, piece: str) -> list[int]:
         got = self.score.get(piece)
         return [got[1]] if got else [self.of_byte.get(b, self.unknown) for b in piece.encode()]
@@ -235,8 +247,8 @@ class Encoder:
         for name, new in (("best", best), ("second", second), ("count", count), ("first", first)):
             setattr(self, name, np.concatenate((getattr(self, name), new))[order])
 
-    def encode(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, list[float]]]:
-        """(ids of the best segmentation, scores of the n best) of each text."""
+    def encode(self, texts: list[str], n: int) -> Iterator[tuple[list[np.ndarray], list[float]]]:
+        """(ids, scores) of the n best segmentations of each text."""
         i = 0
         while i < len(texts):
             j, chars = i, 0
@@ -246,7 +258,7 @@ class Encoder:
             yield from self._slab(texts[i:j], n)
             i = j
 
-    def _slab(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, list[float]]]:
+    def _slab(self, texts: list[str], n: int) -> Iterator[tuple[list[np.ndarray], list[float]]]:
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         whole = "".join(marked)
         cp = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
@@ -259,7 +271,7 @@ class Encoder:
         starts = np.flatnonzero(head)
         lengths = np.diff(np.concatenate((starts, [len(cp)])))
         if not len(starts):
-            yield from ((np.zeros(0, np.int32), [0.0]) for _ in texts)
+            yield from (([np.zeros(0, np.int32)], [0.0]) for _ in texts)
             return
         rel = np.arange(len(cp)) - np.repeat(starts, lengths)
         h = mix(np.add.reduceat((cp.astype(U) + U(1)) * powers(int(lengths.max()) + 1)[rel], starts) + lengths.astype(U))
@@ -275,25 +287,42 @@ class Encoder:
         for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
             own = word[a:b]
             count = self.count[own]
-            ids = self.flat[np.repeat(self.first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            begin = np.cumsum(count) - count
+            ids = self.flat[np.repeat(self.first[own] - begin, count) + np.arange(count.sum())]
             total = float(self.best[own].sum())
             close = gap[a:b]
             if b - a > n - 1 > 0:
                 pick = np.argpartition(close, n - 2)[: n - 1]
             else:
                 pick = np.arange(b - a)
-            losses = [0.0]
-            for x in pick.tolist() if n > 1 else ():
+            merged: list[tuple[float, tuple]] = [(0.0, ())]  # loss, and (first id, end, ids instead) of each word that differs
+            for x in sorted(pick.tolist()) if n > 1 else ():
                 if np.isfinite(close[x]):
-                    s = starts[a + x]
-                    found = self.v.alternatives(whole[s : s + lengths[a + x]], n)
-                    losses = heapq.nsmallest(n, (p + found[0][0] - q[0] for p in losses for q in found))
-            yield ids, [total - p for p in losses]
+                    s, f, e = starts[a + x], int(begin[x]), int(begin[x] + count[x])
+                    found = self.v.segmentations(whole[s : s + lengths[a + x]], n, ids[f:e].tobytes())
+                    sums = ((max(p, p + found[0][0] - q), (*c, (f, e, new)) if k else c) for p, c in merged for k, (q, new) in enumerate(found))
+                    merged = heapq.nsmallest(n, sums, key=itemgetter(0))
+            yield [_changed(ids, c) for _, c in merged], [total - p for p, _ in merged]
+
+
+def _changed(ids: np.ndarray, changes: tuple) -> np.ndarray:
+    """ids with the stretches (first, end, new) replaced, which stand in order."""
+    parts, at = [], 0
+    for first, end, new in changes:
+        parts += [ids[at:first], new]
+        at = end
+    return np.concatenate([*parts, ids[at:]]) if changes else ids
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", n: int = 5, digest: bool = False) -> DataFrame:
     """keep, ids (of the best segmentation; with digest: ids_sha256 of them as 32-bit little-endian, instead), n_pieces,
-    scores (of the n best, descending), round_trip (whether decoding gives the text back)."""
+    scores (of the n best, descending), other_ids (of ranks 2 to n; with digest: other_ids_sha256, one a rank, instead),
+    round_trip (whether decoding each of the n gives the text back)."""
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,25 +330,33 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
         encoder = Encoder(v)
         texts_of = np.array([v.pieces[i].encode() if i not in v.byte else bytes([v.byte[i]]) for i in range(len(v.pieces))], object)
         for whole in batches:
-            for i, j in slabs(raw(whole.column(len(keep)))[1]):  # small batches out, whatever comes in
+            for i, j in slabs(raw(whole.column(len(keep)))[1], SLAB):  # small batches out, whatever comes in
                 batch = whole.slice(i, j - i)
                 texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-                ids, counts, scores, same = [], [], [], []
+                best, others, counts, scores, same = [], [], [], [], []
                 for t, (found, s) in zip(texts, encoder.encode(texts, n), strict=True):
-                    counts.append(len(found))
+                    counts.append(len(found[0]))
                     scores.append(s)
-                    same.append(b"".join(texts_of[found].tolist()).decode("utf-8", "replace").replace(MARK, " ")[1:] == t.replace(MARK, " "))
-                    ids.append(hashlib.sha256(found.astype("<i4").tobytes()).hexdigest() if digest else found)
+                    plain = t.replace(MARK, " ")
+                    same.append(all(b"".join(texts_of[ids].tolist()).decode("utf-8", "replace").replace(MARK, " ")[1:] == plain for ids in found))
+                    if digest:
+                        found = [hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() for ids in found]
+                    best.append(found[0])
+                    others.append(found[1:])
                 if digest:
-                    col = pa.array(ids, pa.string())
+                    col, rest = pa.array(best, pa.string()), pa.array(others, pa.list_(pa.string()))
                 else:
-                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                    col = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], col, pa.array(counts, pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())], names=[*keep, "ids_sha256" if digest else "ids", "n_pieces", "scores", "round_trip"])
+                    col, ends = _lists(best), np.cumsum([0, *map(len, others)]).astype(np.int32)
+                    rest = pa.ListArray.from_arrays(pa.array(ends), _lists([ids for o in others for ids in o]))
+                names = ["ids_sha256", "other_ids_sha256"] if digest else ["ids", "other_ids"]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[: len(keep)], col, pa.array(counts, pa.int32()), pa.array(scores, pa.list_(pa.float64())), rest, pa.array(same, pa.bool_())],
+                    names=[*keep, names[0], "n_pieces", "scores", names[1], "round_trip"],
+                )
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    schema += "ids_sha256 string" if digest else "ids array<int>"
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"{schema}, n_pieces int, scores array<double>, round_trip boolean")
+    first, rest = ("ids_sha256 string", "other_ids_sha256 array<string>") if digest else ("ids array<int>", "other_ids array<array<int>>")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"{schema}{first}, n_pieces int, scores array<double>, {rest}, round_trip boolean")
 
 
 def decode(rows: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:

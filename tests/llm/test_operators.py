@@ -221,6 +221,36 @@ def test_decoding(spark):
     assert [got[i] for i in range(5)] == [t or "" for t in texts]
 
 
+def test_every_segmentation_comes_out(spark):
+    """All n segmentations against brute force: other ones each, with their scores, and the text when decoded."""
+    v, n = nbest.load(queries.PIECES), 5
+    texts = ["some text here", "", None, "a", "abracadabra", "naïve 漢字\n\tx", "  two  spaces ", "aaaaaa aaaaaa", "one of very many words in a longer sentence, and some more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for r in nbest.encode(df, queries.PIECES, ["id"], n=n).collect():
+        t = texts[r["id"]] or ""
+        m = nbest.MARK + t.replace(" ", nbest.MARK) if t else ""
+        best = [[(0.0, ())]] + [[] for _ in m]
+        for j in range(1, len(m) + 1):
+            best[j] = sorted(((x + s, (*p, m[i:j])) for i, s in v.edges(m, j) for x, p in best[i]), reverse=True)[: n + 20]
+        want = [(s, [i for piece in p for i in v.ids(piece)]) for s, p in best[-1]]
+        found = [r["ids"], *r["other_ids"]]
+        assert len(found) == len(r["scores"]) == len({tuple(x) for x in found}) == min(n, len(want)) and r["round_trip"]
+        assert np.allclose(r["scores"], [s for s, _ in want[:n]])
+        for ids, s in zip(found, r["scores"], strict=True):
+            assert v.decode(ids) == t
+            assert any(ids == i and np.isclose(s, x) for x, i in want)
+
+
+def test_every_rank_has_a_digest(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "some text here"), (2, "")], "id long, text string")
+    plain = {r["id"]: r for r in nbest.encode(df, queries.PIECES, ["id"]).collect()}
+    for r in nbest.encode(df, queries.PIECES, ["id"], digest=True).collect():
+        want = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in [plain[r["id"]]["ids"], *plain[r["id"]]["other_ids"]]]
+        assert [r["ids_sha256"], *r["other_ids_sha256"]] == want and len(want) == len(r["scores"])
+
+
 @pytest.mark.parametrize("word", ["▁the", "▁abracadabra", "▁▁x"])
 def test_alternatives_in_order(word):
     v = nbest.load(queries.PIECES)
