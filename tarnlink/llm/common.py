@@ -61,3 +61,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             n = f"_{n}"
         out.append(n)
     return out
+
+
+def results(keep: list[str], *names: str) -> list[str]:
+    """The names of added columns, with underscores before those that a kept column has already."""
+    taken, out = {c.lower() for c in keep}, []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        taken.add(n)
+        out.append(n)
+    return out

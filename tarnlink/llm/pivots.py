@@ -1,20 +1,26 @@
 """Embedding near-duplicates by an index of nearest pivots.
 
-A vector is described by the unordered set of its NEAREST nearest of a set of reference points (pivots); the order of
-their distances is not kept and no step uses it. Inverted lists are kept for sets of SHARED pivots, so a list holds exactly the vectors that have those among their nearest, and two vectors meet
-if they share at least SHARED of them; how many they share says in which of their common lists the pair is taken up
-(the first), so each pair is verified once, by its cosine in double precision.
-
-Equal vectors are one class with a weight. A list is worked on as products of matrices; lists longer than BLOCK are cut
-into blocks, every two of which are one unit of work, so no list is held whole by one task and none is cut short. A
-unit gives link counts and a spanning forest of its links, never its pairs.
-
-The pivots are chosen farthest-first from at most SAMPLE vectors, those with the smallest hashes (a documented
-bound), so that a dense group holds no more than one and its members agree on their nearest. Every vector is indexed.
-Recall is measured against brute force in the tests (over 10,256 vectors with a group of about 1,000 near copies: 0.99998).
-
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
-link with nothing; equal vectors link; null ids never name a component unless alone; an empty table gives no rows.
+A vector is described by the set of its NEAREST nearest of a set of reference points (pivots); the order of
+their distances picks that set and is not used further. Inverted lists are kept for sets of SHARED pivots, so a list holds
+exactly the vectors that have those among their nearest, and two vectors meet if they share at least SHARED of them; how many
+they share says in which of their common lists the pair is taken up (the first), so each pair is verified once, by its
+cosine in double precision.
+
+Vectors of different lengths have no cosine. Each of the SPACES most frequent lengths has pivots and lists of its own; the
+vectors of any other length form one list, so their search is exact.
+
+Equal vectors are one class with a weight (classes are told apart by two 64-bit hashes). Lists of one class are dropped before
+vectors are fetched. A list is worked on as products of matrices; lists longer than BLOCK are cut into blocks, every two of
+which are one unit of work, so no list is held whole by one task and none is cut short. A unit gives link counts and edges that
+connect what its links connect, never its pairs.
+
+Pivots are chosen farthest-first from at most SAMPLE vectors in all, those with the smallest hashes (a documented bound), so
+that a dense group holds no more than one and its members agree on their nearest; their number grows with the square root of
+the number of vectors. Every vector is indexed. The tests measure recall against brute force.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; equal vectors
+link; repeated rows are vectors of their own, also under one id; null ids never name a component unless alone; other columns
+do not take part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .components import components
+from .components import components, joined
 
-SAMPLE, NEAREST, SHARED, BLOCK = 4096, 6, 3, 1024
+SAMPLE, NEAREST, SHARED, BLOCK = 4096, 7, 3, 1024
+#: Lengths with pivots of their own; pivots at least and at most, and the number of vectors from which on they become more.
+SPACES, PIVOTS, PIVOTS_MOST, GROWTH = 16, 256, 2048, 1 << 18
 
 
 def usable(v: Column) -> Column:
@@ -56,39 +64,46 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All components end to end, and where each vector begins (one more entry: the end)."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _listed(pivots: np.ndarray, with_vectors: bool):
-    """Classes (cls, weight, embedding) to a row for each inverted list they're in."""
-    m = min(NEAREST, len(pivots))
-    shared = min(SHARED, m)
-    picks = np.array(list(itertools.combinations(range(m), shared)))
+def _listed(pivots: dict[int, np.ndarray]):
+    """Nodes (node, embedding) to a row for each inverted list they are in: key, node, near (the pivots as bytes). pivots: by
+    vector length. A key holds the number of the length and SHARED pivots; for lengths without pivots it is minus the length."""
+    order = {d: k for k, d in enumerate(sorted(pivots))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 2048):
                 batch = whole.slice(at, 2048)
-                x = _vectors(batch.column(2))
-                near = np.sort(np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :m].astype(np.uint16), axis=1)
-                keys = np.zeros((len(x), len(picks)), np.int64)
-                for c in range(shared):
-                    keys = keys * 65536 + near[:, picks[:, c]]
-                rep = np.repeat(np.arange(len(x)), len(picks))
-                cols = [pa.array(keys.ravel())]
-                if with_vectors:
-                    own = pa.array([r.tobytes() for r in near], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())
-                    cols += [c.take(pa.array(rep)) for c in (batch.column(0), batch.column(1), *own)]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "weight", "near", "vec"][: len(cols)])
-
-    return run, "key long" + ", cls long, weight long, near binary, vec binary" * with_vectors
-
-
-def unit_links(key: int, cls: np.ndarray, weight: np.ndarray, near: np.ndarray, x: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For members of one list: how many vectors each is linked with by pairs that this unit takes up, and a spanning
-    forest of those links. left: which are of the first block; all: pairs within, else pairs across."""
+                flat, edge = _rows(batch.column(1))
+                sizes = np.diff(edge)
+                for d in np.unique(sizes).tolist():
+                    own = np.flatnonzero(sizes == d)
+                    node = batch.column(0).take(pa.array(own))
+                    if d not in pivots:
+                        keys, near, rep = np.full(len(own), -d), [b""] * len(own), np.arange(len(own))
+                    else:
+                        x = flat[edge[own][:, None] + np.arange(d)].astype(np.float64)
+                        m = min(NEAREST, len(pivots[d]))
+                        best = np.sort(np.argsort(-(_unit(x) @ pivots[d].T), axis=1, kind="stable")[:, :m].astype(np.uint16), axis=1)
+                        picks = np.array(list(itertools.combinations(range(m), min(SHARED, m))))
+                        keys = np.full((len(own), len(picks)), order[d], np.int64)
+                        for c in range(picks.shape[1]):
+                            keys = keys * PIVOTS_MOST + best[:, picks[:, c]]
+                        keys, rep, near = keys.ravel(), np.repeat(np.arange(len(own)), len(picks)), [r.tobytes() for r in best]
+                    rep = pa.array(rep)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), node.take(rep), pa.array(near, pa.binary()).take(rep)], names=["key", "node", "near"])
+
+    return run, "key long, node long, near binary"
+
+
+def unit_links(key: int, weight: np.ndarray, near: np.ndarray, x: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For members of one list: how many vectors each is linked with by pairs that this unit takes up, and for each the first
+    member that such links connect it with. left: which are of the first block; all: pairs within, else pairs across."""
     a = np.flatnonzero(left)
     b = a if left.all() else np.flatnonzero(~left)
     hit = x[a] @ x[b].T >= threshold
@@ -96,60 +111,43 @@ def unit_links(key: int, cls: np.ndarray, weight: np.ndarray, near: np.ndarray,
         hit = np.triu(hit, 1)
     i, j = np.nonzero(hit)
     i, j = a[i], b[j]
-    count, forest = np.zeros(len(cls), np.int64), []
-    up: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while (w := up.get(v, v)) != v:
-            up[v] = up.get(w, w)
-            v = w
-        return v
-
+    count, up, width = np.zeros(len(x), np.int64), np.arange(len(x)), min(SHARED, near.shape[1])
+    parts = np.array([key // PIVOTS_MOST ** (width - 1 - c) % PIVOTS_MOST for c in range(width)])
     for s in range(0, len(i), 1 << 18):
         p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-        both = (near[p][:, :, None] == near[q][:, None, :]).any(2)
-        first = both & (np.cumsum(both, 1) <= SHARED)
-        width = min(SHARED, near.shape[1])
-        parts = np.array([key >> 16 * (width - 1 - c) & 0xFFFF for c in range(width)])
-        mine = (first & (near[p][:, :, None] == parts).any(2)).sum(1) == width
-        p, q = p[mine], q[mine]
-        np.add.at(count, p, weight[q])
-        np.add.at(count, q, weight[p])
-        for u, v in zip(p.tolist(), q.tolist(), strict=True):
-            ru, rv = root(u), root(v)
-            if ru != rv:
-                up[max(ru, rv)] = min(ru, rv)
-                forest.append((int(cls[u]), int(cls[v])))
-    return count, forest
-
-
-def _linked(threshold: float):
-    """Rows of inverted lists, sorted by unit, to link counts (u, null, n) and forest edges (u, v, null)."""
-
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        if width:  # of the lists that both are in, the first takes the pair up
+            both = (near[p][:, :, None] == near[q][:, None, :]).any(2)
+            first = both & (np.cumsum(both, 1) <= SHARED)
+            mine = (first & (near[p][:, :, None] == parts).any(2)).sum(1) == width
+            p, q = p[mine], q[mine]
+        count += np.bincount(p, weight[q], len(x)).astype(np.int64) + np.bincount(q, weight[p], len(x)).astype(np.int64)
+        up = joined(len(x), np.concatenate((p, np.arange(len(x)))), np.concatenate((q, up)))
+    return count, up
+
+
+def _linked(threshold: float, kind: type):
+    """Rows of inverted lists, sorted by unit, to link counts (u, null, n) and edges (u, v, null)."""
+
+    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks()
-        if len(t) < 2:
-            return None
         unit = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-        cls, weight, blk = (t.column(c).to_numpy() for c in ("cls", "weight", "blk"))
-        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint16).reshape(len(t), -1)
-        x = _unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(len(t), -1))
-        new = np.zeros(len(t), bool)
-        new[0] = True
-        for c in unit:
-            new[1:] |= c[1:] != c[:-1]
+        node, weight, blk = (t.column(c).to_numpy() for c in ("node", "weight", "blk"))
+        near, vec = t.column("near").to_pylist(), t.column("vec").to_pylist()
+        new = np.ones(len(t), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in unit])
         edge = [*np.flatnonzero(new).tolist(), len(t)]
-        counts, pairs = np.zeros(len(t), np.int64), []
+        us, vs, ns = [], [], []
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             if e - s > 1:
-                c, f = unit_links(int(unit[0][s]), cls[s:e], weight[s:e], near[s:e], x[s:e], blk[s:e] == unit[1][s], threshold)
-                counts[s:e] = c
-                pairs += f
-        some = np.flatnonzero(counts)
-        u = [*cls[some].tolist(), *(p for p, _ in pairs)]
-        v = [None] * len(some) + [q for _, q in pairs]
-        n = [*counts[some].tolist(), *[None] * len(pairs)]
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "n"])
+                x = _unit(np.frombuffer(b"".join(vec[s:e]), kind).reshape(e - s, -1).astype(np.float64))
+                c, up = unit_links(int(unit[0][s]), weight[s:e], np.frombuffer(b"".join(near[s:e]), np.uint16).reshape(e - s, -1), x, blk[s:e] == unit[1][s], threshold)
+                own = node[s:e]
+                us += [own[c > 0], own[up != np.arange(e - s)]]
+                vs += [np.zeros((c > 0).sum(), np.int64), own[up[up != np.arange(e - s)]]]
+                ns += [c[c > 0], np.zeros(len(vs[-1]), np.int64)]
+        if us:
+            u, v, n = (np.concatenate(z).astype(np.int64) for z in (us, vs, ns))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=n > 0), pa.array(n, mask=n == 0)], names=["u", "v", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -160,52 +158,76 @@ def _linked(threshold: float):
             last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in unit]))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last unit may go on in the next batch
             if held and cut == 0 and any(h.column(h.schema.get_field_index(c))[-1].as_py() != batch.column(batch.schema.get_field_index(c))[0].as_py() for h in held[-1:] for c in ("key", "i", "j")):
-                if (done := flush(held)) is not None:
-                    yield done
+                yield from flush(held)
                 held = []
             if cut:
-                if (done := flush([*held, batch.slice(0, cut)])) is not None:
-                    yield done
+                yield from flush([*held, batch.slice(0, cut)])
                 held = []
             held.append(batch.slice(cut))
-        if held and (done := flush(held)) is not None:
-            yield done
+        if held:
+            yield from flush(held)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, pivots: int = 256) -> DataFrame:
-    """A row per vector: vec_id, n_links, component_id, kept (whether it names its component)."""
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    rows = rows.withColumn("embedding", F.when(usable(F.col("embedding")), F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))))
-    sizes = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
-    common = sizes.orderBy(F.desc("n"), "d").limit(1).collect()
-    rows = rows.withColumn("embedding", F.when(F.size("embedding") == (common[0]["d"] if common else 0), F.col("embedding")))
-    rows = rows.withColumn("cls", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
-    classes = settle(rows.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("weight"), F.first("embedding").alias("embedding")))
-    sample = classes.select(F.xxhash64("cls").alias("h"), "embedding").orderBy("h").limit(SAMPLE).collect()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sample:
-        return alone
-    chosen = choose_pivots(_unit(np.array([r["embedding"] for r in sample])), pivots)
-    keys, schema = _listed(chosen, False)
-    hot = settle(classes.mapInArrow(keys, schema).groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK))
-    lists, schema = _listed(chosen, True)
-    listed = classes.mapInArrow(lists, schema)
-    hot = hot.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    listed = listed.join(F.broadcast(hot) if hot.count() <= 200_000 else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    listed = listed.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    listed = listed.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cls", "weight", "near", "vec")
+def _packed(kind: type):
+    """(node, weight, embedding) to (node, weight, vec), the components as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, edge = _rows(batch.column(2))
+            flat = flat.astype(kind)
+            vec = [flat[s:e].tobytes() for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vec, pa.binary())], names=["node", "weight", "vec"])
+
+    return run, "node long, weight long, vec binary"
+
+
+def fit(classes: DataFrame, pivots: int | None) -> dict[int, np.ndarray]:
+    """Pivots by vector length, of the SPACES most frequent lengths of classes (node, embedding)."""
+    lengths = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(SPACES).collect()
+    found = {}
+    for d, n in lengths:
+        sample = classes.filter(F.size("embedding") == d).select(F.xxhash64("node").alias("h"), "embedding").orderBy("h").limit(SAMPLE // len(lengths)).collect()
+        count = pivots or min(PIVOTS_MOST, max(PIVOTS, int(PIVOTS * (n / GROWTH) ** 0.5)))
+        found[d] = choose_pivots(_unit(np.array([r["embedding"] for r in sample], np.float64)), count)
+    return found
+
+
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, pivots: int | None = None) -> DataFrame:
+    """A row per vector: vec_id, n_links, component_id, kept (whether it names its component). pivots: their number a
+    length, where it shall not follow from the number of vectors."""
+    element = vectors.schema[vector_col].dataType.elementType.simpleString()
+    kind = np.float32 if element == "float" else np.float64
+    rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<float>" if element == "float" else "array<double>").alias("embedding"))
+    zero = F.lit(0.0).cast("float" if element == "float" else "double")
+    rows = rows.withColumn("embedding", F.when(usable(F.col("embedding")), F.transform("embedding", lambda x: F.when(x == 0, zero).otherwise(x))))
+    rows = rows.withColumns({"cls": F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")), "check": F.xxhash64(F.lit(1), "embedding")})
+    classes = settle(rows.filter("cls is not null").groupBy("cls", "check").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding")))
+    twice = classes.groupBy(F.col("cls").alias("_c")).agg(F.count("*").alias("n")).filter("n > 1")
+    if twice.isEmpty():
+        classes = classes.withColumn("node", F.col("cls"))
+    else:  # different vectors of one hash
+        classes = settle(classes.join(twice, F.col("cls") == F.col("_c"), "left").withColumn("node", F.when(F.col("n").isNull(), F.col("cls")).otherwise(F.xxhash64("cls", "check"))).drop("_c", "n"))
+    chosen = fit(classes, pivots)
+    if not chosen:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    lists, schema = _listed(chosen)
+    listed = classes.select("node", "embedding").mapInArrow(lists, schema)
+    several = settle(listed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    listed = listed.join(several, "key")
+    listed = listed.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pack, schema = _packed(kind)
+    packed = classes.select("node", "weight", "embedding").mapInArrow(pack, schema)
+    listed = listed.join(packed, "node").select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "weight", "near", "vec")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = settle(listed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(threshold), "u long, v long, n long"))
+    found = settle(listed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(threshold, kind), "u long, v long, n long"))
     counts = found.filter("v is null").groupBy(F.col("u").alias("_u")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("v is not null").select("u", "v"))
-    per = classes.select(F.col("cls").alias("_c"), "weight").join(counts, F.col("_c") == F.col("_u"), "left").join(roots, F.col("_c") == F.col("node"), "left")
-    per = per.select("_c", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "_c").alias("root"))
-    least = rows.filter("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("least"))
-    per = per.join(least, F.col("_c") == F.col("cls")).drop("cls")
+    per = classes.select("node", "weight", "least", "cls", "check").join(counts, F.col("node") == F.col("_u"), "left").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    per = per.select("cls", "check", "least", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     heads = per.groupBy("root").agg(F.min("least").alias("component_id"))
-    per = per.join(heads, "root").select("_c", "n_links", "component_id")
-    out = rows.select("vec_id", "cls").join(per, F.col("cls") == F.col("_c"), "left")
+    per = per.join(heads, "root").select("cls", "check", "n_links", "component_id")
+    out = rows.select("vec_id", "cls", "check").join(per, ["cls", "check"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

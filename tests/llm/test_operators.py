@@ -1,5 +1,6 @@
 """The operators' own interfaces: paths that small tables don't reach."""
 
+import inspect
 import random
 
 import numpy as np
@@ -257,3 +258,71 @@ def test_alternatives_in_order(word):
     found = v._alternatives(word, 8)
     scores = [s for s, _ in found]
     assert scores == sorted(scores, reverse=True) and len({c for _, c in found}) == len(found)
+
+
+def recall(spark, x, **options):
+    """Share of all links found; none may be found that isn't one."""
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = np.concatenate([(u[i : i + 1000] @ u.T >= 0.95).sum(1) - 1 for i in range(0, len(u), 1000)])
+    got = np.zeros(len(x), int)
+    for r in pivots.near_duplicates(df, **options).collect():
+        got[r["vec_id"]] = r["n_links"]
+    assert (got <= want).all() and want.sum() > 0
+    return got.sum() / want.sum()
+
+
+@pytest.mark.parametrize("count", [None, 1024])
+def test_pivot_recall(spark, count):
+    """Over 10,500 vectors: single ones, pairs around the threshold and a dense group of 900."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(8000, 64))
+    pairs = base[:1600] + rng.normal(size=(1600, 64)) * rng.uniform(0.05, 0.33, (1600, 1))
+    dense = rng.normal(size=64) + 0.15 * rng.normal(size=(900, 64))
+    assert recall(spark, pairs_only := np.concatenate((base, pairs)), pivots=count) >= 0.97
+    assert recall(spark, np.concatenate((pairs_only, dense)), pivots=count) >= 0.99
+
+
+def test_every_length_is_indexed(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "SPACES", 2)
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0, 0.01, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [1.0, 0.0, 0.0, 0.0]), (6, [9.0, 0.0, 0.0, 0.0]), (7, [1.0]), (8, []), (9, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_duplicates(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (0, 8), 9: (1, 7)}
+
+
+def test_joined():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        n = 30
+        i, j = rng.integers(0, n, 20), rng.integers(0, n, 20)
+        up = ngram_join.Forest(n)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            up.join(a, b)
+        assert components.joined(n, i, j).tolist() == [up.root(a) for a in range(n)]
+
+
+def test_agreement_with_the_models_own_encoder():
+    """Words that are cut as the library cuts them, and pieces in all."""
+    import re
+
+    import sentencepiece
+
+    v, own = nbest.load(queries.PIECES), sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    text = " ".join(inspect.getdoc(x) or "" for x in (str, dict, list, int, re, random, random.Random.sample, sorted)) * 2
+    words = [w for w in text.split() if len(w) > 1]
+    found = [o[0][0].tolist() for o in nbest.Encoder(v).encode(words, 1)]
+    want = [own.encode(w) for w in words]
+    assert sum(a == b for a, b in zip(found, want, strict=True)) >= 0.8 * len(words)
+    assert abs(sum(map(len, found)) / sum(map(len, want)) - 1) <= 0.02
+
+
+def test_word_hashes_that_collide(monkeypatch):
+    v = nbest.Vocabulary(queries.PIECES)
+    want = [o[0][0].tolist() for o in nbest.Encoder(v).encode(["some words here", "other ones"], 2)]
+    plain = nbest.mix
+    encoder = nbest.Encoder(v)
+    monkeypatch.setattr(nbest, "mix", lambda h: plain(h) % nbest.U(3) if encoder.salt == 0 and len(h) < 6 else plain(h))
+    monkeypatch.setattr(v, "tables", v.tables)
+    assert [o[0][0].tolist() for o in encoder.encode(["some words here", "other ones"], 2)] == want and encoder.salt == 1
