@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import settle
 from .components import components, joined
 
-SAMPLE, NEAREST, SHARED, BLOCK = 4096, 7, 3, 1024
+SAMPLE, NEAREST, SHARED, BLOCK = 4096, 8, 3, 1024
 #: Lengths with pivots of their own; pivots at least and at most, and the number of vectors from which on they become more.
 SPACES, PIVOTS, PIVOTS_MOST, GROWTH = 16, 256, 2048, 1 << 18
 
