@@ -156,33 +156,72 @@ def test_rejection(spark):
     assert got[0]["lang_pred"] == "de" and not got[0]["rejected"] and got[1]["rejected"] and got[2]["lang_pred"] == "und"
 
 
-def test_novelty():
-    n = secrets.Novelty()
+@pytest.fixture(scope="module")
+def scanner():
+    return secrets.learnt(())
+
+
+def found_in(text, scanner):
+    return [text[f["start"] : f["end"]] for f in secrets.findings(text, secrets.Novelty(scanner.dictionary), scanner.threshold) if f["kind"] == "novel"]
+
+
+def test_novelty(scanner):
     random_key = "xK9mQ2vL8pRt5WzJ3nBc7YdF"
-    words = "configuration_certificate_environment"
-    text = f"the bearer {random_key} and the private {words} of it"
-    kinds = {f["kind"]: text[f["start"] : f["end"]] for f in secrets.findings(text, n)}
-    assert kinds == {"novel": random_key}
-    assert secrets.findings(f"a word {random_key} here", n) == []  # not in a sensitive context
+    assert found_in(f"the bearer {random_key} and the private configuration_certificate_environment of it", scanner) == [random_key]
+    assert found_in(f"a word {random_key} here", scanner) == []  # not in a sensitive context
+
+
+@pytest.mark.parametrize("text", [
+    "the key Donaudampfschifffahrtsgesellschaftskapitaen of the private ship", "a token pseudohypoparathyroidism-related-disorders here", "private getUserProfileInformationFromDatabase key",
+    "key in /home/users/projects/data-science/notebooks it is", "the author https://www.example.org/aB3dE6gH9jK2mN5pQ8sT1vW4/index", "the key https://www.example.org/blog/2021/09/how-to-write-clean-code",
+    "key date 2024-01-15T10:30:00Z and token 0049-171-1234567-89", "the monkey xK9mQ2vL8pRt5WzJ3nBc7YdF on the keyboard", "", "key",
+])
+def test_no_false_alarm(text, scanner):
+    assert found_in(text, scanner) == []
+
+
+def test_planted_secrets(scanner):
+    """Random strings that no base pattern matches and names, paths and long words, each in a sensitive context."""
+    rng = random.Random(11)
+    words = sorted({w for x in (inspect, random, np) for w in dir(x) if w.isalpha() and len(w) > 3})
+    names, keys = secrets.names_and_strings(words, 400, 12)
+    forms = ["the bearer {} was", "private key: {}", "auth={}", "MY_SIGNING_KEY={} x", "credential '{}'", "{} is the passphrase", "accessKey {}"]
+    around = ["Thorti ensttion of eahe onnthaly and. ", "Als der Mann zum Haus kam, war es schon dunkel. ", "for i in range(10): print(i) "]
+    hits = {0: 0, 1: 0}
+    for secret, tokens in ((0, names), (1, keys)):
+        for t in tokens:
+            text = rng.choice(around) + rng.choice(forms).format(t) + " " + rng.choice(around)
+            assert not brute.base_secrets(text)
+            hits[secret] += bool(found_in(text, scanner))
+    assert hits[1] >= 0.9 * len(keys) and hits[1] >= 0.9 * (hits[0] + hits[1])
 
 
 @pytest.mark.parametrize(
     "form",
-    ["AWS_SECRET_ACCESS_KEY={}", "SECRET_KEY={}", "PRIVATE_KEY={}", "auth={}", "credential={}", "bearer_{}", "SECRET_KEY='{}'", "access_key = {}", "signing key: {}", "AccountKey: {}", "{} is the password", "{}_secret", "export PRIVATE_KEY={}=="],
+    ["AWS_SECRET_ACCESS_KEY={}", "SECRET_KEY={}", "PRIVATE_KEY={}", "auth={}", "credential={}", "bearer_{}", "SECRET_KEY='{}'", "access_key = {}", "signing key: {}", "AccountKey: {}", "{} is the password", "{}_secret", "auth {}=="],
 )
-def test_joined_and_named_secrets(form):
+def test_joined_and_named_secrets(form, scanner):
     value = "q7Zt2LwXv9KcR4mHn8Yb3PfJ6sGd5QaTe1UiVoNx"
-    text = f"some words before it, {form.format(value)} and some words after it"
-    (found,) = [f for f in secrets.findings(text, secrets.Novelty()) if f["kind"] == "novel"]
-    assert text[found["start"] : found["end"]].rstrip("=") == value
+    (found,) = found_in(f"some words before it, {form.format(value)} and some words after it", scanner)
+    assert found.rstrip("=") == value
 
 
 @pytest.mark.parametrize("between", ["", "and some other words, " * 4, "x" * 225])
-def test_repeated_secret(between):
+def test_repeated_secret(between, scanner):
     value = "q7Zt2LwXv9KcR4mHn8Yb3PfJ6sGd5QaTe1UiVoNx"
     text = f"export SECRET_KEY={value}\n{between}curl -H 'bearer {value}' {between} again, token {value}."
-    found = secrets.findings(text, secrets.Novelty())
-    assert [text[f["start"] : f["end"]] for f in found] == [value] * 3
+    assert found_in(text, scanner) == [value] * 3
+
+
+def test_words_of_the_corpus(spark, scanner):
+    """Common words of the corpus go into the dictionary: what was novel is not any more; words of one text do not."""
+    word, once = "Qxzvwkjyhtpbqzxgkvjw", "Wvkzqjxybghqpwzxkvtj"
+    df = spark.createDataFrame([(i, f"{word} text number {i}") for i in range(9)] + [(10, once)], "doc_id long, text string")
+    own = secrets.fit(df)
+    assert own == secrets.fit(df.repartition(3))
+    text = "the secret key {} of it"
+    assert found_in(text.format(word), scanner) == [word] and found_in(text.format(word), own) == []
+    assert found_in(text.format(once), own) == [once]
 
 
 def test_redaction(spark):
