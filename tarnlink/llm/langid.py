@@ -9,7 +9,9 @@ idf counts all training rows. The centroids come from at most SAMPLE distinct te
 smallest hashes (a documented bound of the fit); everything else covers all rows.
 
 Defined cases: null texts and texts without letters give `und`, score 0, rejected; equal texts give equal results;
-without training rows every text is `und`; other columns do not take part.
+repeated rows are rows of their own; ties go to the language that comes first; without training rows every text is `und`; an
+empty table gives no rows; other columns do not take part, and a kept column of the name of a result leaves that result an
+underscore before its name.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import results, settle, text_batches
 
 #: Hashed trigrams (a power of two); distinct texts a language to cluster; centroids a language.
 DIM, SAMPLE, CENTROIDS = 1 << 13, 400, 3
@@ -112,9 +114,10 @@ def fit(docs: DataFrame, train: Column, *, text_col: str = "text", lang_col: str
         df[g] = n
     idf = (np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1).astype(np.float32)
     hashed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cut = hashed.groupBy("lang", "h").agg(F.lit(1)).withColumn("r", rank).filter(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("cut"))
-    cuts = {r["lang"]: r["cut"] for r in cut.collect()}
+    distinct = settle(hashed.groupBy("lang", "h").agg(F.lit(1)).select("lang", "h"))
+    cuts = {}
+    for (lang,) in distinct.select("lang").distinct().collect():  # a row for each language
+        cuts[lang] = distinct.filter(F.col("lang") == lang).select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if not cuts:
         return Model(idf, [], np.zeros((DIM, 0), np.float32), np.zeros(0, int), np.zeros(0))
     under = F.element_at(F.create_map(*[F.lit(v) for kv in cuts.items() for v in kv]), F.col("lang"))
@@ -149,6 +152,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     """keep, lang_pred, score (0 to 1: how much nearer the best language is than the others), similarity (cosine with the
     nearest centroid), rejected."""
     text_batches(docs.sparkSession)
+    names = results(keep, "lang_pred", "score", "similarity", "rejected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +171,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                         row = (model.langs[i], float(1 / np.exp((b - b[i]) / TEMPERATURE).sum()), float(b[i]), bool(b[i] < model.reach[i]))
                     for c, v in zip((lang, score, cosine, far), row, strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64()), pa.array(far, pa.bool_())], names=[*keep, "lang_pred", "score", "similarity", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64()), pa.array(far, pa.bool_())], names=[*keep, *names])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"{schema}lang_pred string, score double, similarity double, rejected boolean")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema + ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double", "boolean"), strict=True)))

@@ -50,7 +50,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
     out = toxicity.score(docs, index, ["doc_id"])
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    shown = F.transform("evidence", lambda e: F.concat_ws(":", e["example"], e["toxic"].cast("string"), F.format_number(e["similarity"], 4)))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.array_join(shown, ",").alias("evidence"))
 
 
 def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

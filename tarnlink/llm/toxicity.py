@@ -10,11 +10,14 @@ curve fitted to leave-one-out votes of the sample, weighted back to the labels'
 a probability.
 
 The fit's bound (documented parameters): at most POSITIVE toxic and NEGATIVE other labelled rows, those with the smallest
-hashes of their ids. Counts, scoring and texts have no bound.
+hashes of their ids. Their texts stay on the executors; the driver gets their weights of at most VOCABULARY terms. Counts,
+scoring and texts have no bound.
 
 Defined cases: null, empty and termless texts are scored like texts that match no example (the share of toxic ones among
-such examples); equal texts give equal scores; without labelled rows of both kinds every score is 0; repeated
-labels count once (toxic if any says so); other columns do not take part.
+such examples); equal texts and repeated rows give equal scores; without labelled rows of both kinds every score is 0;
+repeated labels count once (toxic if any says so), labels without a value or an id do not; of several texts under one
+labelled id the one with the smallest hash counts; ids may be of any type and are shown as text; an empty table gives no rows;
+other columns do not take part, and a kept column of the name of a result leaves that result an underscore before its name.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import results, settle, text_batches
 from .wordhash import U, mix, powers, raw, slabs, words
 
 POSITIVE, NEGATIVE, VOCABULARY, BLOCK, NEIGHBOURS = 1500, 2500, 4096, 64, 15
@@ -63,7 +66,7 @@ class Index:
     most: np.ndarray  #: term x block: largest weight
     example: np.ndarray  #: postings
     weight: np.ndarray
-    ids: np.ndarray
+    ids: list[str]
     toxic: np.ndarray
     prior: float
     slope: float
@@ -75,6 +78,14 @@ class Index:
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Terms (numbers in the vocabulary) and normalised weights of each text."""
+        return [(at, self.weigh(at, tf)) for at, tf in self.counts(data, offsets)]
+
+    def weigh(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        x = (1 + np.log(tf)) * self.idf[at]
+        return x / np.sqrt(x @ x) if len(x) else x
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms (numbers in the vocabulary) of each text and how often they stand in it."""
         n, v = len(offsets) - 1, len(self.vocabulary)
         doc, term = terms(data, offsets)
         maybe = self.bits[(term & U(0xFFFF)).astype(np.int64)]
@@ -83,11 +94,8 @@ class Index:
         hit = self.vocabulary[np.minimum(at, max(0, v - 1))] == term if v else np.zeros(0, bool)
         key, tf = np.unique(doc[hit] * max(1, v) + at[hit], return_counts=True)
         doc, at = key // max(1, v), key % max(1, v)
-        x = (1 + np.log(tf)) * self.idf[at] if v else np.zeros(0)
-        norm = np.sqrt(np.bincount(doc, weights=x * x, minlength=n))
         ends = np.searchsorted(doc, np.arange(n + 1))
-        x = x / np.where(norm[doc] > 0, norm[doc], 1)
-        return [(at[a:b], x[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [(at[a:b], tf[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0 (ties: the earlier in the index) and those cosines, exactly."""
@@ -133,13 +141,15 @@ def logistic(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
     return max(0.1, float(a)), float(b)
 
 
-def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[int, int, str]], share: tuple[float, float]) -> Index:
-    """An index of examples (id, toxic, text); share: rows that each kept clean and toxic example stands for."""
+def empty_index(vocabulary: np.ndarray, idf: np.ndarray) -> Index:
+    return Index(vocabulary, idf, np.zeros((len(vocabulary), 1), np.int64), np.zeros((len(vocabulary), 0)), np.zeros(0, np.int64), np.zeros(0), [], np.zeros(0), 0.0, 1.0, 0.0)
+
+
+def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[str, int, np.ndarray, np.ndarray]], share: tuple[float, float]) -> Index:
+    """An index of examples (id, toxic, terms, counts); share: rows that each kept clean and toxic example stands for."""
     idf = np.log((1 + n) / (1 + df)) + 1
-    empty = np.zeros((len(vocabulary), 1), np.int64)
-    index = Index(vocabulary, idf, empty, np.zeros((len(vocabulary), 0)), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, 0.0)
-    data, offsets = raw(pa.array([t for _, _, t in examples], pa.large_string()))
-    vec = [v for i, j in slabs(offsets) for v in index.vectors(data, offsets[i : j + 1])]
+    index = empty_index(vocabulary, idf)
+    vec = [(at, index.weigh(at, tf)) for _, _, at, tf in examples]
     blank = [e for e, v in zip(examples, vec, strict=True) if not len(v[0])]
     clean, toxic = sum(1 - e[1] for e in blank) * share[0], sum(e[1] for e in blank) * share[1]
     prior = float((toxic + 0.5 * share[1] * bool(not toxic)) / max(1.0, clean + toxic + 1))
@@ -154,7 +164,7 @@ def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[i
     cells = np.searchsorted(t * (blocks + 1) + e // BLOCK, (np.arange(len(vocabulary))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :]).ravel())
     most = np.zeros((len(vocabulary), blocks))
     np.maximum.at(most, (t, e // BLOCK), w)
-    ids, y = np.array([x[0][0] for x in live], np.int64), np.array([x[0][1] for x in live], float)
+    ids, y = [x[0][0] for x in live], np.array([x[0][1] for x in live], float)
     index = Index(vocabulary, idf, cells.reshape(len(vocabulary), blocks + 1), most, e, w, ids, y, prior, 1.0, 0.0)
     votes = [index.vote(*v, without=i)[0] for i, (_, v) in enumerate(live)] + [prior] * len(blank)
     z = np.clip(np.array(votes), 1e-4, 1 - 1e-4)
@@ -166,12 +176,17 @@ def build(vocabulary: np.ndarray, df: np.ndarray, n: int, examples: list[tuple[i
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index | None:
     """An index learnt from the labelled rows where train (of the id) holds."""
     text_batches(docs.sparkSession)
-    marked = labels.filter(train & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(id_col), id_col))
-    totals = {int(r["y"] > 0): r["n"] for r in marked.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    picked = marked.withColumn("y", (F.col("y") > 0).cast("int")).withColumn("_r", rank).filter(F.col("_r") <= F.when(F.col("y") == 1, POSITIVE).otherwise(NEGATIVE))
-    chosen = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(picked.select(id_col, "y")), id_col)
-    # at most POSITIVE + NEGATIVE rows; each text's distinct terms are counted where it lies
+    valid = labels.filter(train & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull())
+    marked = settle(valid.groupBy(F.col(f"`{id_col}`").alias("id")).agg((F.max(f"`{label_col}`") > 0).cast("int").alias("y")).withColumn("h", F.xxhash64("id")))
+    totals = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = [marked.filter(F.col("y") == y).orderBy("h", "id").limit(most) for y, most in ((1, POSITIVE), (0, NEGATIVE))]
+    picked = settle(picked[0].union(picked[1]).select("id", "y"))  # no more than POSITIVE + NEGATIVE rows
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).join(F.broadcast(picked), "id")
+    chosen = settle(rows.groupBy("id", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.length("t"))).alias("t")).select("id", "t", "y"))
+    sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    a, b = sizes.get(1, 0), sizes.get(0, 0)
+    if not a or not b:
+        return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,11 +205,6 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
                     n = np.diff(np.concatenate((edge, [len(term)])))
                     yield pa.RecordBatch.from_arrays([pa.array(term[edge].view(np.int64)), pa.array(pos), pa.array(n - pos)], names=["term", "pos", "neg"])
 
-    sample = [(r[0], r[2], r[1] or "") for r in chosen.collect()]
-    sample.sort(key=lambda r: (r[0], r[2]))
-    a, b = sum(r[1] for r in sample), sum(1 - r[1] for r in sample)
-    if not a or not b:
-        return None
     per = chosen.mapInArrow(count, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"))
     part = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
     p, q = F.col("p"), F.col("q")
@@ -205,7 +215,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
     top = able.withColumn("g", tells).filter(F.col("g") >= 12).orderBy(F.desc("g"), "term").limit(VOCABULARY).select("term", "g").collect()
     telling = 2 * np.log(max(1, tested.get["m"]))  # fewer than about one term reaches this by chance
     vocabulary = np.sort(np.array([r["term"] for r in top if r["g"] >= telling], np.int64).view(U))
-    seen = Index(vocabulary, np.ones(len(vocabulary)), *[np.zeros((1, 1))] * 2, *[np.zeros(0)] * 4, 0.0, 1.0, 0.0)
+    seen = empty_index(vocabulary, np.ones(len(vocabulary)))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = raw(batch.column(1))
+            found = [v for i, j in slabs(offsets) for v in seen.counts(data, offsets[i : j + 1])]
+            at, tf = (pa.array([v[k].astype(np.int32).tobytes() for v in found], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), at, tf], names=["id", "y", "at", "tf"])
+
+    told = chosen.select(F.col("id").cast("string").alias("id"), "t", "y").mapInArrow(tell, "id string, y int, at binary, tf binary").collect()
+    sample = [(r["id"], r["y"], np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["tf"], np.int32)) for r in sorted(told, key=lambda r: r["id"])]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(vocabulary) + 1, np.int64)
@@ -213,12 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
             data, offsets = raw(batch.column(0))
             df[-1] += len(batch)
             for i, j in slabs(offsets):
-                for at, _ in seen.vectors(data, offsets[i : j + 1]):
+                for at, _ in seen.counts(data, offsets[i : j + 1]):
                     df[at] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], names=["t", "n"])
 
     df = np.zeros(len(vocabulary) + 1)
-    for t, n in docs.select(text_col).mapInArrow(spread, "t int, n long").groupBy("t").agg(F.sum("n")).collect():
+    for t, n in docs.select(F.col(f"`{text_col}`")).mapInArrow(spread, "t int, n long").groupBy("t").agg(F.sum("n")).collect():
         df[t] = n
     return build(vocabulary, df[:-1], int(df[-1]), sample, (totals.get(0, b) / b, totals.get(1, a) / a))
 
@@ -226,7 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
 def score(docs: DataFrame, index: Index | None, keep: list[str], text_col: str = "text", evidence: int = 3) -> DataFrame:
     """keep, score (0 to 1) and evidence: the nearest examples' ids, labels and similarities."""
     text_batches(docs.sparkSession)
-    kind = pa.list_(pa.struct([("example", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
+    names = results(keep, "score", "evidence")
+    kind = pa.list_(pa.struct([("example", pa.string()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,11 +265,11 @@ def score(docs: DataFrame, index: Index | None, keep: list[str], text_col: str =
                             continue
                         vote, best, sims = index.vote(at, x)
                         scores.append(index.calibrated(vote))
-                        shown.append([{"example": int(index.ids[b]), "toxic": int(index.toxic[b]), "similarity": float(s)} for b, s in zip(best[:evidence], sims, strict=False)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(shown, kind)], names=[*keep, "score", "evidence"])
+                        shown.append([{"example": index.ids[b], "toxic": int(index.toxic[b]), "similarity": float(s)} for b, s in zip(best[:evidence], sims, strict=False)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(shown, kind)], names=[*keep, *names])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"{schema}score double, evidence array<struct<example: long, toxic: int, similarity: double>>")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"{schema}`{names[0]}` double, `{names[1]}` array<struct<example: string, toxic: int, similarity: double>>")
 
 
 def without_toxic(docs: DataFrame, index: Index | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

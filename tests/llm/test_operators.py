@@ -138,7 +138,8 @@ def test_nearest_is_exact(spark):
 
     data, offsets = wordhash.raw(pa.array(texts, pa.string()))
     terms = np.unique(toxicity.terms(data, offsets)[1])
-    index = toxicity.build(terms, np.full(len(terms), 10.0), 400, [(i, i % 2, t) for i, t in enumerate(texts)], (1.0, 1.0))
+    told = toxicity.empty_index(terms, np.ones(len(terms))).counts(data, offsets)
+    index = toxicity.build(terms, np.full(len(terms), 10.0), 400, [(str(i), i % 2, *v) for i, v in enumerate(told)], (1.0, 1.0))
     dense = np.zeros((400, len(terms)))
     dense[index.example, np.repeat(np.arange(len(terms)), index.starts[:, -1] - index.starts[:, 0])] = index.weight
     for at, x in index.vectors(data, offsets)[:40]:

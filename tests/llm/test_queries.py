@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import tiktoken
 
-from tarnlink.llm import flac, nbest, queries, token_rollup
+from tarnlink.llm import flac, langid, nbest, queries, token_rollup, toxicity
+from tarnlink.llm.common import held_out
 
 from . import brute
 
@@ -148,6 +149,10 @@ def test_op5(spark, odd, which):
         assert all(abs(total[i] - mean) <= largest + 0.01 * mean for i in range(40))
 
 
+MIDDLE = "/root/testdata/sf0.01"
+middle = pytest.mark.skipif(not os.path.isdir(MIDDLE), reason="no test tables")
+
+
 @TABLES
 def test_op6(spark, odd, which):
     d = place(which, odd)
@@ -156,6 +161,59 @@ def test_op6(spark, odd, which):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
 
 
+@middle
+def test_op6_held_out(spark):
+    """Accuracy and calibration on labelled rows that nothing was learnt from."""
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").filter("toxic is not null").collect()}
+    held = [(r["score"], r["predicted"], toxic[r["doc_id"]]) for r in run(spark, "op6_toxicity", MIDDLE) if r["held_out"] and r["doc_id"] in toxic]
+    assert len(held) >= 50 and 0 < sum(y for *_, y in held) < len(held)
+    assert sum(p == y for _, p, y in held) >= 0.95 * len(held)
+    bins = defaultdict(list)
+    for s, _, y in held:
+        bins[min(4, int(5 * s))].append((s, y))
+    error = sum(abs(sum(s - y for s, y in b)) for b in bins.values()) / len(held)
+    assert error <= 0.08
+
+
+@TABLES
+def test_op6_whole(spark, odd, which):
+    """The scores and evidence of all documents against plain term counts, cosines with every example, votes and the curve."""
+    d = place(which, odd)
+    index = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), ~held_out("doc_id"))
+    assert index is not None
+    rows = docs(spark, d)
+    texts = {(t or "") for _, t, *_ in rows}
+    vocabulary = {int(h): i for i, h in enumerate(index.vocabulary)}
+    counts = {t: Counter(x for x in map(vocabulary.get, brute.term_hashes(t)) if x is not None) for t in texts}
+    df = Counter(x for _, t, *_ in rows for x in counts[t or ""])
+    vec = {}
+    for t, c in counts.items():
+        w = {x: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[x])) + 1) for x, n in c.items()}
+        norm = np.sqrt(sum(v * v for v in w.values()))
+        vec[t] = {x: v / norm for x, v in w.items()}
+    examples = []
+    for i, y in zip(index.ids, index.toxic, strict=True):
+        own = [vec[t or ""] for j, t, *_ in rows if str(j) == i]
+        examples.append((i, int(y), next(v for v in own if v)))
+    checked = 0
+    want = defaultdict(list)
+    for i, t, *_ in rows:
+        v = vec[t or ""]
+        sims = sorted(((sum(w * e.get(x, 0) for x, w in v.items()), -k) for k, (_, _, e) in enumerate(examples)), reverse=True)
+        sims = [(s, -k) for s, k in sims if s > 0]
+        best, rest = sims[:15], sims[15:]
+        tie = rest and best[-1][0] - rest[0][0] < 1e-9
+        vote = (sum(s * examples[k][1] for s, k in best) + 0.1 * index.prior) / (sum(s for s, _ in best) + 0.1) if v else index.prior
+        z = min(max(vote, 1e-4), 1 - 1e-4)
+        want[i].append((None if tie else 1 / (1 + np.exp(-(index.slope * np.log(z / (1 - z)) + index.shift))), [round(s, 3) for s, _ in best[:3]]))
+    for r in run(spark, "op6_toxicity", d):
+        near = [round(float(e.rsplit(":", 1)[1]), 3) for e in r["evidence"].split(",") if e]
+        some = [w for w in want[r["doc_id"]] if len(w[1]) == len(near) and np.allclose(w[1], near, atol=2e-3)]
+        assert some and any(w[0] is None or abs(w[0] - r["score"]) < 1e-6 for w in some)
+        checked += any(w[0] is not None for w in some)
+    assert checked >= 0.5 * len(rows)
+
+
 @TABLES
 def test_op7(spark, odd, which):
     d = place(which, odd)
@@ -180,6 +238,33 @@ def test_op8(spark, odd, which):
         assert sum(lang[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.95 * len(held)
 
 
+@middle
+def test_op8_held_out(spark):
+    lang = {i: x for i, _, x, _ in docs(spark, MIDDLE)}
+    held = [r for r in run(spark, "op8_language_centroids", MIDDLE) if r["held_out"] and lang[r["doc_id"]] is not None and r["lang_pred"] != "und"]
+    assert sum(lang[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.97 * len(held) > 200
+
+
+@TABLES
+def test_op8_whole(spark, odd, which):
+    """Every prediction against the plain nearest centroid: trigram counts by a dictionary, cosines one by one."""
+    d = place(which, odd)
+    model = langid.fit(spark.read.parquet(f"{d}/documents.parquet"), ~held_out("doc_id"))
+    want = defaultdict(list)
+    for i, t, *_ in docs(spark, d):
+        c = brute.trigrams(t, langid.DIM)
+        if not c or not model.langs:
+            want[i].append(("und", 0.0))
+            continue
+        w = {g: np.log1p(n) * float(model.idf[g]) for g, n in c.items()}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        sims = [(sum(x / norm * float(model.centroids[g, k]) for g, x in w.items()), -int(model.of[k])) for k in range(model.centroids.shape[1])]
+        s, lang = max(sims)
+        want[i].append((model.langs[-lang], s))
+    for r in run(spark, "op8_language_centroids", d):
+        assert any(w[0] == r["lang_pred"] and abs(w[1] - r["similarity"]) < 1e-4 for w in want[r["doc_id"]]), r
+
+
 def n_best_scores(v, text, n):
     if not text:
         return [0.0]
