@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Makes sure that checkpoints have a folder: the one the cluster names in spark.checkpoint.dir,
-    a temporary one only where that is unset (tests on one machine)."""
+    """Makes sure that checkpoints have a folder: the one the cluster names in spark.checkpoint.dir, a temporary one only
+    where that is unset and everything runs on one machine (a local master). Elsewhere an unset folder is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt"))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -72,3 +75,20 @@ def results(keep: list[str], *names: str) -> list[str]:
         taken.add(n)
         out.append(n)
     return out
+
+
+#: Bytes of a table up to which it is sent to every task.
+SENT = 16 << 20
+
+
+def fits(df: DataFrame, most: int = SENT) -> bool:
+    """Whether df, measured, is small enough to be sent to every task: 16 bytes a value and the bytes of its texts."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    row = F.lit(16 * len(df.columns))
+    for t in texts:
+        row = row + t
+    return int(df.agg(F.sum(row.cast("long")).alias("n")).first()["n"] or 0) <= most
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fits(df) else df

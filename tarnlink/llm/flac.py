@@ -1,15 +1,22 @@
-"""FLAC media columns: encode bytes as 8-bit mono FLAC, decode any 8-bit mono FLAC stream of fixed-size blocks.
+"""FLAC media columns: encode bytes as 8-bit mono FLAC, decode 8-bit mono FLAC streams in blocks of 192 samples.
 
-A value is a whole FLAC file: marker, STREAMINFO (with the MD5 of the samples), a SEEKTABLE, and frames of `block`
+A value is a whole FLAC file: marker, STREAMINFO (with the MD5 of the samples), a SEEKTABLE, and frames of BLOCK
 samples. A sample is a byte less 128. The encoder picks, block by block, a constant, verbatim, fixed (order 0-2)
 or linear-predictive (order up to `lpc`) subframe with Rice-coded residuals, whichever is shortest. The decoder reads
 residuals in all partition orders and both Rice widths, undoes the predictors, checks each header's CRC-8, each
-frame's CRC-16 and the stream's MD5, and gives blocks of PCM with their sample offsets.
+frame's CRC-16 and the stream's MD5, and gives blocks of PCM with their sample offsets. Streams with other block sizes, with
+wasted bits or with unencoded (escaped) residual partitions are refused with ValueError.
+
+Frames are found by their headers, which pass a CRC and bear the right number; where bytes within a frame look like the next
+one's header, the file is read frame by frame instead, each beginning where the one before ends.
 
 numpy works on all blocks of a slab side by side: bit positions are found by one short loop over the samples of a
 block, everything else is done in one go over the slab. Memory is bounded by the slab, not by the batch or text.
 
-Defined cases: null bytes are stored like empty ones; a damaged frame raises ValueError naming its stream and block.
+Defined cases: null and empty texts are stored as one block of spaces; a null file has no PCM blocks and null features; a damaged
+or truncated file, or one with bytes after its last frame, raises ValueError, which names the block where it is in one; equal
+texts and repeated rows give equal files; an empty table gives no rows; other columns are kept, and those named like an added
+column are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import results, text_batches
 from .wordhash import raw
 
 #: Samples in a block. 192 has a block-size code of its own (1).
@@ -33,8 +40,8 @@ BLOCK = 192
 RATE = 8000
 #: Blocks worked on at once.
 SLAB = 4096
-#: A seek point for every so many blocks.
-SEEK_EVERY = 16
+#: A seek point for every so many blocks, the first included.
+SEEK_EVERY = 8
 _PAD = 8
 
 
@@ -201,7 +208,7 @@ def container(frames: list[bytes], md5: bytes) -> bytes:
     sizes = [len(f) for f in frames] or [0]
     points, at = [], 0
     for i, size in enumerate(sizes[: len(frames)]):
-        if i % SEEK_EVERY == 0 and len(frames) > SEEK_EVERY:
+        if i % SEEK_EVERY == 0:
             points.append(struct.pack(">QQH", i * BLOCK, at, BLOCK))
         at += size
     info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
@@ -232,15 +239,19 @@ def parse(media: bytes) -> Stream:
         raise ValueError("no FLAC marker")
     at, last, found, points = 4, False, None, []
     while not last:
+        if at + 4 > len(media):
+            raise ValueError("truncated metadata")
         last, kind, size = bool(media[at] & 128), media[at] & 127, int.from_bytes(media[at + 1 : at + 4], "big")
         body = media[at + 4 : at + 4 + size]
+        if len(body) < size or kind == 0 and size != 34:
+            raise ValueError("truncated metadata")
         if kind == 0:
             word = int.from_bytes(body[10:18], "big")
             if struct.unpack(">HH", body[:4]) != (BLOCK, BLOCK) or (word >> 36) & 31 != 7 or (word >> 41) & 7:
                 raise ValueError("not mono of 8 bits in blocks of 192")
             found = (word & (1 << 36) - 1, body[18:34])
         elif kind == 3:
-            points = [struct.unpack(">QQ", body[i : i + 16]) for i in range(0, size, 18)]
+            points = [struct.unpack(">QQ", body[i : i + 16]) for i in range(0, size - 17, 18)]
         at += 4 + size
     if not found or found[0] % BLOCK:
         raise ValueError("no usable STREAMINFO")
@@ -392,7 +403,7 @@ def encode(payloads: list[bytes], lpc: int = 2) -> list[bytes]:
 
 
 def frame_starts(media: bytes, s: Stream) -> list[int]:
-    """Where the frames begin. Candidates are sync codes followed by the right frame number and a header that
+    """Where the frames begin, most likely. Candidates are sync codes followed by the right frame number and a header that
     passes its CRC-8; each search goes on from the one before."""
     starts, at = [], s.audio
     for i in range(s.blocks):
@@ -404,27 +415,57 @@ def frame_starts(media: bytes, s: Stream) -> list[int]:
     return starts
 
 
-def decode(media: list[bytes]) -> list[np.ndarray]:
-    """The samples of each file, as uint8 (sample + 128), checksums verified."""
-    streams = [parse(m) for m in media]
-    base, begin, numbers = 0, [], []
+def _one_by_one(media: bytes, at: int, first: int, count: int) -> tuple[np.ndarray, int]:
+    """Samples of count frames from byte at on, each beginning where the one before ends, and the end of the last."""
+    rows = []
+    for i in range(first, first + count):
+        piece = np.frombuffer(media[at : at + 8 * BLOCK + 64], np.uint8)
+        try:
+            x, end = decode_frames(piece, np.zeros(1, np.int64), np.array([i]))
+        except IndexError:  # codes that go on behind the data
+            raise ValueError(f"block {i}: truncated") from None
+        if end[0] > len(piece):
+            raise ValueError(f"block {i}: truncated")
+        at += int(end[0])
+        rows.append(x)
+    return np.concatenate(rows) if rows else np.zeros((0, BLOCK), np.int64), at
+
+
+def _side_by_side(media: list[bytes], streams: list[Stream]) -> np.ndarray:
+    """The samples of all blocks of all files, frames found by their headers."""
+    base, begin, numbers, ends = 0, [], [], []
     for m, s in zip(media, streams, strict=True):
-        begin += [base + b for b in frame_starts(m, s)]
-        numbers += range(s.blocks)
+        own = frame_starts(m, s)
+        begin += [base + b for b in own]
         base += len(m)
+        ends += [*begin[len(begin) - len(own) + 1 :], base] if own else []
+        numbers += range(s.blocks)
     data = np.frombuffer(b"".join(media), np.uint8)
-    begin_a, number_a, blocks = np.array(begin, np.int64), np.array(numbers, np.int64), []
+    begin_a, number_a, end_a, blocks = np.array(begin, np.int64), np.array(numbers, np.int64), np.array(ends, np.int64), []
     for i in range(0, len(begin_a), SLAB):
         j = min(len(begin_a), i + SLAB)
         lo = int(begin_a[i])
-        hi = min(len(data), int(begin_a[j - 1]) + 2 * BLOCK * 4 + 64)
-        x, end = decode_frames(data[lo:hi], begin_a[i:j] - lo, number_a[i:j])
-        same = np.flatnonzero(number_a[i + 1 : j] > 0)
-        if (end[same] != begin_a[i + 1 + same] - lo).any():
+        x, end = decode_frames(data[lo : int(end_a[j - 1])], begin_a[i:j] - lo, number_a[i:j])
+        if (end != end_a[i:j] - lo).any():
             raise ValueError("a frame doesn't end where the next begins")
-        blocks.append((x + 128).astype(np.uint8))
-    x = np.concatenate(blocks) if blocks else np.zeros((0, BLOCK), np.uint8)
-    out, at = [], 0
+        blocks.append(x)
+    return np.concatenate(blocks) if blocks else np.zeros((0, BLOCK), np.int64)
+
+
+def decode(media: list[bytes]) -> list[np.ndarray]:
+    """The samples of each file, as uint8 (sample + 128), checksums verified."""
+    streams = [parse(m) for m in media]
+    try:
+        x = _side_by_side(media, streams)
+    except (ValueError, IndexError):  # damage, or a header's look-alike
+        parts = []
+        for m, s in zip(media, streams, strict=True):
+            rows, end = _one_by_one(m, s.audio, 0, s.blocks)
+            if end != len(m):
+                raise ValueError("bytes after the last frame") from None
+            parts.append(rows)
+        x = np.concatenate(parts)
+    x, out, at = (x + 128).astype(np.uint8), [], 0
     for s in streams:
         pcm = x[at : at + s.blocks].reshape(-1)
         at += s.blocks
@@ -435,14 +476,16 @@ def decode(media: list[bytes]) -> list[np.ndarray]:
 
 
 def seek_many(media: list[bytes], samples: list[int], count: int) -> list[bytes]:
-    """From each file count samples from its given one on. Only the blocks that hold them are read, found from the
-    nearest seek point; the blocks of all files are decoded side by side."""
-    pieces, begin, numbers, spans, base = [], [], [], [], 0
+    """From each file count samples from its given one on. Only the blocks from the nearest seek point on are read; the blocks
+    of all files are decoded side by side."""
+    pieces, begin, numbers, spans, base, whole = [], [], [], [], 0, []
     for m, sample in zip(media, samples, strict=True):
         s = parse(m)
         first, last = sample // BLOCK, min(s.blocks - 1, (sample + count - 1) // BLOCK)
         point = max((p for p in s.points if p[0] // BLOCK <= first), default=(0, 0))
-        at = s.audio + point[1]
+        start = s.audio + point[1]
+        whole.append((start, point[0] // BLOCK, first, last))
+        at = start
         for i in range(point[0] // BLOCK, first):
             at = m.find(_header(i + 1), at + 8)
         start = at
@@ -453,7 +496,10 @@ def seek_many(media: list[bytes], samples: list[int], count: int) -> list[bytes]
         pieces.append(m[start:at])
         spans.append((last + 1 - first, sample - first * BLOCK))
         base += at - start
-    x, _ = decode_frames(np.frombuffer(b"".join(pieces), np.uint8), np.array(begin, np.int64), np.array(numbers, np.int64))
+    try:
+        x, _ = decode_frames(np.frombuffer(b"".join(pieces), np.uint8), np.array(begin, np.int64), np.array(numbers, np.int64))
+    except (ValueError, IndexError):
+        x = np.concatenate([_one_by_one(m, at, point, last + 1 - point)[0][first - point :] for m, (at, point, first, last) in zip(media, whole, strict=True)])
     x, out, row = (x + 128).astype(np.uint8), [], 0
     for rows, skip in spans:
         out.append(x[row : row + rows].reshape(-1)[skip : skip + count].tobytes())
@@ -465,6 +511,17 @@ def seek(media: bytes, sample: int, count: int) -> bytes:
     return seek_many([media], [sample], count)[0]
 
 
+#: FLAC blocks in one block of PCM.
+PER_BLOCK = 16
+
+
+def written(media: list[bytes], per_block: int = PER_BLOCK) -> Iterator[list[tuple[int, bytes]]]:
+    """For each file its blocks of PCM: (sample offset, samples)."""
+    step = per_block * BLOCK
+    for pcm in decode(media):
+        yield [(at, pcm[at : at + step].tobytes()) for at in range(0, len(pcm), step)]
+
+
 def payload(text: bytes) -> bytes:
     """text with spaces up to a positive multiple of BLOCK."""
     return text + b" " * (-len(text) % BLOCK if text else BLOCK)
@@ -473,18 +530,21 @@ def payload(text: bytes) -> bytes:
 def add_media(df: DataFrame, text_col: str, media_col: str = "media", bytes_col: str = "n_bytes", lpc: int = 2) -> DataFrame:
     """df with the FLAC file of each text's padded UTF-8 bytes, and the bytes before padding."""
     text_batches(df.sparkSession)
-    names = df.columns
+    at = df.columns.index(text_col)
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in (media_col.lower(), bytes_col.lower())]
+    names = [df.columns[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = raw(batch.column(names.index(text_col)))
+            data, offsets = raw(batch.column(at))
             for i, j in _groups(np.diff(offsets)):
                 texts = [data[offsets[x] : offsets[x + 1]].tobytes() for x in range(i, j)]
                 made = encode([payload(t) for t in texts], lpc)
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(made, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, media_col, bytes_col])
+                rows = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(made, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, media_col, bytes_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{media_col}` binary, `{bytes_col}` long")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (df.schema[i] for i in kept))
+    return df.mapInArrow(run, f"{schema}`{media_col}` binary, `{bytes_col}` long")
 
 
 def _groups(sizes: np.ndarray, most: int = SLAB * BLOCK) -> Iterator[tuple[int, int]]:
@@ -497,49 +557,63 @@ def _groups(sizes: np.ndarray, most: int = SLAB * BLOCK) -> Iterator[tuple[int,
         i = j
 
 
-def pcm_blocks(df: DataFrame, id_col: str, media_col: str = "media", per_block: int = 16) -> DataFrame:
+def pcm_blocks(df: DataFrame, id_col: str, media_col: str = "media", per_block: int = PER_BLOCK) -> DataFrame:
     """Rows (id, sample_offset, samples, pcm) of up to per_block FLAC blocks each: sorted or bucketed by
     (id, sample_offset), a reader finds any sample without decoding."""
     text_batches(df.sparkSession)
-    step = per_block * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = whole.filter(whole.column(1).is_valid())
             media = batch.column(1).to_pylist()
             for i, j in _groups(np.array([len(m) for m in media])):
-                rows = [(batch.column(0)[i + x], at, pcm[at : at + step].tobytes()) for x, pcm in enumerate(decode(media[i:j])) for at in range(0, len(pcm), step)]
-                ids, at, pcm = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in ids], batch.column(0).type), pa.array(at, pa.int64()), pa.array([len(p) for p in pcm], pa.int32()), pa.array(pcm, pa.binary())], names=["id", "sample_offset", "samples", "pcm"])
+                found = list(written(media[i:j], per_block))
+                ids = batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), [len(f) for f in found])))
+                at, pcm = ([b[k] for f in found for b in f] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array([len(p) for p in pcm], pa.int32()), pa.array(pcm, pa.binary())], names=["id", "sample_offset", "samples", "pcm"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, media_col).mapInArrow(run, f"id {kind}, sample_offset long, samples int, pcm binary")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{media_col}`")).mapInArrow(run, f"id {kind}, sample_offset long, samples int, pcm binary")
 
 
-_FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks int, last_offset long"
 
 
 def features(df: DataFrame, keep: list[str], media_col: str = "media") -> DataFrame:
-    """keep, and what the stored bytes hold once decoded and verified: digests, the CRC of the last 16 samples
-    (found by seeking), and a feature text: blocks, mean, root mean square and zero crossings."""
+    """keep, and what the stored bytes hold once decoded and verified: digests, the CRC of the last 16 samples (found by
+    seeking), a feature text (blocks, mean, root mean square and zero crossings), the number of PCM blocks as pcm_blocks()
+    writes them and the sample offset of the last. Digests and features run over those blocks in their order."""
     text_batches(df.sparkSession)
+    kinds = [x.split() for x in _FEATURES.split(", ")]
+    names = results(keep, *(n for n, _ in kinds))
+
+    def told(m: bytes, blocks: list[tuple[int, bytes]], tail: bytes) -> tuple:
+        digest, total, squares, crossings, samples, last = hashlib.sha256(), 0, 0, 0, 0, None
+        for at, pcm in blocks:
+            if at != samples:
+                raise ValueError(f"sample {samples}: no block of PCM begins here")
+            digest.update(pcm)
+            v = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+            total, squares, samples = total + int(v.sum()), squares + int((v * v).sum()), samples + len(pcm)
+            low = v < 0
+            crossings += int((low[1:] != low[:-1]).sum()) + (last is not None and last != bool(low[0]))
+            last = bool(low[-1])
+        n = max(1, samples)
+        said = f"blocks={samples // BLOCK};mean={total / n:.4f};rms={(squares / n) ** 0.5:.4f};crossings={crossings}"
+        return samples, digest.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), said, len(blocks), blocks[-1][0] if blocks else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
         for batch in batches:
             media = batch.column(len(keep)).to_pylist()
-            for i, j in _groups(np.array([len(m) for m in media])):
-                part = media[i:j]
-                pcm = decode(part)
-                cols = [[], [], [], [], [], []]
-                tails = seek_many(part, [len(p) - 16 for p in pcm], 16)
-                for m, p, tail in zip(part, pcm, tails, strict=True):
-                    b = p.tobytes()
-                    v = p.astype(np.int64) - 128
-                    sums = int(v.sum()), int((v * v).sum()), int(((v[1:] < 0) != (v[:-1] < 0)).sum())
-                    said = f"blocks={len(p) // BLOCK};mean={sums[0] / len(p):.4f};rms={(sums[1] / len(p)) ** 0.5:.4f};crossings={sums[2]}"
-                    for c, x in zip(cols, (len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), said), strict=True):
-                        c.append(x)
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[: len(keep)], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*keep, *(x.split()[0] for x in _FEATURES.split(", "))])
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*[F.col(f"`{c}`") for c in keep], media_col).mapInArrow(run, f"{schema}, {_FEATURES}")
+            for i, j in _groups(np.array([len(m or b"") for m in media])):
+                part = [m for m in media[i:j] if m is not None]
+                blocks = list(written(part))
+                tails = seek_many(part, [max(0, b[-1][0] + len(b[-1][1]) - 16) if b else 0 for b in blocks], 16) if part else []
+                rows = map(told, part, blocks, tails)
+                cols = list(zip(*[(None,) * len(kinds) if m is None else next(rows) for m in media[i:j]], strict=True))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[: len(keep)], *(pa.array(c, types[k]) for c, (_, k) in zip(cols, kinds, strict=True))], names=[*keep, *names])
+
+    schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    made = ", ".join(f"`{n}` {k}" for n, (_, k) in zip(names, kinds, strict=True))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media_col}`")).mapInArrow(run, schema + made)

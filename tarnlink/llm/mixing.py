@@ -6,27 +6,32 @@ spent on complete epochs, then the rest goes down that order until the running s
 from a hash of the id, so reruns agree.
 
 Running sums never bring a source into one task: rows are dealt into (source, key range) cells of bounded size,
-cells are summed, and a row's sum is its cell's offset plus the sum within the cell.
+cells are summed, and a row's sum is its cell's offset plus the sum within the cell. Cells are even on the logarithm of the key:
+whatever its weight w, a key falls into a range of ratio 1 + d with a probability of at most d / e, so no mixture of weights
+crowds a cell.
 
-Defined cases: a null text has size 0; null sources form one source, ordered last; null ids draw one common key
+Defined cases: a null text has size 0; null sources form one source, ordered last; rows without an id draw by their texts
 (ties go by id, then size); an empty table gives an empty result; other columns, whatever their names, are kept
 aside and do not take part.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, settle
+from .common import WORD, fresh, sent_if_small, settle
 
-#: Rows in one (source, key range) cell, on average.
+#: Rows in one (source, key range) cell, at most, as expected.
 CELL_ROWS = 20_000
 
 
-def sample_key(doc_id: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 52 bits of a hash of the id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed))), 1, 13), 16, 10)
+def sample_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight with u in (0, 1) from 52 bits of a hash of the id, or of the text's hash where there is no id."""
+    name = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    bits = F.conv(F.substring(F.md5(F.concat(name, F.lit(seed))), 1, 13), 16, 10)
     return -F.ln((bits.cast("long") + 0.5) / float(1 << 52)) / weight
 
 
@@ -69,17 +74,17 @@ def mix(
     in part, so a source's sum differs from its target by less than a word.
     """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.when(F.col(f"`{id_col}`").isNull(), F.col(f"`{text_col}`")).alias("_t"),
     )
     if quality is not None:
         rows = rows.join(quality.select(F.col("doc_id"), F.col("weight").alias("_q")), "doc_id", "left")
     else:
         rows = rows.withColumn("_q", F.lit(1.0))
-    rows = settle(rows.select("doc_id", "source", "size", sample_key(F.col("doc_id"), F.coalesce("_q", F.lit(1.0)), seed).alias("key")))
+    rows = settle(rows.select("doc_id", "source", "size", sample_key(F.col("doc_id"), F.col("_t"), F.coalesce("_q", F.lit(1.0)), seed).alias("key")))
     plan = settle(budgets(rows, list(weights), share, cap))
     same = rows["source"].eqNullSafe(plan["source"])
-    cell = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / CELL_ROWS)).alias("_cell")
+    cell = F.floor(F.ln("key") * F.greatest(F.lit(1.0), F.col("n") / (math.e * CELL_ROWS))).alias("_cell")
     rows = rows.join(plan, same, "left").select("doc_id", rows["source"], "size", "key", "source_size", "target", cell)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("epochs", epochs)
@@ -109,18 +114,16 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text
     not exchanged (but to find their weights, where those are too many to send to all tasks)."""
     cols = docs.columns
     size, key, q, qid, src, epochs, edge, times = fresh(docs, "_size", "_key", "_q", "_qid", "_src", "_epochs", "_edge", "_times")
-    out = docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    out = docs.withColumn(size, F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long"))
     if quality is not None:
         weights = settle(quality.select(F.col("doc_id").alias(qid), F.col("weight").alias(q)))
-        small = weights.count() <= 1_000_000
-        out = out.join(F.broadcast(weights) if small else weights, F.col(id_col) == F.col(qid), "left")
+        out = out.join(sent_if_small(weights), F.col(f"`{id_col}`") == F.col(qid), "left")
     else:
         out = out.withColumn(q, F.lit(1.0))
-    out = out.withColumn(key, sample_key(F.col(id_col), F.coalesce(q, F.lit(1.0)), seed))
+    out = out.withColumn(key, sample_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.coalesce(q, F.lit(1.0)), seed))
     limits = settle(edges(mixed).select(F.col("source").alias(src), F.col("epochs").alias(epochs), F.col("edge").alias(edge)))  # a row per source
-    small = limits.count() <= 1_000_000
-    out = out.join(F.broadcast(limits) if small else limits, F.col(source_col).eqNullSafe(F.col(src)), "left")
-    taken = F.struct(F.col(key).alias("key"), F.col(id_col).alias("doc_id"), F.col(size).alias("size")) <= F.col(edge)
+    out = out.join(sent_if_small(limits), F.col(f"`{source_col}`").eqNullSafe(F.col(src)), "left")
+    taken = F.struct(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(size).alias("size")) <= F.col(edge)
     count = F.when(F.col(size) == 0, 1).otherwise(F.col(epochs) + F.coalesce(taken, F.lit(False)).cast("long"))
     out = out.withColumn(times, count.cast("int")).filter(F.col(times) > 0)
     return out.withColumn(size, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in cols])

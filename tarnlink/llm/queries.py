@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flac, langid, mixing, nbest, ngram_join, pivots, secrets, sharding, token_rollup, toxicity
-from .common import held_out, shared_dir, table
+from .common import held_out, settle, shared_dir, table
 
 #: Public tokenizer files; every executor has them at this path.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -62,14 +62,25 @@ def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as one batch of inserts into a new store; committing it again changes nothing."""
+    """A store that sees every kind of change: all documents arrive with an estimate of their tokens, are revised to their
+    counts, a tenth of them is deleted and comes back. Each batch is committed twice, as by a retry, and the batches are
+    folded into one half-way. The totals are those of the table as it is."""
     shared_dir(spark)
     store = token_rollup.Store(spark, f"{spark.sparkContext.getCheckpointDir()}/rollup-{uuid.uuid4().hex}")
     count = token_rollup.token_counter(RANKS)
-    docs = table(spark, sf_dir, "documents").select("source", "lang", count("text").alias("tokens"))
-    batch = token_rollup.deltas(docs, "byte_bpe_50k", op=F.lit("insert"), tokens=F.col("tokens"))
-    for _ in range(2):
-        store.commit("documents", batch)
+    guess = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long")
+    docs = settle(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", count("text").alias("tokens"), guess.alias("guess")))
+    leaves = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
+    tokens = F.col("tokens")
+    for name, rows, op, now, old in (
+        ("arrived", docs, "insert", F.col("guess"), None), ("counted", docs, "revise", tokens, F.col("guess")),
+        ("deleted", leaves, "delete", tokens, None), ("returned", leaves, "insert", tokens, None),
+    ):
+        change = token_rollup.deltas(rows, "byte_bpe_50k", op=F.lit(op), tokens=now, old=old)
+        for _ in range(2):
+            store.commit(name, change)
+        if name == "deleted":
+            store.compact()
     return store.totals()
 
 
@@ -95,7 +106,7 @@ ORACLE: dict[str, str] = {
 with q as (select doc_id, max(quality) q from labels group by doc_id),
 d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size,
-    -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '') || 'mix'), 1, 13))::bigint + 0.5::double) / 4503599627370496)
+    -ln((('0x' || substr(md5(coalesce(doc_id::varchar, md5(coalesce(text, ''))) || 'mix'), 1, 13))::bigint + 0.5::double) / 4503599627370496)
       / (case when q is null then 1.0::double when q >= 1 then 2.0::double else 0.5::double end) k
   from documents left join q using (doc_id)),
 s as (select source, sum(size)::bigint ss, row_number() over (order by source nulls last) - 1 i from d group by source),

@@ -3,11 +3,17 @@
 Totals of rows and tokens by (source, lang, tokenizer) are the sum of batches of signed deltas: an insert adds a row
 and its tokens, a delete takes them away, a revision adds the difference between its new and old count. A batch is
 summed by key before it is written and is committed by its _SUCCESS mark under a name derived from its id, so
-committing the same batch again, or retrying one that died half-way, changes nothing. compact() folds the batches
-committed so far into one, whose name lists nothing and whose `absorbed` table says which it replaces.
+committing the same batch again, or retrying one that died half-way, changes nothing.
 
-Defined cases: a null text counts 0 tokens, and still a row; null sources and languages are keys of their own; an empty
-batch commits and changes nothing; keys whose rows and tokens come to 0 stay, with zeros; other columns do not take part.
+compact() folds the batches committed so far into one sum. It claims a number that no other compaction has, lists the batches
+once, writes the sum of just those and the sum before, and publishes a list of what went in by renaming it into place; only the
+last published list counts, so a compaction that dies, is slow or runs beside another one leaves the totals as they are, and so
+do batches that arrive meanwhile. Batches that a published list holds are marked as absorbed, which is how a late retry
+finds them, and then deleted. Totals that are being read while files go must be read again.
+
+Defined cases: a null text counts 0 tokens, and still a row; null sources and languages are keys of their own; repeated rows
+count each, there are no ties; an empty batch commits and changes nothing; keys whose rows and tokens come to 0 stay, with zeros;
+an empty store has no totals; other columns, whatever their names, do not take part.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,44 +70,95 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _place(self, batch_id: str) -> str:
-        return f"{self.folder}/batch-{hashlib.sha256(batch_id.encode()).hexdigest()[:32]}"
+    def _at(self, name: str):
+        return self._path(f"{self.folder}/{name}")
+
+    def _name(self, batch_id: str) -> str:
+        return f"batch-{hashlib.sha256(batch_id.encode()).hexdigest()[:32]}"
+
+    def _absorbed(self, name: str) -> bool:
+        return self._fs.exists(self._at(f"absorbed-{name[6:]}"))
+
+    def _whole(self, name: str) -> bool:
+        return self._fs.exists(self._at(f"{name}/_SUCCESS"))
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(f"{self._place(batch_id)}/_SUCCESS")) or self._place(batch_id).rsplit("/", 1)[1] in self._absorbed()
+        name = self._name(batch_id)
+        return self._absorbed(name) or self._whole(name)
 
     def commit(self, batch_id: str, change: DataFrame) -> bool:
         """Writes the batch unless it is committed already; whether it was written now."""
         if self.committed(batch_id):
             return False
-        change.withColumns({"rows": F.col("rows").cast("long"), "tokens": F.col("tokens").cast("long")}).write.mode("overwrite").parquet(self._place(batch_id))
+        change.withColumns({"rows": F.col("rows").cast("long"), "tokens": F.col("tokens").cast("long")}).write.mode("overwrite").parquet(f"{self.folder}/{self._name(batch_id)}")
         return True
 
-    def _done(self, prefix: str) -> list[str]:
+    def _names(self, prefix: str) -> list[str]:
         if not self._fs.exists(self._path(self.folder)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return sorted(n for n in names if n.startswith(prefix) and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS")))
-
-    def _absorbed(self) -> set[str]:
-        last = self._done("list-")[-1:]
-        return {r[0] for r in self.spark.read.parquet(f"{self.folder}/{last[0]}").collect()} if last else set()
-
-    def _live(self) -> list[str]:
-        """The latest compacted sum, if any, and the batches since."""
-        last = self._done("list-")[-1:]
-        absorbed = self._absorbed()
-        return [f"sum-{n[5:]}" for n in last] + [n for n in self._done("batch-") if n not in absorbed]
-
-    def totals(self) -> DataFrame:
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))) if n.startswith(prefix))
+
+    def _state(self) -> tuple[str | None, list[str]]:
+        """The last published number, if any, and the committed batches that its sum does not hold."""
+        last = self._names("list-")[-1:]
+        held = set(self._listed(last[0])) if last else set()
+        return (last[0][5:] if last else None), [n for n in self._names("batch-") if n not in held and self._whole(n) and not self._absorbed(n)]
+
+    def _listed(self, name: str) -> list[str]:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+
+    def _write(self, name: str, text: str) -> None:
+        """Writes a file that must not be there yet."""
+        out = self._fs.create(self._at(name), False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def _sum(self, number: str | None, batches: list[str]) -> DataFrame:
         schema = "source string, lang string, tokenizer string, rows long, tokens long"
-        live = self._live()
-        parts = self.spark.read.schema(schema).parquet(*[f"{self.folder}/{n}" for n in live]) if live else self.spark.createDataFrame([], schema)
+        names = ([f"sum-{number}"] if number else []) + batches
+        parts = self.spark.read.schema(schema).parquet(*[f"{self.folder}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
         return parts.groupBy(*KEY).agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"))
 
+    def totals(self) -> DataFrame:
+        return self._sum(*self._state())
+
+    def _claim(self) -> str:
+        while True:
+            taken = self._names("claim-")
+            number = f"{int(taken[-1][6:]) + 1 if taken else 0:08d}"
+            try:
+                self._write(f"claim-{number}", "")
+                return number
+            except Py4JJavaError:
+                if not self._fs.exists(self._at(f"claim-{number}")):
+                    raise
+
     def compact(self) -> None:
-        """Folds all committed batches into one sum. The sum is written first and counts once its list is committed."""
-        batches = sorted(set(self._done("batch-")) | self._absorbed())
-        name = f"{len(self._done('list-')):08d}"
-        self.totals().write.mode("overwrite").parquet(f"{self.folder}/sum-{name}")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/list-{name}")
+        """Folds all committed batches into one sum."""
+        self._tidy()
+        number = self._claim()
+        before, batches = self._state()
+        if not batches:
+            return
+        self._sum(before, batches).write.mode("overwrite").parquet(f"{self.folder}/sum-{number}")
+        self._write(f"new-{number}", "\n".join(batches))
+        self._publish(number)
+        self._tidy()
+
+    def _publish(self, number: str) -> None:
+        if not self._fs.rename(self._at(f"new-{number}"), self._at(f"list-{number}")):
+            raise OSError(f"list {number} could not be published")
+
+    def _tidy(self) -> None:
+        """Marks and deletes the batches that the last published sum holds."""
+        for last in self._names("list-")[-1:]:
+            for name in self._listed(last):
+                if not self._absorbed(name):
+                    self._fs.create(self._at(f"absorbed-{name[6:]}"), True).close()
+                self._fs.delete(self._at(name), True)
