@@ -65,20 +65,20 @@ def grams(c: Column, n: int) -> Column:
     return F.concat(t, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
-def tfidf(rows: DataFrame, text: Column, *, n: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
-    """(side, id, term, weight) of rows (side, id, ...), fitted on all of them: raw counts times
-    ln((1 + n) / (1 + df)) + 1, scaled to unit length by row.
+def tfidf(names: DataFrame, text: Column, *, n: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """(name, term, df, weight) of distinct names (name, times), fitted on all of them as often as they stand: raw counts times
+    ln((1 + n) / (1 + df)) + 1, scaled to unit length by name.
 
     max_df drops terms in more than that share of rows; max_features keeps the most frequent ones, ties by term."""
-    tf = rows.select("side", "id", F.explode(grams(text, n)).alias("term")).groupBy("side", "id", "term").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    total = rows.agg(F.count("*").alias("n"))
+    tf = names.select("name", "times", F.explode(grams(text, n)).alias("term")).groupBy("name", "times", "term").agg(F.count("*").alias("tf"))
+    terms = tf.groupBy("term").agg(F.sum("times").alias("df"), F.sum(F.col("tf") * F.col("times")).alias("total"))
+    total = names.agg(F.sum("times").alias("n"))
     terms = terms.crossJoin(F.broadcast(total))  # one row
     if max_df < 1:
         terms = terms.filter(F.col("df") <= max_df * F.col("n"))
     if max_features:
         terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
-    idf = terms.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = terms.select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("side", "id")))
-    return w.select("side", "id", "term", (F.col("w") / norm).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("name")))
+    return w.select("name", "term", "df", (F.col("w") / norm).alias("weight"))

@@ -1,48 +1,102 @@
 """Record linkage: exact, blocked, nested-loop, neighbour and TF-IDF matching, and their waterfall.
 
 Both sides are (id, name), name in the form compared (functions.text.name_key). Empty names match nothing. Results are
-(left_id, right_id, score); ties go to the smaller right id. Scores are in 0..100 for ratios, in 0..1 for cosines.
+(left_id, right_id, score, rank); ties go to the smaller right id. Scores are in 0..100 for ratios, in 0..1 for cosines. With
+apart=True rows of the same id do not match, for a table that is linked with itself.
+
+Equal names are compared once, whatever the number of rows that have them, and only the smallest ids of a name take part on
+the right, since no other can win. Ratios are computed for pairs that can reach the threshold: an Indel ratio of t bounds how
+many of a name's bigrams the other name may lack, so names meet on the rarest of their bigrams (as many as may be lacking, and
+one), with lengths in neighbouring bands, and must share enough of them before they are scored. Two names that may lack all their
+bigrams, as at low thresholds, meet on lengths alone. Cosines are prefix-filtered alike: a row's terms by rising frequency, up to
+where the rest is too short a vector to reach the threshold. All of this is exact.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio, may_reach, tfidf
 from ..functions.text import block_key, token_sort
+from ..sources.files import settle
+from . import classify
 from .dedup import top
 
 
-def _side(df: DataFrame, tag: str, least: int) -> DataFrame:
-    sorted_name = token_sort(F.col("name"))
-    return df.filter(F.length("name") >= least).select(F.col("id").alias(f"{tag}_id"), F.col("name").alias(f"{tag}_name"), sorted_name.alias(f"{tag}_sorted"), F.length(sorted_name).alias(f"{tag}_len"))
+def _classes(df: DataFrame, block: int, least: int) -> DataFrame:
+    """id, block (the first characters, '' for none) and s, the sorted name."""
+    rows = df.filter(F.length("name") >= max(1, least)).select("id", (block_key(F.col("name"), block) if block else F.lit("")).alias("block"), token_sort(F.col("name")).alias("s"))
+    return rows.filter("s <> ''")
 
 
-def _best(pairs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Scores pairs that can reach the threshold; the n best of each left row."""
-    pairs = pairs.filter(may_reach(F.col("left_len"), F.col("right_len"), threshold))
-    scored = pairs.select("left_id", "right_id", indel_ratio("left_sorted", "right_sorted").alias("score")).filter(F.col("score") >= threshold)
-    return top(scored, ["left_id"], [F.desc("score"), "right_id"], n).select("left_id", "right_id", "score", "rank")
+def _lacking(length: Column, t: float) -> Column:
+    """The most bigrams (with the edges as letters) of a name of this length that a name at ratio t or more may lack. With an
+    LCS of m, length - m letters go, breaking two bigrams each, and others come between, breaking one each."""
+    other = length * (t / (2 - t) if 1 - 1.5 * t < 0 else (2 - t) / t)
+    return F.floor(length * (2 - 1.5 * t) + other * (1 - 1.5 * t) + 1e-6)
 
 
-def blocked(left: DataFrame, right: DataFrame, *, threshold: float = 85, n: int = 1, block: int = 2, least: int = 1) -> DataFrame:
+def _grammed(names: DataFrame, t: float) -> DataFrame:
+    """(block, s) with length, grams, the number lacking at most, and whether all may lack."""
+    edged = F.concat(F.lit("\u0002"), F.col("s"), F.lit("\u0003"))
+    out = names.select("block", "s", F.length("s").alias("len"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") + 1), lambda i: F.substr(edged, i, F.lit(2)))).alias("grams"))
+    return out.withColumn("lack", F.least(_lacking(F.col("len"), t), F.size("grams"))).withColumn("open", F.col("lack") >= F.size("grams"))
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (block, a, b) of names (block, s) of equal block that may reach the ratio."""
+    t = threshold / 100
+    ratio = t / (2 - t)
+    band = lambda c: F.floor(F.log(c) / -math.log(ratio) + 1e-9).cast("int") if ratio < 1 else c
+    near = lambda c: F.explode(F.sequence(band(c) - 1, band(c) + 1)) if ratio < 1 else c
+    l, r = _grammed(left, t), _grammed(right, t)
+    counts = l.select(F.explode("grams").alias("g")).unionAll(r.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count("*").alias("c"))
+
+    def rarest(df: DataFrame) -> DataFrame:
+        rows = df.select("block", "s", "len", "grams", "lack", "open", F.explode("grams").alias("g")).join(counts, "g")
+        rank = F.row_number().over(Window.partitionBy("block", "s").orderBy("c", "g"))
+        return rows.withColumn("_r", rank).filter(F.col("_r") <= F.col("lack") + 1).drop("_r", "c")
+
+    both = lambda df, tag, *more: df.select("block", *more, F.col("s").alias(tag), F.col("len").alias(f"{tag}_len"), F.col("grams").alias(f"{tag}_grams"), F.col("lack").alias(f"{tag}_lack"))
+    by_gram = both(rarest(l).withColumn("band", near(F.col("len"))), "a", "band", "g").join(both(rarest(r).withColumn("band", band(F.col("len"))), "b", "band", "g"), ["block", "band", "g"]).drop("g")
+    by_length = both(l.filter("open").withColumn("band", near(F.col("len"))), "a", "band").join(both(r.filter("open").withColumn("band", band(F.col("len"))), "b", "band"), ["block", "band"])
+    shared = F.size(F.array_intersect("a_grams", "b_grams"))
+    enough = (shared >= F.size("a_grams") - F.col("a_lack")) & (shared >= F.size("b_grams") - F.col("b_lack"))
+    out = by_gram.unionByName(by_length).filter(may_reach(F.col("a_len"), F.col("b_len"), threshold)).filter(enough)
+    return out.select("block", "a", "b").distinct()
+
+
+def _expanded(left: DataFrame, right: DataFrame, scored: DataFrame, key: list[str], n: int, apart: bool) -> DataFrame:
+    """The n best right rows of each left row, from scores of name pairs (key, a, b, score); left and right: id, key, s."""
+    held = n + 1 if apart else n
+    ids = top(right.select(*key, F.col("s").alias("b"), F.col("id").alias("right_id")).distinct(), [*key, "b"], ["right_id"], held, "_i").drop("_i")
+    best = top(scored.join(ids, [*key, "b"]), [*key, "a"], [F.desc("score"), "right_id"], held, "_b").drop("_b", "b")
+    rows = left.select(*key, F.col("s").alias("a"), F.col("id").alias("left_id")).join(best, [*key, "a"])
+    if apart:
+        rows = rows.filter(F.col("left_id") != F.col("right_id"))
+    return top(rows, ["left_id"], [F.desc("score"), "right_id"], n).select("left_id", "right_id", "score", "rank")
+
+
+def _by_ratio(left: DataFrame, right: DataFrame, threshold: float, n: int, block: int, least: int, apart: bool) -> DataFrame:
+    l, r = _classes(left, block, least), _classes(right, block, least)
+    pairs = candidates(l.select("block", "s").distinct(), r.select("block", "s").distinct(), threshold)
+    score = F.when(F.col("a") == F.col("b"), 100.0).otherwise(indel_ratio("a", "b"))
+    scored = pairs.select("block", "a", "b", score.alias("score")).filter(F.col("score") >= threshold)
+    return _expanded(l, r, scored, ["block"], n, apart)
+
+
+def blocked(left: DataFrame, right: DataFrame, *, threshold: float = 85, n: int = 1, block: int = 2, least: int = 1, apart: bool = False) -> DataFrame:
     """The n best right rows within each left row's block (equal first characters)."""
-    l, r = (_side(df, t, least).withColumn(f"{t}_block", block_key(F.col(f"{t}_name"), block)) for df, t in ((left, "left"), (right, "right")))
-    return _best(l.join(r, F.col("left_block") == F.col("right_block")), threshold, n)
+    return _by_ratio(left, right, threshold, n, block, least, apart)
 
 
-def nested_loop(left: DataFrame, right: DataFrame, *, threshold: float = 85, n: int = 1, where: Column | None = None) -> DataFrame:
-    """The n best right rows of all, for each left row. Only lengths within a fixed ratio can reach the threshold, so
-    rows meet on bands of their lengths, a band and its neighbours, and not every row with every row."""
-    ratio = threshold / (200 - threshold)
-    band = lambda c: F.floor(F.log(F.col(c)) / -math.log(ratio) + 1e-9).cast("int")
-    l = _side(left, "left", 1).withColumn("band", F.explode(F.sequence(band("left_len") - 1, band("left_len") + 1)))
-    r = _side(right, "right", 1).withColumn("band", band("right_len"))
-    pairs = l.join(r, "band")
-    return _best(pairs.filter(where) if where is not None else pairs, threshold, n)
+def nested_loop(left: DataFrame, right: DataFrame, *, threshold: float = 85, n: int = 1, apart: bool = False) -> DataFrame:
+    """The n best right rows of all, for each left row."""
+    return _by_ratio(left, right, threshold, n, 0, 1, apart)
 
 
 def exact(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
@@ -59,31 +113,56 @@ def exact(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Dat
 
 def neighbours(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of (id, key) rows where one key begins with the other. Prefixes are spelt out, so both ways are equi-joins."""
-    prefixes = lambda df: df.filter("key <> ''").select("id", "key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substr(F.col("key"), F.lit(1), i))).alias("prefix"))
-    down = prefixes(left).alias("l").join(right.alias("r"), F.col("l.prefix") == F.col("r.key"))
-    up = left.alias("l").join(prefixes(right).alias("r"), F.col("r.prefix") == F.col("l.key"))
+    prefixes = lambda df: df.filter("key <> ''").select("id", "key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substr(F.col("key"), F.lit(1), i))).alias("_prefix"))
+    down = prefixes(left).alias("l").join(right.alias("r"), F.col("l._prefix") == F.col("r.key"))
+    up = left.alias("l").join(prefixes(right).alias("r"), F.col("r._prefix") == F.col("l.key"))
     cols = [F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.key").alias("left_key"), F.col("r.key").alias("right_key")]
     return down.select(*cols).union(up.select(*cols)).distinct()
 
 
-def cosine(left: DataFrame, right: DataFrame, *, threshold: float = 0.7, n: int = 1, grams: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
-    """The n nearest right rows of each left row by TF-IDF cosine, fitted on both sides together. Rows meet on terms;
-    nothing is made dense."""
-    rows = left.select(F.lit("l").alias("side"), "id", "name").unionByName(right.select(F.lit("r").alias("side"), "id", "name"))
-    w = tfidf(rows, F.col("name"), n=grams, max_df=max_df, max_features=max_features)
-    l = w.filter("side = 'l'").select(F.col("id").alias("left_id"), "term", F.col("weight").alias("a"))
-    r = w.filter("side = 'r'").select(F.col("id").alias("right_id"), "term", F.col("weight").alias("b"))
-    score = l.join(r, "term").groupBy("left_id", "right_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("score"))
-    return top(score.filter(F.col("score") >= threshold), ["left_id"], [F.desc("score"), "right_id"], n).select("left_id", "right_id", "score", "rank")
-
-
-def waterfall(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Exact names first, then the best in the block, then the nearest by cosine; each stage sees only left rows that the
-    stages before left over. score is in 0..1, raw_score in the stage's own unit."""
-    first = top(exact(left.filter("name <> ''"), right, [("name", "name")]), ["left_id"], ["right_id"], 1)
-    out = first.select("left_id", "right_id", F.lit(1.0).alias("score"), F.lit(100.0).alias("raw_score"), F.lit("exact").alias("method"))
-    for method, match, unit in (("fuzzy", blocked, 100.0), ("tfidf", cosine, 1.0)):
-        rest = left.join(out.select(F.col("left_id").alias("id")), "id", "left_anti")
-        got = match(rest, right)
-        out = out.unionByName(got.select("left_id", "right_id", (F.col("score") / unit).alias("score"), F.col("score").alias("raw_score"), F.lit(method).alias("method")))
+def cosine(left: DataFrame, right: DataFrame, *, threshold: float = 0.7, n: int = 1, grams: int = 1, max_df: float = 1.0, max_features: int | None = None, apart: bool = False) -> DataFrame:
+    """The n nearest right rows of each left row by TF-IDF cosine, fitted on both sides together. Names meet on the rarest of
+    their terms; nothing is made dense."""
+    l, r = (df.filter("name <> ''").select("id", F.col("name").alias("s")) for df in (left, right))
+    names = left.select("name").unionAll(right.select("name")).groupBy("name").agg(F.count("*").alias("times"))
+    w = settle(tfidf(names, F.col("name"), n=grams, max_df=max_df, max_features=max_features))
+    past = Window.partitionBy("name").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    first = w.withColumn("_rest", F.sum(F.col("weight") * F.col("weight")).over(past)).filter(F.col("_rest") >= (threshold - 1e-6) ** 2).select("name", "term")
+    a = first.join(l.select(F.col("s").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("a"), "term")
+    b = first.join(r.select(F.col("s").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("b"), "term")
+    pairs = a.join(b, "term").select("a", "b").distinct()
+    x = w.select(F.col("name").alias("a"), "term", F.col("weight").alias("_x"))
+    y = w.select(F.col("name").alias("b"), "term", F.col("weight").alias("_y"))
+    scored = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("_x") * F.col("_y")), 6).alias("score")).filter(F.col("score") >= threshold)
+    return _expanded(l, r, scored, [], n, apart)
+
+
+def by_model(left: DataFrame, right: DataFrame, *, client: Callable[[str, str], str] = classify.rule_client, least: float = 0.2, n: int = 3, apart: bool = False) -> DataFrame:
+    """The best right row of each left row by a language model's answers about its n nearest ones (cosine of least or more)."""
+    pairs = cosine(left, right, threshold=least, n=n, apart=apart).select("left_id", "right_id")
+    pairs = pairs.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("_a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("name").alias("_b")), "right_id")
+    said = classify.ask(pairs, "_a", "_b", client).select("left_id", "right_id", classify.parse(F.col("answer")).alias("r")).filter("r.is_match")
+    return top(said.select("left_id", "right_id", F.col("r.confidence").alias("score")), ["left_id"], [F.desc("score"), "right_id"], 1)
+
+
+def waterfall(left: DataFrame, right: DataFrame, *, client: Callable[[str, str], str] | None = classify.rule_client, apart: bool = False) -> DataFrame:
+    """Exact names first, then the best in the block, then the nearest by cosine, then what a language model takes for a match
+    (none with client=None); each stage sees only left rows that the stages before left over, and is settled before the next.
+    score is in 0..1, raw_score in the stage's own unit."""
+    held = top(right.filter("name <> ''"), ["name"], ["id"], 2 if apart else 1, "_i").select(F.col("id").alias("right_id"), "name")
+    pairs = left.filter("name <> ''").select(F.col("id").alias("left_id"), "name").join(held, "name")
+    if apart:
+        pairs = pairs.filter(F.col("left_id") != F.col("right_id"))
+    first = top(pairs, ["left_id"], ["right_id"], 1)
+    out = settle(first.select("left_id", "right_id", F.lit(1.0).alias("score"), F.lit(100.0).alias("raw_score"), F.lit("exact").alias("method")))
+    stages = [("fuzzy", blocked, 100.0), ("tfidf", cosine, 1.0)]
+    if client:
+        stages.append(("llm", lambda a, b, apart: by_model(a, b, client=client, apart=apart), 1.0))
+    rest = left
+    done = out
+    for method, match, unit in stages:
+        rest = settle(rest.join(done.select(F.col("left_id").alias("id")), "id", "left_anti"))
+        got = match(rest, right, apart=apart)
+        done = settle(got.select("left_id", "right_id", (F.col("score") / unit).alias("score"), F.col("score").alias("raw_score"), F.lit(method).alias("method")))
+        out = out.unionByName(done)
     return out

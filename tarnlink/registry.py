@@ -48,30 +48,25 @@ def ratio(a: str, b: str) -> str:
     return f"(200.0::double * {lcs(a, b)} / (length({a}) + length({b})))"
 
 
-TITLE_NAMES = f"""pt as (select page_id as id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as t from pages),
-ds as (select doc_id as id, text as t from documents)"""
+#: The two sides of the linkage queries: titles and headings of pages, whole; a page does not match itself.
+_NAMES = f"""l as (select page_id as id, lower({STRIP.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) as name from pages),
+r as (select page_id as id, lower({STRIP.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}) as name from pages)"""
 
-#: The two sides of the linkage queries: page titles and the heads of documents, so many characters of each.
-HEAD = 24
 
+def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf_dir, "pages")
+    return tuple(pages.select(F.col("page_id").alias("id"), text.name_key(F.regexp_extract("html", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)).alias("name")) for tag in ("title", "h1"))
 
-def names(spark: SparkSession, sf_dir: str, head: int = HEAD) -> tuple[DataFrame, DataFrame]:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("t"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    return tuple(d.select("id", text.name_key(F.substring("t", 1, head)).alias("name")) for d in (pages, docs))
 
-
-def sides(head: int = HEAD) -> str:
-    name = STRIP.format(f"t[1:{head}]")
-    return f"{TITLE_NAMES}, l as (select id, lower({name}) as name from pt), r as (select id, lower({name}) as name from ds)"
-
-
-def best_sql(pairs: str, threshold: float, n: int = 1) -> str:
-    """Oracle tail: pairs (lid, rid, a, b with a, b token-sorted) to the n best."""
-    return f"""p as materialized ({pairs}),
-q as (select *, {ratio("a", "b")} as s from p where 200 * least(length(a), length(b)) >= {threshold} * (length(a) + length(b))),
-k as (select lid, rid, s, row_number() over (partition by lid order by s desc, rid) as rk from q where s >= {threshold})
-select lid as left_id, rid as right_id, round(s, 6) as score, rk::int as rank from k where rk <= {n}"""
+def best_sql(threshold: float, n: int = 1, block: int = 0, least: int = 1, tag: str = "") -> str:
+    """Oracle: the n best of each row of l by the ratio of sorted names, from r, of another id, each pair of names scored once."""
+    key = f"name[1:{block}]" if block else "''"
+    sides = ", ".join(f"{tag}{x}s as (select id, {key} k, {SORTED.format('name')} s from {x} where length(name) >= {least} and {SORTED.format('name')} <> '')" for x in ("l", "r"))
+    return f"""{sides},
+{tag}p as materialized (select distinct x.k, x.s a, y.s b from (select distinct k, s from {tag}ls) x join (select distinct k, s from {tag}rs) y on x.k = y.k and 200 * least(length(x.s), length(y.s)) >= {threshold} * (length(x.s) + length(y.s))),
+{tag}q as materialized (select k, a, b, case when a = b then 100.0::double else {ratio("a", "b")} end sc from {tag}p),
+{tag}k as (select x.id lid, y.id rid, sc, row_number() over (partition by x.id order by sc desc, y.id) rk from {tag}q q join {tag}ls x on x.k = q.k and x.s = q.a join {tag}rs y on y.k = q.k and y.s = q.b where sc >= {threshold} and x.id <> y.id),
+{tag}f as (select lid as left_id, rid as right_id, round(sc, 6) as score, rk::int as rank from {tag}k where rk <= {n})"""
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -80,90 +75,97 @@ def rounded(df: DataFrame) -> DataFrame:
 
 # --- linkage ------------------------------------------------------------------------------------------------------
 
-_block = f"select l.id lid, r.id rid, {SORTED.format('l.name')} a, {SORTED.format('r.name')} b from l join r on l.name[1:2] = r.name[1:2]"
 
-
-@query(f"with {sides()}, {best_sql(_block + " where l.name <> '' and r.name <> ''", 85)}")
+@query(f"with {_NAMES}, {best_sql(85, block=2)} select * from f")
 def match_blocked_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(linkage.blocked(*names(spark, sf_dir)))
+    return rounded(linkage.blocked(*names(spark, sf_dir), apart=True))
 
 
-PARTS = """l as (select p_name as name, min(p_partkey) as id from part where p_partkey % 2 = 0 group by p_name),
-r as (select p_name as name, min(p_partkey) as id from part where p_partkey % 2 = 1 group by p_name)"""
+#: All part names, each under its least key: names meet other names.
+_PARTS = "l as (select p_name as name, min(p_partkey) as id from part group by p_name), r as (select * from l)"
 
 
-def part_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    part = table(spark, sf_dir, "part")
-    return tuple(part.filter(F.col("p_partkey") % 2 == i).groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select("id", "name") for i in (0, 1))
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select("id", "name")
 
 
-@query(f"with {PARTS}, {best_sql(f'select l.id lid, r.id rid, {SORTED.format("l.name")} a, {SORTED.format("r.name")} b from l, r where l.name <> r.name', 60)}")
+@query(f"with {_PARTS}, {best_sql(60)} select * from f")
 def match_nested_loop_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(linkage.nested_loop(*part_names(spark, sf_dir), threshold=60, where=F.col("left_name") != F.col("right_name")))
+    n = part_names(spark, sf_dir)
+    return rounded(linkage.nested_loop(n, n, threshold=60, apart=True))
 
 
-@query(f"with {PARTS}, {best_sql(_block + ' where length(l.name) >= 2 and length(r.name) >= 2', 60, 5)}")
+@query(f"with {_PARTS}, {best_sql(60, 5, block=2, least=2)} select * from f")
 def match_blocked_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(linkage.blocked(*part_names(spark, sf_dir), threshold=60, n=5, least=2))
+    n = part_names(spark, sf_dir)
+    return rounded(linkage.blocked(n, n, threshold=60, n=5, least=2, apart=True))
 
 
-@query(f"with {sides()}, f as (select * from r where name <> '' order by id limit 40), {best_sql(f'select f.id lid, l.id rid, {SORTED.format("f.name")} a, {SORTED.format("l.name")} b from f, l where l.name <> \'\'', 70)}")
+@query(f"with l as (select p_partkey as id, p_name as name from part where p_name <> '' order by id limit 1000), r as (select p_name as name, min(p_partkey) as id from part group by p_name), {best_sql(70)} select * from f")
 def match_reverse_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 register rows by id, each with its best web row of all."""
-    pages, docs = names(spark, sf_dir)
-    return rounded(linkage.nested_loop(docs.filter("name <> ''").orderBy("id").limit(40), pages, threshold=70))
+    """The first 1,000 register rows by id (a limit that is the feature), each with its best row of all on the other side."""
+    first = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).filter("name <> ''").orderBy("id").limit(1000)
+    return rounded(linkage.nested_loop(first, part_names(spark, sf_dir), threshold=70, apart=True))
 
 
-def tfidf_sql(n: int, max_df: float, features: int | None) -> str:
+def tfidf_sql(n: int, max_df: float, features: int | None, threshold: float = 0.7, best: int = 1, tag: str = "t") -> str:
     toks = "regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]{2,}')"
     if n == 2:
         toks = f"list_concat({toks}, coalesce(list_transform(range(1, len({toks})), lambda i: {toks}[i] || ' ' || {toks}[i + 1]), []))"
     keep = f"where df <= {max_df} * n" if max_df < 1 else ""
     limit = f"order by total desc, term limit {features}" if features else ""
-    return f"""c as (select 'l' side, id, name from l union all select 'r', id, name from r),
-t as (select side, id, unnest({toks}) term from c), tf as (select side, id, term, count(*) tf from t group by all),
-d as (select term, count(*) df, sum(tf) total, (select count(*) from c) n from tf group by term),
-v as (select * from d {keep} {limit}),
-w as (select side, id, term, tf * (ln((1 + n)::double / (1 + df)) + 1) w from tf join v using (term)),
-u as (select *, w / sqrt(sum(w * w) over (partition by side, id)) x from w),
-s as (select a.id lid, b.id rid, round(sum(a.x * b.x), 6) s from u a join u b on a.term = b.term and a.side = 'l' and b.side = 'r' group by all),
-k as (select *, row_number() over (partition by lid order by s desc, rid) rk from s where s >= 0.7)
-select lid as left_id, rid as right_id, s as score, rk::int as rank from k where rk = 1"""
-
-
-@query(f"with {sides(60)}, {tfidf_sql(1, 1.0, None)}")
+    return f"""{tag}c as (select 'l' side, id, name from l union all select 'r', id, name from r),
+{tag}t as (select side, id, unnest({toks}) term from {tag}c), {tag}n as (select side, id, term, count(*) tf from {tag}t group by all),
+{tag}d as (select term, count(*) df, sum(tf) total, (select count(*) from {tag}c) n from {tag}n group by term),
+{tag}v as (select * from {tag}d {keep} {limit}),
+{tag}w as (select side, id, term, tf * (ln((1 + n)::double / (1 + df)) + 1) w from {tag}n join {tag}v using (term)),
+{tag}u as (select *, w / sqrt(sum(w * w) over (partition by side, id)) x from {tag}w),
+{tag}s as (select a.id lid, b.id rid, round(sum(a.x * b.x), 6) sc from {tag}u a join {tag}u b on a.term = b.term and a.side = 'l' and b.side = 'r' and a.id <> b.id group by all),
+{tag}k as (select *, row_number() over (partition by lid order by sc desc, rid) rk from {tag}s where sc >= {threshold}),
+{tag}f as (select lid as left_id, rid as right_id, sc as score, rk::int as rank from {tag}k where rk <= {best})"""
+
+
+@query(f"with {_NAMES}, {tfidf_sql(1, 1.0, None)} select * from tf")
 def match_tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(linkage.cosine(*names(spark, sf_dir, 60)))
+    return rounded(linkage.cosine(*names(spark, sf_dir), apart=True))
 
 
-@query(f"with {sides(60)}, {tfidf_sql(2, 0.95, 10_000)}")
+@query(f"with {_NAMES}, {tfidf_sql(2, 0.95, 10_000)} select * from tf")
 def match_tfidf_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(linkage.cosine(*names(spark, sf_dir, 60), grams=2, max_df=0.95, max_features=10_000))
+    return rounded(linkage.cosine(*names(spark, sf_dir), grams=2, max_df=0.95, max_features=10_000, apart=True))
 
 
-@query(f"with {sides(30)} select l.id left_id, r.id right_id from l join r on l.name = r.name union select l.id, r.id from l join r on l.id = r.id")
+@query(f"with {_NAMES} select l.id left_id, r.id right_id from l join r on l.name = r.name union select l.id, r.id from l join r on l.id = r.id")
 def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.exact(*names(spark, sf_dir, 30), keys=[("name", "name"), ("id", "id")])
+    return linkage.exact(*names(spark, sf_dir), keys=[("name", "name"), ("id", "id")])
+
+
+_WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda x: x <> ''))"
+_SAID = f"""select lid, rid, sc from (select *, row_number() over (partition by lid order by sc desc, rid) rk from (
+  select c.left_id lid, c.right_id rid, round(len(list_intersect({_WORDS.format("a.name")}, {_WORDS.format("b.name")}))::double / greatest(1, len(list_distinct(list_concat({_WORDS.format("a.name")}, {_WORDS.format("b.name")})))), 4) sc,
+    len(list_intersect({_WORDS.format("a.name")}, {_WORDS.format("b.name")}))::double / greatest(1, len(list_distinct(list_concat({_WORDS.format("a.name")}, {_WORDS.format("b.name")})))) raw
+  from cf c join l a on a.id = c.left_id join r b on b.id = c.right_id) where raw >= 0.5) where rk = 1"""
 
 
-@query(f"""with {sides()},
-e as (select l.id lid, min(r.id) rid from l join r on l.name = r.name where l.name <> '' group by 1),
-lr as (select * from l where id not in (select lid from e)),
-fz as (select left_id lid, right_id rid, score from (with l as (select * from lr), {best_sql(_block + " where l.name <> '' and r.name <> ''", 85)})),
-tz as (select left_id lid, right_id rid, score from (with l as (select * from lr where id not in (select lid from fz)), {tfidf_sql(1, 1.0, None)}))
+@query(f"""with {_NAMES.replace("l as", "al as", 1)},
+e as (select al.id lid, min(r.id) rid from al join r on al.name = r.name and al.id <> r.id where al.name <> '' group by 1),
+fz as (with l as (select * from al where id not in (select lid from e)), {best_sql(85, block=2)} select left_id lid, right_id rid, score from f),
+tz as (with l as (select * from al where id not in (select lid from e union all select lid from fz)), {tfidf_sql(1, 1.0, None)} select left_id lid, right_id rid, score from tf),
+mz as (with l as (select * from al where id not in (select lid from e union all select lid from fz union all select lid from tz)), {tfidf_sql(1, 1.0, None, 0.2, 3, "c")} {_SAID})
 select lid left_id, rid right_id, 1.0::double score, 100.0::double raw_score, 'exact' as method from e
-union all select lid, rid, round(score / 100, 6), score, 'fuzzy' from fz union all select lid, rid, score, score, 'tfidf' from tz""")
+union all select lid, rid, round(score / 100, 6), score, 'fuzzy' from fz union all select lid, rid, score, score, 'tfidf' from tz union all select lid, rid, sc, sc, 'llm' from mz""")
 def match_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linkage.waterfall(*names(spark, sf_dir))
+    out = linkage.waterfall(*names(spark, sf_dir), apart=True)
     return out.withColumns({"score": F.round("score", 6), "raw_score": F.round("raw_score", 6)})
 
 
-@query("""with k as (select p_partkey id, p_name[1:2 + p_partkey % 3] as key from part),
-l as (select * from k where id % 20 = 0), r as (select * from k where id % 20 = 1)
-select distinct l.id left_id, r.id right_id, l.key left_key, r.key right_key from l join r on starts_with(l.key, r.key) or starts_with(r.key, l.key)""")
+@query("""with k as (select p_name[1:2 + p_partkey % 3] as key, count(*) n from part group by 1)
+select l.key left_key, r.key right_key, l.n * r.n as pairs from k l join k r on starts_with(l.key, r.key) or starts_with(r.key, l.key)""")
 def match_prefix_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("substring(p_name, 1, int(2 + p_partkey % 3))").alias("key"))
-    return linkage.neighbours(keys.filter("id % 20 = 0"), keys.filter("id % 20 = 1"))
+    """All keys with all: equal keys are compared once, with the number of row pairs that they stand for."""
+    keys = table(spark, sf_dir, "part").groupBy(F.expr("substring(p_name, 1, int(2 + p_partkey % 3))").alias("key")).agg(F.count("*").alias("id"))
+    found = linkage.neighbours(keys, keys)
+    return found.select("left_key", "right_key", (F.col("left_id") * F.col("right_id")).alias("pairs"))
 
 
 _lcs_pairs = "with n as (select distinct p_name from part), p as materialized (select a.p_name a, b.p_name b from n a join n b on a.p_name[1:1] = b.p_name[1:1])"
