@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,53 +102,91 @@ def _listed(pivots: dict[int, np.ndarray]):
     return run, "key long, node long, near binary"
 
 
-def unit_links(key: int, weight: np.ndarray, near: np.ndarray, x: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For members of one list: how many vectors each is linked with by pairs that this unit takes up, and for each the first
-    member that such links connect it with. left: which are of the first block; all: pairs within, else pairs across."""
+def taken_up(key: np.ndarray, near: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of pairs (p, q) of members of the lists key[p], those for which that list is the first that both are in."""
+    width = min(SHARED, near.shape[1])
+    if not width:
+        return np.ones(len(p), bool)
+    parts = np.stack([key[p] // PIVOTS_MOST ** (width - 1 - c) % PIVOTS_MOST for c in range(width)], 1)
+    both = (near[p][:, :, None] == near[q][:, None, :]).any(2)
+    first = both & (np.cumsum(both, 1) <= SHARED)
+    return (first & (near[p][:, :, None] == parts[:, None, :]).any(2)).sum(1) == width
+
+
+def unit_pairs(x: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of one unit whose cosine reaches threshold. left: which are of the first block; all: pairs within,
+    else pairs across."""
     a = np.flatnonzero(left)
     b = a if left.all() else np.flatnonzero(~left)
     hit = x[a] @ x[b].T >= threshold
     if b is a:
         hit = np.triu(hit, 1)
     i, j = np.nonzero(hit)
-    i, j = a[i], b[j]
-    count, up, width = np.zeros(len(x), np.int64), np.arange(len(x)), min(SHARED, near.shape[1])
-    parts = np.array([key // PIVOTS_MOST ** (width - 1 - c) % PIVOTS_MOST for c in range(width)])
-    for s in range(0, len(i), 1 << 18):
-        p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-        if width:  # of the lists that both are in, the first takes the pair up
-            both = (near[p][:, :, None] == near[q][:, None, :]).any(2)
-            first = both & (np.cumsum(both, 1) <= SHARED)
-            mine = (first & (near[p][:, :, None] == parts).any(2)).sum(1) == width
-            p, q = p[mine], q[mine]
-        count += np.bincount(p, weight[q], len(x)).astype(np.int64) + np.bincount(q, weight[p], len(x)).astype(np.int64)
-        up = joined(len(x), np.concatenate((p, np.arange(len(x)))), np.concatenate((q, up)))
-    return count, up
+    return a[i], b[j]
+
+
+#: Members of a unit up to which units of a size are worked on side by side; numbers that are gathered at once.
+FEW, GATHERED = 32, 1 << 22
+
+
+def small_pairs(x: np.ndarray, begin: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """What unit_pairs() gives, for many units of few members each, rows begin to begin + size."""
+    ps, qs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in np.unique(size).tolist():
+        a, b = np.triu_indices(m, 1)
+        own = begin[size == m]
+        p, q = (own[:, None] + a).ravel(), (own[:, None] + b).ravel()
+        step = max(1, GATHERED // x.shape[1])
+        for s in range(0, len(p), step):
+            hit = np.einsum("ij,ij->i", x[p[s : s + step]], x[q[s : s + step]]) >= threshold
+            ps.append(p[s : s + step][hit])
+            qs.append(q[s : s + step][hit])
+    return np.concatenate(ps), np.concatenate(qs)
 
 
 def _linked(threshold: float, kind: type):
     """Rows of inverted lists, sorted by unit, to link counts (u, null, n) and edges (u, v, null)."""
 
+    def of_length(t: pa.Table) -> pa.RecordBatch | None:
+        n = len(t)
+        key, i, j, node, weight, blk = (t.column(c).to_numpy() for c in ("key", "i", "j", "node", "weight", "blk"))
+        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint16).reshape(n, -1)
+        x = _unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), kind).reshape(n, -1).astype(np.float64))
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.concatenate((begin, [n])))
+        few = (size <= FEW) & (i[begin] == j[begin])
+        found = [small_pairs(x, begin[few], size[few], threshold)]
+        count, up = np.zeros(n, np.int64), np.arange(n)
+
+        def take(p: np.ndarray, q: np.ndarray) -> None:
+            nonlocal up
+            for s in range(0, len(p), 1 << 18):
+                ps, qs = p[s : s + (1 << 18)], q[s : s + (1 << 18)]
+                mine = taken_up(key, near, ps, qs)
+                ps, qs = ps[mine], qs[mine]
+                np.add.at(count, ps, weight[qs])
+                np.add.at(count, qs, weight[ps])
+                up = joined(n, np.concatenate((ps, np.arange(n))), np.concatenate((qs, up)))
+
+        take(*found[0])
+        for s, m in zip(begin[~few].tolist(), size[~few].tolist(), strict=True):
+            p, q = unit_pairs(x[s : s + m], blk[s : s + m] == i[s], threshold)
+            take(p + s, q + s)
+        some, tied = np.flatnonzero(count), np.flatnonzero(up != np.arange(n))
+        if not len(some) and not len(tied):
+            return None
+        u, v = np.concatenate((node[some], node[tied])), np.concatenate((np.zeros(len(some), np.int64), node[up[tied]]))
+        c = np.concatenate((count[some], np.zeros(len(tied), np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=c > 0), pa.array(c, mask=c == 0)], names=["u", "v", "n"])
+
     def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks()
-        unit = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-        node, weight, blk = (t.column(c).to_numpy() for c in ("node", "weight", "blk"))
-        near, vec = t.column("near").to_pylist(), t.column("vec").to_pylist()
-        new = np.ones(len(t), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in unit])
-        edge = [*np.flatnonzero(new).tolist(), len(t)]
-        us, vs, ns = [], [], []
-        for s, e in zip(edge[:-1], edge[1:], strict=True):
-            if e - s > 1:
-                x = _unit(np.frombuffer(b"".join(vec[s:e]), kind).reshape(e - s, -1).astype(np.float64))
-                c, up = unit_links(int(unit[0][s]), weight[s:e], np.frombuffer(b"".join(near[s:e]), np.uint16).reshape(e - s, -1), x, blk[s:e] == unit[1][s], threshold)
-                own = node[s:e]
-                us += [own[c > 0], own[up != np.arange(e - s)]]
-                vs += [np.zeros((c > 0).sum(), np.int64), own[up[up != np.arange(e - s)]]]
-                ns += [c[c > 0], np.zeros(len(vs[-1]), np.int64)]
-        if us:
-            u, v, n = (np.concatenate(z).astype(np.int64) for z in (us, vs, ns))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=n > 0), pa.array(n, mask=n == 0)], names=["u", "v", "n"])
+        length = pc.binary_length(t.column("vec")).to_numpy()
+        for d in np.unique(length).tolist():
+            if (made := of_length(t.filter(pa.array(length == d)).combine_chunks())) is not None:
+                yield made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
