@@ -49,13 +49,13 @@ NULL_ID = -(1 << 63)
 #: Classes that may share a shingle before blocks take over from pairs; classes in a block.
 FEW, BLOCK = 48, 256
 #: Bytes of text for each bucket of shingles, and in a slab; texts in a slab at most; partitions of an exchange at most.
-BUCKET_BYTES, SLAB_BYTES, SLAB_TEXTS, PARTS_MOST = 7 << 20, 8 << 20, 1 << 16, 20_000
+BUCKET_BYTES, SLAB_BYTES, SLAB_TEXTS, PARTS_MOST = 7 << 20, 4 << 20, 1 << 16, 20_000
 #: Sets of a slab from which on a shingle of theirs stays in it: at most HOT, fewer where slabs are many (HELD / slabs), at least 4.
 HOT, HELD = 64, 1 << 24
 #: The count that stands for "hot".
 MANY = (1 << 31) - 1
 #: Bytes that are cut into rows at once after an exchange.
-HAND = 32 << 20
+HAND = 8 << 20
 _SCHEMA = pa.schema([("part", pa.int32()), ("grp", pa.int64()), ("slab", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abcd")])
 _BLOBS = "part int, grp long, slab long, kind int, a binary, b binary, c binary, d binary"
 # Kinds of rows: the documents of a slab (ids, classes, sizes); shingles and references; shingles that come back, with counts;
