@@ -57,8 +57,29 @@ def word_tokens(c: Column) -> Column:
 
 
 def snake_columns(df: DataFrame) -> DataFrame:
-    """Columns renamed: stripped, lower case, spaces as underscores."""
-    return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
+    """Columns renamed: stripped, lower case, spaces as underscores. Of names that become equal the later ones get a number."""
+    names: list[str] = []
+    for c in df.columns:
+        base = name = c.strip().lower().replace(" ", "_")
+        i = 1
+        while name in names:
+            i += 1
+            name = f"{base}_{i}"
+        names.append(name)
+    return df.toDF(*names)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as far as df has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def file_stamp(at: Column | None = None) -> Column:
+    """A time, by default the current one, as names of files have it: yyyyMMdd_HHmmss."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
 
 
 def strip_strings(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import os
 import time
 from collections.abc import Callable
 
@@ -12,17 +13,37 @@ log = logging.getLogger(__name__)
 Stage = tuple[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]]
 
 
-def run(spark: SparkSession, stages: list[Stage], given: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Results by stage name. A stage that fails ends the run: nothing is lost silently."""
+def _file_of(name: str, folder: str) -> logging.Handler | None:
+    """A handler that writes to folder/name.log, unless the log or one above it has handlers already."""
+    if log.hasHandlers():
+        return None
+    os.makedirs(folder, exist_ok=True)
+    handler = logging.FileHandler(os.path.join(folder, f"{name}.log"), encoding="utf-8")
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.addHandler(handler)
+    return handler
+
+
+def run(spark: SparkSession, stages: list[Stage], given: dict[str, DataFrame] | None = None, log_dir: str | None = None) -> dict[str, DataFrame]:
+    """Results by stage name. A stage that fails ends the run: nothing is lost silently. log_dir: a folder on the driver with
+    a log file for each stage, where nothing else has set up logging."""
     out = dict(given or {})
     for name, stage in stages:
-        began = time.monotonic()
+        began, handler = time.monotonic(), _file_of(name, log_dir) if log_dir else None
+        level = log.level
+        if handler:
+            log.setLevel(logging.INFO)
         try:
             out[name] = stage(spark, out)
+            log.info("stage %s planned in %.1f s", name, time.monotonic() - began)
         except Exception:
             log.exception("stage %s failed", name)
             raise
-        log.info("stage %s planned in %.1f s", name, time.monotonic() - began)
+        finally:
+            if handler:
+                log.removeHandler(handler)
+                handler.close()
+                log.setLevel(level)
     return out
 
 

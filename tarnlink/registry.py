@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import similarity, text
 from .operators import classify, clean, dedup, linkage, quality, unify, upsert
+from .plans import company
 from .plans.flow import Models
-from .sources import files, register, web
+from .sources import catalog, files, register, web
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,21 +197,21 @@ def dirty_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with d as (select c_custkey n, case when n % 7 = 0 then lpad(n::varchar, 11, '0') when n % 11 = 0 then n::varchar else lpad((n - n % 5)::varchar, 11, '0') end abn,
   case when n % 13 = 0 then null else c_name end nm, c_mktsegment et, case when c_acctbal > 0 then 'Active' else 'Cancelled' end es, lpad(c_nationkey::varchar, 4, '0') pc from customer),
-k as (select *, row_number() over (partition by abn order by n) rk from d where regexp_full_match(abn, '[0-9]{11}') and lower(es) = 'active')
-select abn, nm as entity_name, et as entity_type, es as entity_status, '' as address_line1, '' as address_line2, '' as suburb, 'NSW' as state, pc as postcode, '' as start_date from k where rk = 1""")
+k as (select *, row_number() over (partition by abn order by n) rk from d where regexp_full_match(abn, '[0-9]{11}'))
+select abn, nm as entity_name, et as entity_type, es as entity_status, '' as address_line1, '' as address_line2, '' as suburb, 'NSW' as state, pc as postcode, '' as start_date from k where rk = 1 and lower(es) = 'active'""")
 def clean_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_register(dirty_register(spark, sf_dir), "n", active=("entity_status", "active"))
 
 
-@query("""with d as (select p_partkey n, case when n % 9 = 0 then null else ' HTTPS://Shop.example/' || (n % 50) || ' ' end u,
+@query("""with d as (select p_partkey n, case when n % 9 = 0 then null else case when n % 2 = 0 then ' HTTPS://Shop.example/A' else ' HTTPS://Shop.example/a' end || (n % 25) || ' ' end u,
   case when n % 8 = 0 then ' ' when n % 10 = 0 then null else '  ' || p_name || '   o''brien-co 3m' end nm, p_type i from part),
-c as (select n, lower(trim(u))[1:500] u, list_aggregate(list_transform(regexp_extract_all(regexp_replace(trim(nm), ' +', ' ', 'g'), '[a-zA-Z]+|[^a-zA-Z]+'), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', '') nm, i from d),
+c as (select n, trim(u)[1:500] u, list_aggregate(list_transform(regexp_extract_all(regexp_replace(trim(nm), ' +', ' ', 'g'), '[a-zA-Z]+|[^a-zA-Z]+'), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', '') nm, i from d),
 k as (select *, row_number() over (partition by u, nm order by n) rk from c where u is not null and nm is not null and nm <> '')
 select u as website_url, nm as company_name, i as industry from k where rk = 1""")
 def clean_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
     d = table(spark, sf_dir, "part").select(
-        n.alias("n"), F.when(n % 9 != 0, F.concat(F.lit(" HTTPS://Shop.example/"), n % 50, F.lit(" "))).alias("Website URL"),
+        n.alias("n"), F.when(n % 9 != 0, F.concat(F.when(n % 2 == 0, " HTTPS://Shop.example/A").otherwise(" HTTPS://Shop.example/a"), n % 25, F.lit(" "))).alias("Website URL"),
         F.when(n % 8 == 0, " ").when(n % 10 != 0, F.concat(F.lit("  "), F.col("p_name"), F.lit("   o'brien-co 3m"))).alias("Company Name"), F.col("p_type").alias("Industry"),
     )
     return clean.clean_web(d, "n")
@@ -247,7 +248,7 @@ def scalar_misc(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources ------------------------------------------------------------------------------------------------------
 
 
-@query("""select lpad(c_custkey::varchar, 11, '0') abn, case when c_custkey % 3 = 0 then 'Ann ' || replace(c_name, '#', ' ') else c_name end entity_name, c_mktsegment entity_type, 'Active' entity_status,
+@query("""select lpad(c_custkey::varchar, 11, '0') abn, case when c_custkey % 3 = 0 then 'Ann ' || replace(c_name, '#', ' ') when c_custkey % 7 = 1 then '' when c_custkey % 7 = 2 then 'Main ' || c_name else c_name end entity_name, c_mktsegment entity_type, 'Active' entity_status,
   case when c_custkey % 2 = 0 then 'VIC ' else 'QLD ' end || lpad(c_nationkey::varchar, 4, '0') address, lpad(c_nationkey::varchar, 4, '0') postcode, case when c_custkey % 2 = 0 then 'VIC' else 'QLD' end state, case when c_custkey % 5 = 0 then '20200101' else '' end start_date from customer where c_custkey % 17 <> 0""")
 def xml_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register records as XML text, parsed and mapped to rows; every 17th is cut off and left out."""
@@ -259,7 +260,7 @@ def xml_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = F.concat(F.lit("<MainBusinessPhysicalAddress><StateCode>QLD</StateCode><Postcode>"), post, F.lit("</Postcode></MainBusinessPhysicalAddress>"))
     xml = F.concat(
         F.lit('<ABR><ABN status="Active">'), F.lpad(k.cast("string"), 11, "0"), F.lit("</ABN><EntityType><EntityTypeText>"), "c_mktsegment", F.lit("</EntityTypeText></EntityType>"), F.when(k % 3 == 0, person).otherwise(""),
-        F.lit("<MainEntity>"), F.when(k % 3 != 0, firm).otherwise(""), F.when(k % 2 == 0, near).otherwise(""), F.lit("</MainEntity>"), F.when(k % 2 == 1, main).otherwise(""),
+        F.lit("<MainEntity>"), F.when(k % 3 == 0, "").when(k % 7 == 1, "<NonIndividualName><NonIndividualNameText></NonIndividualNameText></NonIndividualName>").when(k % 7 == 2, "").otherwise(firm), F.when(k % 2 == 0, near).otherwise(""), F.lit("</MainEntity>"), F.when(k % 2 == 1, main).otherwise(""), F.when(k % 7 < 3, F.concat(F.lit("<MainName>Main "), "c_name", F.lit("</MainName>"))).otherwise(""),
         F.when(k % 5 == 0, "<ABNStatusFromDate>20200101</ABNStatusFromDate>").otherwise(""), F.lit("</ABR>"),
     )
     xml = F.when(k % 17 == 0, F.substring(xml, 1, 30)).otherwise(xml)
@@ -276,18 +277,48 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("r.mime = 'text/html'").select("event_id", "k", F.col("r.url").alias("url"), F.col("r.offset").alias("byte_offset"))
 
 
-_UNESC = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_UNESC = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
 
 
-@query(f"""with t as (select page_id, nullif(trim({_UNESC.format("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')")}), '') t,
-  nullif(trim({_UNESC.format("regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)")}), '') h from pages),
-n as (select page_id, h, coalesce(nullif(trim(string_split_regex(t, '[-|–—]')[-1]), ''), nullif(trim(regexp_replace(t, '[\\s\\-|–—]+$', '')), '')) t from t)
+@query(f"""with t as (select page_id, nullif({STRIP.format(_UNESC.format("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')"))}, '') t,
+  nullif({STRIP.format(_UNESC.format("regexp_extract(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '^([^<]*)$', 1)"))}, '') h from pages),
+n as (select page_id, h, nullif(case when regexp_matches(t, '[-|–—]') then {STRIP.format("string_split_regex(t, '[-|–—]')[-1]")} else t end, '') t from t)
 select page_id, t as title_name, h as heading, coalesce(t, h) as company_name from n""")
 def html_name_h5_h6(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, h = table(spark, sf_dir, "pages"), F.col("html")
     return p.select("page_id", web.title_name(h).alias("title_name"), web.heading(h).alias("heading"), F.coalesce(web.title_name(h), web.heading(h)).alias("company_name"))
 
 
+@query("""select c_custkey, case c_custkey % 6 when 0 then c_name || ' Holdings' when 1 then 'Café ’' || c_name || '’ & Söhne' when 2 then c_name when 3 then 'A ' || c_name || ' B' when 4 then 'Head ' || c_name else c_name || ' é' end as company_name from customer""")
+def html_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What only a parser settles: elements within the wanted one, all character references, scripts and comments inside, a title
+    that ends in its separator."""
+    c, k, n = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_name")
+    tag = lambda a, b: F.concat(F.lit(a), n, F.lit(b))
+    body = (
+        F.when(k % 6 == 0, tag('<div class="logo"><div>', "</div> Holdings</div><div>rest</div>"))
+        .when(k % 6 == 1, tag('<span itemprop="name">Caf&eacute; &#8217;', "&#x2019; &amp; S&ouml;hne</span>"))
+        .when(k % 6 == 2, tag('<p class="brand company-name"><!-- x --><script>var a = "</p>";</script><br><b>', "</b></p>"))
+        .when(k % 6 == 3, tag('<div class=logo><img src="x.png">A <span>', "</span> <i>B</i></div>"))
+        .when(k % 6 == 4, tag("<h1><b>Head ", "</b></h1>"))
+        .otherwise(tag("<ul><li class='logo'>", " &eacute;<ul></ul></li><li>next</li></ul>"))
+    )
+    html = F.concat(F.when(k % 6 == 4, "<title>Shop -</title>").otherwise("<title>Other</title>"), body)
+    return c.select("c_custkey", html.alias("h")).select("c_custkey", web.company_name(F.col("h")).alias("company_name"))
+
+
+@query("""with r as (select event_id, 'crawl-' || (event_id % 3) as filename, event_id * 11 as off, case when event_id % 5 = 0 then 'shop.example.au' else 'shop.example.com' end host from events where event_id % 2 = 0)
+select 'https://' || host || '/p/' || event_id as url, filename, off as byte_offset from r where host like '%.au' order by filename, off, url limit 40 offset 10""")
+def index_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index lines in files, read again: a host pattern, and the second to fifth page of ten records."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    host = F.when(k % 5 == 0, "shop.example.au").otherwise("shop.example.com")
+    line = F.format_string('{"url": "https://%s/p/%d", "filename": "crawl-%d", "offset": "%d", "length": "9", "mime": "%s"}', host, k, k % 3, k * 11, F.when(k % 2 == 0, "text/html").otherwise("image/png"))
+    path = f"{files.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    e.select(line.alias("value")).write.text(path)
+    return web.read_index(spark, path, "*.au", limit=40, offset=10).select("url", "filename", F.col("offset").cast("long").alias("byte_offset"))
+
+
 @query("select c_custkey, c_name as company_name, c_mktsegment as industry from customer")
 def html_name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' names behind each rule in turn, with decoys for the later rules."""
@@ -314,7 +345,28 @@ def csv_scan_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = n.select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("code"), F.when(F.col("n_nationkey") == 3, "NA").otherwise(F.concat("n_name", F.lit(', "x"\ny'))).alias("name"), F.col("r_name").alias("region"))
     path = f"{files.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     files.write_delimited(rows, path)
-    return files.read_delimited(spark, path, "code string, name string, region string")
+    return files.read_delimited(spark, path, "code string, name string, region string", multi_line=True)
+
+
+@query("select n_nationkey as k, n_name as name from nation order by n_nationkey limit 7 offset 5")
+def row_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 5 up to 12 of a delimited file with inferred types, renamed by position; a range under other columns has none."""
+    path = f"{files.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    files.write_delimited(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").coalesce(1), path)
+    scan = files.read_delimited(spark, path, None)
+    none = files.row_range(scan, 0, 3, ["k", "name", "more"]).select(F.col("k").cast("int").alias("k"), "name")
+    return files.row_range(scan, 5, 12, ["k", "name"]).select(F.col("k").cast("int").alias("k"), "name").union(none)
+
+
+@query("select n_regionkey, count(*) as n from nation group by 1 union all select -1, count(*) from nation")
+def load_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited files loaded into a bucketed-by-nothing catalog table, in one piece and in splits, and scanned again."""
+    path, name = f"{files.shared_folder(spark)}/csv-{uuid.uuid4().hex}", f"load_{uuid.uuid4().hex}"
+    files.write_delimited(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), path)
+    rows = files.load(spark, path, "n_nationkey int, n_regionkey int", name)
+    out = files.settle(catalog.scan(spark, name).groupBy("n_regionkey").agg(F.count("*").alias("n")))
+    spark.sql(f"drop table {name}")
+    return out.select(F.col("n_regionkey").cast("int").alias("n_regionkey"), "n").union(spark.createDataFrame([(-1, rows)], "n_regionkey int, n long"))
 
 
 # --- distinct, counts, order, set operations ----------------------------------------------------------------------
@@ -380,16 +432,21 @@ def union_all_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- upserts ------------------------------------------------------------------------------------------------------
 
 
+#: Customers with an even key are in the target, those whose key leaves 1 or 2 by 3 are staged: every row is in one or both.
 def _upsert_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged keys come twice with different values; the later arrival counts, whatever its value."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     row = lambda industry: (F.concat(F.lit("u"), k).alias("website_url"), F.when(k % 12 != 0, F.col("c_name")).alias("company_name"), industry.alias("industry"))
-    target = c.filter(k % 2 == 0).select(*row(F.col("c_mktsegment")))
-    stage = c.filter(k % 3 == 0).select(*row(F.when(k % 9 == 0, "NEW").otherwise(F.col("c_mktsegment"))))
-    return upsert.classify(target, stage.union(stage), upsert.WEB)
+    target = c.filter((k % 2 == 0) | (k % 3 == 0)).select(*row(F.col("c_mktsegment")))
+    staged = c.filter(k % 3 != 0)
+    late = F.when(k % 9 == 1, "A NEW ONE").when(k % 9 == 2, "ZZ NEW").otherwise(F.col("c_mktsegment"))
+    stage = staged.select(*row(late), F.lit(2).alias("arrival")).union(staged.select(*row(F.lit("ZZZ FIRST")), F.lit(1).alias("arrival")))
+    return upsert.classify(target, stage, upsert.WEB)
 
 
-_WEB_SQL = """with t as (select 'u' || c_custkey u, case when c_custkey % 12 <> 0 then c_name end n, c_mktsegment i from customer where c_custkey % 2 = 0),
-s as (select 'u' || c_custkey u, case when c_custkey % 12 <> 0 then c_name end n, case when c_custkey % 9 = 0 then 'NEW' else c_mktsegment end i from customer where c_custkey % 3 = 0),
+_WEB_SQL = """with t as (select 'u' || c_custkey u, case when c_custkey % 12 <> 0 then c_name end n, c_mktsegment i from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0),
+s2 as (select c_custkey k, case when c_custkey % 9 = 1 then 'A NEW ONE' when c_custkey % 9 = 2 then 'ZZ NEW' else c_mktsegment end i, 2 a, c_name from customer where c_custkey % 3 <> 0 union all select c_custkey, 'ZZZ FIRST', 1, c_name from customer where c_custkey % 3 <> 0),
+s as (select 'u' || k u, case when k % 12 <> 0 then c_name end n, arg_max(i, a) i from s2 group by all),
 j as (select coalesce(t.u, s.u) u, coalesce(t.n, s.n) n, case when t.u is null then 'INSERT' when s.u is null then 'KEEP' when t.i is distinct from s.i then 'UPDATE' else 'NOOP' end a, t.i ti, s.i si
   from t full join s on t.u is not distinct from s.u and t.n is not distinct from s.n)"""
 
@@ -404,28 +461,66 @@ def upsert_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.accounting(_upsert_web(spark, sf_dir))
 
 
-@query("""with t as (select c_custkey k, c_name n, c_mktsegment y, '' a2, 'NSW' st from customer where c_custkey % 2 = 0),
-s as (select c_custkey k, c_name || '!' n, case when c_custkey % 9 = 0 then 'X' else c_mktsegment end y, 'line' a2, 'NSW' st from customer where c_custkey % 3 = 0),
+@query("""with t as (select c_custkey k, c_name n, c_mktsegment y, '' a2, 'NSW' st, timestamp '2020-01-01' ca, timestamp '2020-01-01' ua from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0),
+s as (select c_custkey k, c_name || '!' n, case when c_custkey % 9 = 1 then 'X' else c_mktsegment end y, 'line' a2, 'NSW' st from customer where c_custkey % 3 <> 0),
 j as (select coalesce(t.k, s.k) k, case when t.k is null then 'INSERT' when s.k is null then 'KEEP' when t.y is distinct from s.y then 'UPDATE' else 'NOOP' end a, t.n tn, s.n sn, t.y ty, s.y sy, t.a2 ta, s.a2 sa from t full join s on t.k = s.k)
 select lpad(k::varchar, 11, '0') abn, case when a = 'INSERT' then sn else tn end entity_name, case when a in ('INSERT', 'UPDATE') then sy else ty end entity_type, 'Active' entity_status, '' address_line1,
-  case when a in ('INSERT', 'UPDATE') then sa else ta end address_line2, '' suburb, 'NSW' as state, '2000' postcode, '' start_date, a as action from j""")
+  case when a in ('INSERT', 'UPDATE') then sa else ta end address_line2, '' suburb, 'NSW' as state, '2000' postcode, '' start_date,
+  case when a = 'INSERT' then '2024-05-06 07:08:09' else '2020-01-01 00:00:00' end created, case when a in ('INSERT', 'UPDATE') then '2024-05-06 07:08:09' else '2020-01-01 00:00:00' end updated, a as action from j""")
 def upsert_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A changed name alone, or a changed second address line alone, is no change; the name is never set by an update."""
+    """A changed name alone, or a changed second address line alone, is no change; the name is never set by an update, the
+    time of change always."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     row = lambda name, kind, line: c.select(F.lpad(k.cast("string"), 11, "0").alias("abn"), name.alias("entity_name"), kind.alias("entity_type"), F.lit("Active").alias("entity_status"), F.lit("").alias("address_line1"), line.alias("address_line2"), F.lit("").alias("suburb"), F.lit("NSW").alias("state"), F.lit("2000").alias("postcode"), F.lit("").alias("start_date"), k)
-    target = row(F.col("c_name"), F.col("c_mktsegment"), F.lit("")).filter(k % 2 == 0).drop("c_custkey")
-    stage = row(F.concat("c_name", F.lit("!")), F.when(k % 9 == 0, "X").otherwise(F.col("c_mktsegment")), F.lit("line")).filter(k % 3 == 0).drop("c_custkey")
-    return upsert.classify(target, stage, upsert.REGISTER)
-
-
-@query("""with t as (select c_custkey k, c_name n, c_mktsegment i, (50 + c_custkey % 40)::double s from customer where c_custkey % 2 = 0),
-s as (select c_custkey k, c_name n, c_mktsegment i, (50 + c_custkey % 60)::double s from customer where c_custkey % 3 = 0),
-j as (select coalesce(t.k, s.k) k, coalesce(t.n, s.n) n, coalesce(t.i, s.i) i, case when t.k is null then 'INSERT' when s.k is null then 'KEEP' when t.s < s.s then 'UPDATE' else 'NOOP' end a, t.s ts, s.s ss from t full join s on t.k = s.k)
-select k::varchar abn, null::varchar url, n as company_name, n as abr_company, i as industry, 'P' entity_type, 'A' entity_status, case when a in ('INSERT', 'UPDATE') then ss else ts end match_confidence, a as action from j""")
+    begun = F.to_timestamp(F.lit("2020-01-01 00:00:00"))
+    target = row(F.col("c_name"), F.col("c_mktsegment"), F.lit("")).filter((k % 2 == 0) | (k % 3 == 0)).drop("c_custkey").withColumns({"created_at": begun, "updated_at": begun})
+    stage = row(F.concat("c_name", F.lit("!")), F.when(k % 9 == 1, "X").otherwise(F.col("c_mktsegment")), F.lit("line")).filter(k % 3 != 0).drop("c_custkey")
+    out = upsert.classify(target, stage, upsert.REGISTER, now=F.to_timestamp(F.lit("2024-05-06 07:08:09")))
+    text_of = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return out.withColumns({"created": text_of("created_at"), "updated": text_of("updated_at")}).drop("created_at", "updated_at")
+
+
+@query("""with t as (select c_custkey k, c_name n, c_mktsegment i, (50 + c_custkey % 40)::double s from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0),
+s as (select c_custkey k, c_name n, case when c_custkey % 7 = 1 then null else c_mktsegment end i, (50 + c_custkey % 60)::double s from customer where c_custkey % 3 <> 0),
+j as (select coalesce(t.k, s.k) k, coalesce(t.n, s.n) n, case when t.k is null then 'INSERT' when s.k is null then 'KEEP' when t.s < s.s or t.i is distinct from s.i then 'UPDATE' else 'NOOP' end a, t.s ts, s.s ss, t.i ti, s.i si from t full join s on t.k = s.k),
+f as (select *, a in ('INSERT', 'UPDATE') new from j)
+select k::varchar abn, null::varchar url, n as company_name, n as abr_company, case when new then si else ti end as industry, 'P' entity_type, 'A' entity_status, case when new then 'new' else 'old' end address, case when new then '3000' else '2000' end postcode,
+  case when new then 'VIC' else 'NSW' end as state, case when new then date '2021-01-01' else date '2020-01-01' end start_date, case when new then ss else ts end match_confidence, case when new then 'c2' else 'c1' end source_commoncrawl_id, case when new then 'a2' else 'a1' end source_abr_id, a as action from f""")
 def upsert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update sets all columns but the key, also where the confidence alone has risen."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    row = lambda score: c.select(k.cast("string").alias("abn"), F.lit(None).cast("string").alias("url"), F.col("c_name").alias("company_name"), F.col("c_name").alias("abr_company"), F.col("c_mktsegment").alias("industry"), F.lit("P").alias("entity_type"), F.lit("A").alias("entity_status"), score.cast("double").alias("match_confidence"), k)
-    return upsert.classify(row(50 + k % 40).filter(k % 2 == 0).drop("c_custkey"), row(50 + k % 60).filter(k % 3 == 0).drop("c_custkey"), upsert.MATCHES)
+
+    def rows(industry, score, v):
+        fixed = {"address": ("old", "new"), "postcode": ("2000", "3000"), "state": ("NSW", "VIC"), "start_date": ("2020-01-01", "2021-01-01"), "source_commoncrawl_id": ("c1", "c2"), "source_abr_id": ("a1", "a2")}
+        out = c.select(k.cast("string").alias("abn"), F.lit(None).cast("string").alias("url"), F.col("c_name").alias("company_name"), F.col("c_name").alias("abr_company"), industry.alias("industry"), F.lit("P").alias("entity_type"), F.lit("A").alias("entity_status"), score.cast("double").alias("match_confidence"), k)
+        return out.withColumns({n: F.lit(x[v]).cast("date") if n == "start_date" else F.lit(x[v]) for n, x in fixed.items()})
+
+    seg = F.col("c_mktsegment")
+    target = rows(seg, 50 + k % 40, 0).filter((k % 2 == 0) | (k % 3 == 0)).drop("c_custkey")
+    return upsert.classify(target, rows(F.when(k % 7 != 1, seg), 50 + k % 60, 1).filter(k % 3 != 0).drop("c_custkey"), upsert.MATCHES)
+
+
+_RECORD = """l as (select min(p_partkey) id, p_name as name from part group by p_name),
+r as (select row_number() over (order by s) id, s as name from (select distinct (string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1]) || case when length(p_name) % 2 = 0 then 's' else '' end s from part))"""
+
+
+@query(f"""with {_RECORD}, {best_sql(85).replace("and x.id <> y.id", "")}
+select lpad((1000 + y.id)::varchar, 11, '0') abn, 'u' || x.id url, x.name company_name, y.name abr_company, 'tools' industry, 'PRV' entity_type, 'ACT' entity_status, 'NSW 2000' address, '2000' postcode, 'NSW' as state,
+  date '2020-02-03' start_date, score match_confidence, x.id::varchar source_commoncrawl_id, ('r' || y.id) source_abr_id from f join l x on x.id = left_id join r y on y.id = right_id""")
+def match_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 14 columns of match records: part names as web rows, their words the other way round (some with a letter more) as the
+    register."""
+    part = table(spark, sf_dir, "part")
+    web_rows = part_names(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("u"), "id").alias("website_url"), F.col("name").alias("company_name"), F.lit("tools").alias("industry"))
+    w = F.split("p_name", " ")
+    turned = part.select(F.concat(w[1], F.lit(" "), w[0], F.when(F.length("p_name") % 2 == 0, "s").otherwise("")).alias("s")).distinct()
+    n = F.row_number().over(Window.orderBy("s"))
+    register_rows = turned.withColumn("n", n).select(
+        F.concat(F.lit("r"), "n").alias("id"), F.lpad((F.lit(1000) + F.col("n")).cast("string"), 11, "0").alias("abn"), F.col("s").alias("entity_name"), F.lit("PRV").alias("entity_type"), F.lit("ACT").alias("entity_status"),
+        F.lit("NSW").alias("state"), F.lit("2000").alias("postcode"), F.lit("20200203").alias("start_date"),
+    )
+    out = company.match_rows(web_rows, register_rows, 85, block=0)
+    return out.withColumn("match_confidence", F.round("match_confidence", 6))
 
 
 # --- quality ------------------------------------------------------------------------------------------------------
@@ -448,15 +543,41 @@ def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.missing(_checked(spark, sf_dir), ["abn", "entity_name", "postcode"])
 
 
-@query(f"""{_DIRTY}, m as (select 'completeness' metric_name, (100.0 * count(*) filter (entity_name is not null) / count(*))::decimal(10,2) metric_value, 90::decimal(10,2) threshold_value from d
-union all select 'accuracy', (100.0 * count(*) filter (postcode is not null) / count(*))::decimal(10,2), 95::decimal(10,2) from d)
-select metric_name, metric_value::double as metric_value, threshold_value::double as threshold_value, case when metric_value >= threshold_value then 'pass' else 'fail' end as status from m""")
+@query(f"""{_DIRTY}, w as (select *, date '2024-03-31' - (abn % 60)::int as seen, 70 + coalesce(abn, 0) % 31 as conf from d),
+m as (select 'completeness' metric_name, (100.0 * count(*) filter (abn is not null and trim(entity_name) <> '' and postcode is not null) / count(*))::decimal(10,2) metric_value, 90::decimal(10,2) threshold_value from w
+union all select 'accuracy', (100.0 * count(*) filter (conf >= 85) / count(*))::decimal(10,2), 80::decimal(10,2) from w
+union all select 'consistency', (100.0 * count(*) filter (abn is null or regexp_full_match(abn::varchar, '[0-9]{{1,3}}')) / count(*))::decimal(10,2), 95::decimal(10,2) from w
+union all select 'timeliness', (100.0 * count(*) filter (date '2024-04-01' - seen <= 30) / count(*))::decimal(10,2), 90::decimal(10,2) from w)
+select 'run-1' as pipeline_run_id, metric_name, metric_value::double as metric_value, threshold_value::double as threshold_value, case when metric_value >= threshold_value then 'pass' else 'fail' end as status from m""")
 def dq_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = F.coalesce(F.col("postcode").rlike("^[0-9]{4}$"), F.lit(False))
-    out = quality.metrics(_checked(spark, sf_dir), {"completeness": (F.col("entity_name").isNotNull(), 90.0), "accuracy": (valid, 95.0)})
+    """Completeness, accuracy, consistency and timeliness of one run."""
+    abn = F.col("abn")
+    rows = _checked(spark, sf_dir).withColumns({"seen": F.date_sub(F.to_date(F.lit("2024-03-31")), (abn % 60).cast("int")), "conf": F.lit(70) + F.coalesce(abn, F.lit(0)) % 31})
+    measures = quality.company_measures(["abn", "entity_name", "postcode"], {"abn": "^[0-9]{1,3}$"}, confidence="conf", stamp="seen", now=F.to_date(F.lit("2024-04-01")))
+    out = quality.metrics(rows, measures, run_id="run-1")
     return out.withColumns({c: F.col(c).cast("double") for c in ("metric_value", "threshold_value")})
 
 
+@query("""with d as (select case when page_id % 10 = 0 then null else url end u, case when page_id % 15 = 0 then null else page_id end n from pages),
+c as (select 'website_url' as column_name, count(*) filter (u is null) as failures from d union all select 'company_name', count(*) filter (n is null) from d)
+select column_name, 'not_null' as test, failures from c union all select 'website_url', 'unique', (select count(*) from (select u from d where u is not null group by u having count(*) > 1))""")
+def dq_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register's checks on the keys of the web side."""
+    k = F.col("page_id")
+    d = table(spark, sf_dir, "pages").select(F.when(k % 10 != 0, F.col("url")).alias("website_url"), F.when(k % 15 != 0, k).alias("company_name"))
+    empty = quality.missing(d, ["website_url", "company_name"]).select("column_name", F.lit("not_null").alias("test"), "failures")
+    return empty.union(quality.duplicates(d, "website_url").agg(F.count("*").alias("failures")).select(F.lit("website_url"), F.lit("unique"), "failures"))
+
+
+@query("select o_orderkey, l_linenumber from orders join lineitem on l_orderkey = o_orderkey where (l_partkey, l_suppkey) not in (select l_partkey, l_suppkey from lineitem where l_quantity >= 10)")
+def fk_orphans_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose pair of keys isn't in the parent."""
+    lines = table(spark, sf_dir, "lineitem")
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    parent = lines.filter("l_quantity >= 10").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    return quality.orphans(rows, parent, [("l_partkey", "part"), ("l_suppkey", "supp")]).select("o_orderkey", "l_linenumber")
+
+
 @query("select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_custkey % 5 <> 0)")
 def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0")

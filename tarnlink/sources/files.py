@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import known
+from ..plans.metrics import measured
+from .catalog import optimize
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,13 +39,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, nulls: bool = True) -> DataFrame:
-    """A CSV file with a header under an explicit schema, so that numbers with leading zeros stay texts. Quoted line
-    breaks are kept. nulls: texts that stand for missing values become null."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', mode="FAILFAST")
+def read_delimited(spark: SparkSession, path: str, schema: str | None, nulls: bool = True, multi_line: bool = False) -> DataFrame:
+    """CSV files with a header under an explicit schema, so that numbers with leading zeros stay texts; schema None: types
+    are inferred by a pass over the data. multi_line keeps line breaks in quotes, but makes each file one task: without
+    it files are split, and quoted line breaks are an error. nulls: texts that stand for missing values become null."""
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', mode="FAILFAST")
+    df = reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
     return df.select(*[known(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]) if nulls else df
 
 
+def row_range(df: DataFrame, start: int, end: int, columns: list[str] | None = None) -> DataFrame:
+    """Rows start (from 0) up to before end of a scan, in the order of its files and of their rows; with columns, renamed by
+    position, and none where the numbers of columns differ."""
+    rows = df.offset(start).limit(max(0, end - start))
+    return rows if columns is None else positional(rows, columns)
+
+
 def positional(df: DataFrame, columns: list[str]) -> DataFrame:
     """df under other column names; no rows where the numbers of columns differ."""
     if len(df.columns) == len(columns):
@@ -52,6 +63,7 @@ def positional(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, append: bool = False) -> None:
+    """CSV files with a header each in a folder; append adds files to those there."""
     df.write.mode("append" if append else "overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
@@ -61,7 +73,32 @@ def write_table(df: DataFrame, name: str, *, append: bool = False, buckets: tupl
     (w.bucketBy(*buckets).sortBy(buckets[1]) if buckets else w).saveAsTable(name)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+#: Bytes up to which a load goes out in one piece.
+BULK = 100 << 20
+
+
+def load(spark: SparkSession, path: str, schema: str, table: str, columns: list[str] | None = None, bulk: bool = True) -> int:
+    """Appends delimited files to a catalog table and gives the number of rows. Below BULK bytes (and with bulk) as one file,
+    else by as many tasks as there are splits; statistics are gathered if there were rows."""
+    df = read_delimited(spark, path, schema, nulls=False)
+    if columns is not None:
+        df = positional(df, columns)
+    if bulk and size_of(spark, path) < BULK:
+        df = df.coalesce(1)
+    done = measured(df, lambda rows: write_table(rows, table, append=True))
+    if done.rows:
+        optimize(spark, table)
+    return done.rows
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], batch: int = 1000, connections: int = 8) -> None:
+    """Appends to a database table, `batch` rows an insert, over at most `connections` connections at a time."""
     df.write.mode("append").option("batchsize", batch).option("numPartitions", connections).jdbc(url, table, properties=properties)
 
 
