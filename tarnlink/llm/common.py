@@ -33,16 +33,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows in a batch that goes to Python, where rows hold whole texts.
-BATCH_ROWS = 2000
+#: Rows and bytes in a batch that goes to Python, where rows hold whole texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """From now on batches to and from Python have at most BATCH_ROWS rows: the session's default of 10,000 is too many
-    for rows of whole texts, since several batches are held on either side at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """From now on batches to Python have at most BATCH_ROWS rows and about BATCH_BYTES bytes (or one row): the session's
+    defaults of 10,000 rows and 64 MiB are too much for rows of whole texts, since several batches are held on either side at
+    once. Plans read these settings when they run, so they cannot be put back."""
+    for key, least, usual in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, "64m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < _bytes(spark.conf.get(key, usual)) <= least:
+            spark.conf.set(key, str(least))
+
+
+def _bytes(size: str) -> int:
+    size = size.lower().removesuffix("b")
+    return int(size[:-1]) << {"k": 10, "m": 20, "g": 30}[size[-1]] if size[-1:] in ("k", "m", "g") else int(size)
 
 
 def text_bytes(df: DataFrame, text_col: str) -> int:
