@@ -33,6 +33,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this package's own."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 #: Rows and bytes in a batch that goes to Python, where rows hold whole texts.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 

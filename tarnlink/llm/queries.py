@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flac, langid, mixing, nbest, ngram_join, pivots, secrets, sharding, token_rollup, toxicity
-from .common import held_out, settle, shared_dir, table
+from .common import held_out, remove, settle, shared_dir, table
 
 #: Public tokenizer files; every executor has them at this path.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -81,7 +81,9 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
             store.commit(name, change)
         if name == "deleted":
             store.compact()
-    return store.totals()
+    out = settle(store.totals())
+    remove(spark, store.folder)
+    return out
 
 
 def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
