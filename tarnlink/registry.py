@@ -316,7 +316,7 @@ def index_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.format_string('{"url": "https://%s/p/%d", "filename": "crawl-%d", "offset": "%d", "length": "9", "mime": "%s"}', host, k, k % 3, k * 11, F.when(k % 2 == 0, "text/html").otherwise("image/png"))
     path = f"{files.shared_folder(spark)}/index-{uuid.uuid4().hex}"
     e.select(line.alias("value")).write.text(path)
-    return web.read_index(spark, path, "*.au", limit=40, offset=10).select("url", "filename", F.col("offset").cast("long").alias("byte_offset"))
+    return files.settled_without(web.read_index(spark, path, "*.au", limit=40, offset=10).select("url", "filename", F.col("offset").cast("long").alias("byte_offset")), path)
 
 
 @query("select c_custkey, c_name as company_name, c_mktsegment as industry from customer")
@@ -345,7 +345,7 @@ def csv_scan_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = n.select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("code"), F.when(F.col("n_nationkey") == 3, "NA").otherwise(F.concat("n_name", F.lit(', "x"\ny'))).alias("name"), F.col("r_name").alias("region"))
     path = f"{files.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     files.write_delimited(rows, path)
-    return files.read_delimited(spark, path, "code string, name string, region string", multi_line=True)
+    return files.settled_without(files.read_delimited(spark, path, "code string, name string, region string", multi_line=True), path)
 
 
 @query("select n_nationkey as k, n_name as name from nation order by n_nationkey limit 7 offset 5")
@@ -355,17 +355,18 @@ def row_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_delimited(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").coalesce(1), path)
     scan = files.read_delimited(spark, path, None)
     none = files.row_range(scan, 0, 3, ["k", "name", "more"]).select(F.col("k").cast("int").alias("k"), "name")
-    return files.row_range(scan, 5, 12, ["k", "name"]).select(F.col("k").cast("int").alias("k"), "name").union(none)
+    return files.settled_without(files.row_range(scan, 5, 12, ["k", "name"]).select(F.col("k").cast("int").alias("k"), "name").union(none), path)
 
 
 @query("select n_regionkey, count(*) as n from nation group by 1 union all select -1, count(*) from nation")
 def load_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delimited files loaded into a bucketed-by-nothing catalog table, in one piece and in splits, and scanned again."""
+    """Delimited files loaded into a catalog table, with the number of rows loaded, and scanned again."""
     path, name = f"{files.shared_folder(spark)}/csv-{uuid.uuid4().hex}", f"load_{uuid.uuid4().hex}"
     files.write_delimited(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), path)
     rows = files.load(spark, path, "n_nationkey int, n_regionkey int", name)
     out = files.settle(catalog.scan(spark, name).groupBy("n_regionkey").agg(F.count("*").alias("n")))
     spark.sql(f"drop table {name}")
+    files.remove(spark, path)
     return out.select(F.col("n_regionkey").cast("int").alias("n_regionkey"), "n").union(spark.createDataFrame([(-1, rows)], "n_regionkey int, n long"))
 
 

@@ -30,7 +30,7 @@ def test_last_part(spark):
     assert one(spark, "Buy Now - Acme", text.last_part) == "Acme"
     assert one(spark, "Acme", text.last_part) == "Acme"
     html = "<title>Acme -</title><h1>Acme Co</h1>"
-    assert one(spark, html, web.company_name) == "Acme"
+    assert one(spark, html, web.company_name) == "Acme Co"
 
 
 def test_ratio_golden(spark):
