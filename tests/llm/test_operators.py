@@ -45,7 +45,8 @@ def test_word_hashes_cross_no_text():
     assert len(set(w.hashes.tolist())) == 4
 
 
-def near(spark, texts, monkeypatch, few, block):
+def near(spark, texts, monkeypatch, few, block, small=1 << 19):
+    monkeypatch.setattr(components, "SMALL", small)
     monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
@@ -74,6 +75,10 @@ def test_join_by_blocks(spark, monkeypatch):
     near(spark, mutants(60), monkeypatch, 2, 7)
 
 
+def test_join_with_distributed_components(spark, monkeypatch):
+    near(spark, mutants(60, 7), monkeypatch, 2, 7, 0)
+
+
 def test_suffix_bound_is_a_bound():
     rng = np.random.default_rng(0)
     for _ in range(300):
@@ -88,7 +93,9 @@ def test_one_of_each_group(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([rows[1], *rows[4:7]], "doc_id long, text string").collect()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 4), (20, 21), (None, 1)]
     got = {(r["node"], r["root"]) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), *((i, 4) for i in range(4, 10)), (20, 20), (21, 20)}
