@@ -277,6 +277,24 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("r.mime = 'text/html'").select("event_id", "k", F.col("r.url").alias("url"), F.col("r.offset").alias("byte_offset"))
 
 
+@query("""select c_custkey, case c_custkey % 5 when 2 then 'Firm ' || c_name else c_name end as company_name from customer where c_custkey % 5 not in (1, 3)""")
+def warc_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive members as records: good responses (200, 206), behind another record, a bad status, and no response at all."""
+    c, k, n = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_name")
+    http = lambda status, body: F.concat(F.lit(f"HTTP/1.1 {status}\r\nContent-Type: text/html\r\n\r\n"), body)
+    record = lambda kind, block: F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"))
+    page = lambda text: F.concat(F.lit("<html><title>"), text, F.lit("</title></html>"))
+    member = (
+        F.when(k % 5 == 0, record("response", http("200 OK", page(n))))
+        .when(k % 5 == 1, record("response", http("404 Not Found", page(n))))
+        .when(k % 5 == 2, F.concat(record("request", F.lit("GET /")), record("response", http("206 Partial", page(F.concat(F.lit("Firm "), n))))))
+        .when(k % 5 == 3, record("metadata", n))
+        .otherwise(record("response", http("200", page(n))))
+    )
+    rows = c.select("c_custkey", web.response_html(F.encode(member, "UTF-8")).alias("html")).filter("html is not null")
+    return rows.select("c_custkey", web.company_name(F.col("html").cast("string")).alias("company_name"))
+
+
 _UNESC = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
 
 

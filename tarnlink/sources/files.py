@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import tempfile
+import urllib.request
 import zipfile
 from collections.abc import Iterator
 
@@ -67,6 +69,24 @@ def row_range(df: DataFrame, start: int, end: int, columns: list[str] | None = N
     return rows if columns is None else positional(rows, columns)
 
 
+def download(url: str, path: str, chunk: int = 1 << 20) -> bool:
+    """Fetches url to a file on the driver, a chunk at a time; whether it was fetched: a file that is there is kept. A status
+    other than 200 is an error. The file takes its name when it is whole."""
+    if os.path.exists(path):
+        return False
+    try:
+        with urllib.request.urlopen(url) as answer, open(f"{path}.part", "wb") as out:
+            if getattr(answer, "status", 200) not in (200, None):
+                raise OSError(f"{url}: status {answer.status}")
+            while piece := answer.read(chunk):
+                out.write(piece)
+        os.replace(f"{path}.part", path)
+    finally:
+        if os.path.exists(f"{path}.part"):
+            os.remove(f"{path}.part")
+    return True
+
+
 def positional(df: DataFrame, columns: list[str]) -> DataFrame:
     """df under other column names; no rows where the numbers of columns differ."""
     if len(df.columns) == len(columns):

@@ -396,3 +396,38 @@ def test_register_names(spark):
     raw = spark.createDataFrame([(xml.format("", ""),), (xml.format("Firm", line),)], "x string").select(register.parse_record(F.col("x")).alias("r"))
     assert sorted(r["entity_name"] for r in register.register_row(raw, "r.").collect()) == ["", "Firm"]
     assert sorted(r["address"] for r in register.register_row_with_line(raw, "r.").collect()) == ["", "1 High St"]
+
+
+def test_download(tmp_path):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response({"/ok": 200, "/part": 206}.get(self.path, 404))
+            self.end_headers()
+            self.wfile.write(b"x" * 3000)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, to = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "f")
+    try:
+        for bad in ("/none", "/part"):
+            with pytest.raises(OSError):
+                files.download(base + bad, to)
+        assert list(tmp_path.iterdir()) == []
+        assert files.download(base + "/ok", to, chunk=1024) and not files.download(base + "/none", to)
+        assert (tmp_path / "f").read_bytes() == b"x" * 3000
+    finally:
+        server.shutdown()
+
+
+def test_a_failing_task_fails_the_job(spark):
+    from tarnlink.operators import classify
+
+    pairs = spark.createDataFrame([("a", "b"), ("c", "d")], "a string, b string")
+    with pytest.raises(Exception, match="no answer"):
+        classify.ask(pairs, "a", "b", lambda a, b: (_ for _ in ()).throw(ValueError("no answer"))).collect()
