@@ -86,7 +86,7 @@ def response_html(member: pa.Array) -> pa.Array:
                 block, rest = rest[:size], rest[size:].lstrip(b"\r\n")
                 if fields.get(b"warc-type") == b"response":
                     http, _, content = block.partition(b"\r\n\r\n")
-                    status = http.split(b" ", 2)[1:2]
+                    status = http.split(b"\r\n", 1)[0].split()[1:2]
                     body = content if status and status[0] in (b"200", b"206") else None
                     break
         except (OSError, ValueError, EOFError):
