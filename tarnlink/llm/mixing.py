@@ -35,23 +35,45 @@ def sample_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Colum
     return -F.ln((bits.cast("long") + 0.5) / float(1 << 52)) / weight
 
 
+#: Parts into which sources are dealt by their order, to be numbered.
+PARTS = 200
+
+
+def numbered(per: DataFrame, column: str) -> DataFrame:
+    """per with _i, the number from 0 of its row in the order of column (different in every row, nulls last). Rows are dealt out
+    by range; each part numbers its own, and the parts' counts are summed up."""
+    at = F.col(column).asc_nulls_last()
+    dealt = per.repartitionByRange(PARTS, at).sortWithinPartitions(at)
+    dealt = settle(dealt.withColumns({"_p": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    before, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in dealt.groupBy("_p").agg(F.count("*")).collect()):  # a row for each part
+        offsets += [F.lit(p), F.lit(before).cast("long")]
+        before += n
+    if not offsets:
+        return dealt.withColumn("_i", F.col("_n")).drop("_p", "_n")
+    return dealt.withColumn("_i", F.element_at(F.create_map(*offsets), F.col("_p")) + F.col("_n")).drop("_p", "_n")
+
+
 def budgets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
     """A row per source of (source, size): n, source_size, target.
 
     The budget is share * all sizes, dealt in proportion to weights (repeating over the sources by code point,
-    nulls last); no target exceeds cap * its source's size, the excess is dealt again by weight until none does.
-    That fixed point is found in one pass: sources saturate in order of cap / weight.
+    nulls last); no target exceeds cap * its source's size, the excess is dealt again by weight until none does. Sources
+    may be very many (hosts, say): each round is one aggregate over them, and the saturated ones only become more.
     """
     per = sizes.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
-    everything = Window.partitionBy()
-    per = per.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    per = numbered(per, "source")
     per = per.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int")))
-    per = per.withColumn("_cap", cap * F.col("source_size")).withColumn("_all", share * F.sum("source_size").over(everything))
-    before = Window.orderBy(F.col("_cap") / F.col("_w"), "_i").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    per = per.withColumn("_level", left / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    full = F.col("_cap") / F.col("_w") <= F.col("_level")
-    level = F.max(F.when(~full, F.col("_level"))).over(everything)
+    per = settle(per.withColumn("_cap", cap * F.col("source_size")))
+    everything = share * (per.agg(F.sum("source_size")).first()[0] or 0)
+    full, count, level = F.lit(False), -1, 0.0
+    while True:
+        some = per.agg(F.count_if(full), F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_w")))).first()
+        if some[0] == count:
+            break
+        count = some[0]
+        level = (everything - (some[1] or 0.0)) / some[2] if some[2] else float("inf")
+        full = F.col("_cap") / F.col("_w") <= level
     return per.select("source", "n", "source_size", F.when(full, F.col("_cap")).otherwise(level * F.col("_w")).alias("target"))
 
 
