@@ -1,10 +1,10 @@
 """Embedding near-duplicates by an index of nearest pivots.
 
-A vector is described by the set of its NEAREST nearest of a set of reference points (pivots); the order of
-their distances picks that set and is not used further. Inverted lists are kept for sets of SHARED pivots, so a list holds
-exactly the vectors that have those among their nearest, and two vectors meet if they share at least SHARED of them; how many
-they share says in which of their common lists the pair is taken up (the first), so each pair is verified once, by its
-cosine in double precision.
+A vector is described by its NEAREST nearest reference points (pivots), in the order of their distances: a prefix of its
+permutation of all pivots. Inverted lists are kept for sets of SHARED pivots; a vector is in the list of every such set of its
+own pivots whose ranks (from 0) add up to RANKS at most, since near ranks are the ones that a neighbour has, too, and far ones
+change places easily. Two vectors meet if they share SHARED pivots of such ranks in both; the least of their common sets says in
+which of their common lists the pair is taken up, so each pair is verified once, by its cosine in double precision.
 
 Vectors of different lengths have no cosine. Each of the SPACES most frequent lengths has pivots and lists of its own; the
 vectors of any other length form one list, so their search is exact.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import settle
 from .components import components, joined
 
-SAMPLE, NEAREST, SHARED, BLOCK = 4096, 8, 3, 1024
+SAMPLE, NEAREST, SHARED, RANKS, BLOCK = 4096, 10, 3, 11, 1024
 #: Lengths with pivots of their own; pivots at least and at most, and the number of vectors from which on they become more.
 SPACES, PIVOTS, PIVOTS_MOST, GROWTH = 16, 256, 2048, 1 << 18
 
@@ -71,8 +71,22 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
 
 
+def picks(m: int) -> np.ndarray:
+    """The sets of ranks, of m, whose pivots have lists."""
+    width = min(SHARED, m)
+    return np.array([c for c in itertools.combinations(range(m), width) if sum(c) <= RANKS], np.int64).reshape(-1, width)
+
+
+def packed(pivots: np.ndarray) -> np.ndarray:
+    """A number for each set of pivots (last axis)."""
+    key = np.zeros(pivots.shape[:-1], np.int64)
+    for c in np.moveaxis(np.sort(pivots, axis=-1), -1, 0):
+        key = key * PIVOTS_MOST + c
+    return key
+
+
 def _listed(pivots: dict[int, np.ndarray]):
-    """Nodes (node, embedding) to a row for each inverted list they are in: key, node, near (the pivots as bytes). pivots: by
+    """Nodes (node, embedding) to a row for each inverted list they are in: key, node, near (the ordered pivots as bytes). pivots: by
     vector length. A key holds the number of the length and SHARED pivots; for lengths without pivots it is minus the length."""
     order = {d: k for k, d in enumerate(sorted(pivots))}
 
@@ -90,12 +104,10 @@ def _listed(pivots: dict[int, np.ndarray]):
                     else:
                         x = flat[edge[own][:, None] + np.arange(d)].astype(np.float64)
                         m = min(NEAREST, len(pivots[d]))
-                        best = np.sort(np.argsort(-(_unit(x) @ pivots[d].T), axis=1, kind="stable")[:, :m].astype(np.uint16), axis=1)
-                        picks = np.array(list(itertools.combinations(range(m), min(SHARED, m))))
-                        keys = np.full((len(own), len(picks)), order[d], np.int64)
-                        for c in range(picks.shape[1]):
-                            keys = keys * PIVOTS_MOST + best[:, picks[:, c]]
-                        keys, rep, near = keys.ravel(), np.repeat(np.arange(len(own)), len(picks)), [r.tobytes() for r in best]
+                        best = np.argsort(-(_unit(x) @ pivots[d].T), axis=1, kind="stable")[:, :m].astype(np.uint16)
+                        sets = picks(m)
+                        keys = packed(best[:, sets].astype(np.int64)) + order[d] * PIVOTS_MOST ** sets.shape[1]
+                        keys, rep, near = keys.ravel(), np.repeat(np.arange(len(own)), len(sets)), [r.tobytes() for r in best]
                     rep = pa.array(rep)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), node.take(rep), pa.array(near, pa.binary()).take(rep)], names=["key", "node", "near"])
 
@@ -103,14 +115,20 @@ def _listed(pivots: dict[int, np.ndarray]):
 
 
 def taken_up(key: np.ndarray, near: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Of pairs (p, q) of members of the lists key[p], those for which that list is the first that both are in."""
-    width = min(SHARED, near.shape[1])
-    if not width:
+    """Of pairs (p, q) of members of the lists key[p], those for which that list is the first (of least key) that both are in."""
+    if not near.shape[1]:
         return np.ones(len(p), bool)
-    parts = np.stack([key[p] // PIVOTS_MOST ** (width - 1 - c) % PIVOTS_MOST for c in range(width)], 1)
-    both = (near[p][:, :, None] == near[q][:, None, :]).any(2)
-    first = both & (np.cumsum(both, 1) <= SHARED)
-    return (first & (near[p][:, :, None] == parts[:, None, :]).any(2)).sum(1) == width
+    sets = picks(near.shape[1])
+    own = key[p] % PIVOTS_MOST ** sets.shape[1]
+    out = np.ones(len(p), bool)
+    for s in range(0, len(p), 1 << 14):
+        e = slice(s, s + (1 << 14))
+        a = near[p[e]]
+        same = a[:, :, None] == near[q[e]][:, None, :]
+        rank = np.where(same.any(2), same.argmax(2), RANKS + 1)
+        for c in sets:  # whether a set of a lesser key is in both
+            out[e] &= ~((rank[:, c].sum(1) <= RANKS) & (packed(a[:, c].astype(np.int64)) < own[e]))
+    return out
 
 
 def unit_pairs(x: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
