@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, sent_if_small, settle
 
 #: Rows in one (source, key range) cell, at most, as expected.
-CELL_ROWS = 20_000
+CELL_ROWS = 5_000
 
 
 def sample_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:

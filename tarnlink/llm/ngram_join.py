@@ -434,12 +434,14 @@ def class_texts(docs: DataFrame, text_col: str, k: int, wanted: DataFrame) -> Da
 
 def cells(member: DataFrame, *also: str) -> DataFrame:
     """member (cls, n, root, ...) with blk: blocks of about BLOCK members of like size within each root (and the columns also).
-    Sizes are summed up in their order; a size with more than BLOCK members is dealt out by hash. No root is sorted by
-    one task: only its different sizes are."""
-    per = member.groupBy("root", *also, "n").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("root", *also).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    Sizes fall into bands of one part in a hundred; bands are summed up in their order, and a band with more than BLOCK members is
+    dealt out by hash. No root is sorted by one task: only its bands are, which are about 1,000 for sizes up to 20,000."""
+    member = member.withColumn("band", F.floor(F.ln("n") * 100))
+    per = member.groupBy("root", *also, "band").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("root", *also).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.withColumns({"base": F.floor(before / BLOCK), "ways": F.ceil(F.col("c") / BLOCK)}).drop("c")
-    return member.join(per, ["root", *also, "n"]).withColumn("blk", (F.col("base") + F.pmod(F.xxhash64("cls"), F.col("ways"))).cast("int")).drop("base", "ways")
+    place = (F.col("base") + F.pmod(F.xxhash64("cls"), F.col("ways"))).cast("int")
+    return member.join(per, ["root", *also, "band"]).withColumn("blk", place).drop("base", "ways", "band")
 
 
 def inside(member: DataFrame, duos: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -533,9 +535,11 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text_batches(docs.sparkSession)
     found = settle(near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den).filter("n_shingles > 0").select("doc_id", "class", "group"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
-    best = found.groupBy("group").agg(F.min(key).alias("best")).select(F.col("group").alias("_g"), "best")
+    best = found.groupBy("group").agg(F.min(key).alias("best"), F.count("*").alias("n")).filter("n > 1").select(F.col("group").alias("_g"), "best")
+    best = settle(best.select("_g", *[F.col(f"best.{c}").alias(f"_{c}") for c in ("none", "doc_id", "class")]))
     tagged, lost, of = fresh(docs, "_tag", "_lost", "_class")
-    beside = found.join(best, F.col("group") == F.col("_g")).filter(~key.eqNullSafe(F.col("best")))
+    first = F.struct(F.col("_none").alias("none"), F.col("_doc_id").alias("doc_id"), F.col("_class").alias("class"))
+    beside = found.join(sent_if_small(best), F.col("group") == F.col("_g")).filter(~key.eqNullSafe(first))
     beside = settle(beside.select(F.col("doc_id").alias(lost), F.col("class").alias(of)).distinct())
     at, names, schema = docs.columns.index(text_col), docs.columns, StructType([*docs.schema.fields]).add(tagged, "long")
 
