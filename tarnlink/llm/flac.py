@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import results, text_batches
+from .common import lean, results, text_batches
 from .wordhash import raw
 
 #: Samples in a block. 192 has a block-size code of its own (1).
@@ -544,7 +544,7 @@ def add_media(df: DataFrame, text_col: str, media_col: str = "media", bytes_col:
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(made, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, media_col, bytes_col])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (df.schema[i] for i in kept))
-    return df.mapInArrow(run, f"{schema}`{media_col}` binary, `{bytes_col}` long")
+    return df.mapInArrow(lean(run), f"{schema}`{media_col}` binary, `{bytes_col}` long")
 
 
 def _groups(sizes: np.ndarray, most: int = SLAB * BLOCK) -> Iterator[tuple[int, int]]:
@@ -573,7 +573,7 @@ def pcm_blocks(df: DataFrame, id_col: str, media_col: str = "media", per_block:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array([len(p) for p in pcm], pa.int32()), pa.array(pcm, pa.binary())], names=["id", "sample_offset", "samples", "pcm"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{media_col}`")).mapInArrow(run, f"id {kind}, sample_offset long, samples int, pcm binary")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{media_col}`")).mapInArrow(lean(run), f"id {kind}, sample_offset long, samples int, pcm binary")
 
 
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks int, last_offset long"
@@ -616,4 +616,4 @@ def features(df: DataFrame, keep: list[str], media_col: str = "media") -> DataFr
 
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     made = ", ".join(f"`{n}` {k}" for n, (_, k) in zip(names, kinds, strict=True))
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media_col}`")).mapInArrow(run, schema + made)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media_col}`")).mapInArrow(lean(run), schema + made)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import results, settle, text_batches
+from .common import lean, results, settle, text_batches
 
 #: Hashed trigrams (a power of two); distinct texts a language to cluster; centroids a language.
 DIM, SAMPLE, CENTROIDS = 1 << 13, 400, 3
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, train: Column, *, text_col: str = "text", lang_col: str
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1), pa.int32()), pa.array(df)], names=["g", "n"])
 
     df = np.zeros(DIM + 1)
-    for g, n in rows.select("text").mapInArrow(frequencies, "g int, n long").groupBy("g").agg(F.sum("n")).collect():
+    for g, n in rows.select("text").mapInArrow(lean(frequencies), "g int, n long").groupBy("g").agg(F.sum("n")).collect():
         df[g] = n
     idf = (np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1).astype(np.float32)
     hashed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, train: Column, *, text_col: str = "text", lang_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(val, pa.binary())], names=["lang", "h", "at", "val"])
 
     picked: dict[str, dict[int, np.ndarray]] = {}
-    for lang, h, at, val in hashed.filter(F.col("h") <= under).mapInArrow(vectors, "lang string, h long, at binary, val binary").dropDuplicates(["lang", "h"]).collect():
+    for lang, h, at, val in hashed.filter(F.col("h") <= under).mapInArrow(lean(vectors), "lang string, h long, at binary, val binary").dropDuplicates(["lang", "h"]).collect():
         x = np.zeros(DIM, np.float32)
         x[np.frombuffer(at, np.uint16)] = np.frombuffer(val, np.float32)
         if len(at):
@@ -174,4 +174,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64()), pa.array(far, pa.bool_())], names=[*keep, *names])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema + ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double", "boolean"), strict=True)))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(lean(run), schema + ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double", "boolean"), strict=True)))

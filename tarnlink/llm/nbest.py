@@ -38,7 +38,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import results, text_batches
+from .common import lean, results, text_batches
 from .wordhash import U, mix, powers, raw, slabs
 
 MARK = "▁"
@@ -391,7 +391,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     kinds = ("string" if digest else "array<int>", "int", "array<double>", "array<string>" if digest else "array<array<int>>", "boolean")
     made = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema + made)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(lean(run), schema + made)
 
 
 def decode(rows: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -406,4 +406,4 @@ def decode(rows: DataFrame, path: str, keep: list[str], ids_col: str = "ids") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*keep, name])
 
     schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids_col}`").alias("_ids")).mapInArrow(run, f"{schema}`{name}` string")
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids_col}`").alias("_ids")).mapInArrow(lean(run), f"{schema}`{name}` string")

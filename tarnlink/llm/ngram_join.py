@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, sent_if_small, settle, text_batches, text_bytes
+from .common import fresh, lean, sent_if_small, settle, text_batches, text_bytes
 from .components import components, joined
 from .wordhash import U, mix, raw, shingle_sets, slabs
 
@@ -332,11 +332,11 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     buckets = max(4, -(-size // BUCKET_BYTES))
     parts = min(max(4, buckets // 2), max(PARTS_MOST, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     hot = min(HOT, max(4, HELD // max(1, size // SLAB_BYTES)))
-    blobs = rows.mapInArrow(_dealt(buckets, parts, hot, k), _BLOBS)
-    blobs = blobs.repartition(parts, "part").mapInArrow(_by_bucket, _BLOBS).sortWithinPartitions("grp").mapInArrow(_counted(parts), _BLOBS)
-    blobs = blobs.repartition(parts, "part").mapInArrow(_by_slab, _BLOBS).sortWithinPartitions("grp")
+    blobs = rows.mapInArrow(lean(_dealt(buckets, parts, hot, k)), _BLOBS)
+    blobs = blobs.repartition(parts, "part").mapInArrow(lean(_by_bucket), _BLOBS).sortWithinPartitions("grp").mapInArrow(lean(_counted(parts)), _BLOBS)
+    blobs = blobs.repartition(parts, "part").mapInArrow(lean(_by_slab), _BLOBS).sortWithinPartitions("grp")
     fn, schema = _prefixes(num, den)
-    return settle(blobs.mapInArrow(fn, schema))
+    return settle(blobs.mapInArrow(lean(fn), schema))
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -428,7 +428,7 @@ def class_texts(docs: DataFrame, text_col: str, k: int, wanted: DataFrame) -> Da
             cls = [_class_of(s) for i, j in slabs(offsets) for s in shingle_sets(data, offsets[i : j + 1], k)]
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column(0)], names=["cls", "text"])
 
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "cls long, text string")
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lean(run), "cls long, text string")
     return rows.join(sent_if_small(wanted), "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
 
 
@@ -509,7 +509,7 @@ def links(docs: DataFrame, table: DataFrame, text_col: str, k: int, num: int, de
     wanted = settle(pairs.select(F.explode(F.array("u", "v")).alias("cls")).union(member.select("cls")).distinct())
     texts = settle(class_texts(docs, text_col, k, wanted))
     a, b = texts.select(F.col("cls").alias("u"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("v"), F.col("text").alias("tb"))
-    found = pairs.join(a, "u").join(b, "v").select("u", "v", "ta", "tb").mapInArrow(_verified(k, num, den), "u long, v long")
+    found = pairs.join(a, "u").join(b, "v").select("u", "v", "ta", "tb").mapInArrow(lean(_verified(k, num, den)), "u long, v long")
     if member.isEmpty():
         return found
     return family_links(member, settle(found), texts, k, num, den)
@@ -549,7 +549,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             cls = [_class_of(s) if len(s) else None for i, j in slabs(offsets) for s in shingle_sets(data, offsets[i : j + 1], k)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], names=[*names, tagged])
 
-    rows = docs.mapInArrow(tag, schema)
+    rows = docs.mapInArrow(lean(tag), schema)
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(lost)) & (F.col(tagged) == F.col(of))
     rows = rows.join(sent_if_small(beside), same, "left_anti")
     if found.groupBy("doc_id", "class").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():

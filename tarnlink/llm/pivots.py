@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lean, settle
 from .components import components, joined
 
 SAMPLE, NEAREST, SHARED, RANKS, BLOCK = 4096, 10, 3, 11, 1024
@@ -270,15 +270,15 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     if not chosen:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     lists, schema = _listed(chosen)
-    listed = classes.select("node", "embedding").mapInArrow(lists, schema)
+    listed = classes.select("node", "embedding").mapInArrow(lean(lists), schema)
     several = settle(listed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     listed = listed.join(several, "key")
     listed = listed.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pack, schema = _packed(kind)
-    packed = classes.select("node", "weight", "embedding").mapInArrow(pack, schema)
+    packed = classes.select("node", "weight", "embedding").mapInArrow(lean(pack), schema)
     listed = listed.join(packed, "node").select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "weight", "near", "vec")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = settle(listed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(threshold, kind), "u long, v long, n long"))
+    found = settle(listed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_linked(threshold, kind)), "u long, v long, n long"))
     counts = found.filter("v is null").groupBy(F.col("u").alias("_u")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("v is not null").select("u", "v"))
     per = classes.select("node", "weight", "least", "cls", "check").join(counts, F.col("node") == F.col("_u"), "left").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")

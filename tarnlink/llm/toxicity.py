@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import results, settle, text_batches
+from .common import lean, results, settle, text_batches
 from .wordhash import U, mix, powers, raw, slabs, words
 
 POSITIVE, NEGATIVE, VOCABULARY, BLOCK, NEIGHBOURS = 1500, 2500, 4096, 64, 15
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
                     n = np.diff(np.concatenate((edge, [len(term)])))
                     yield pa.RecordBatch.from_arrays([pa.array(term[edge].view(np.int64)), pa.array(pos), pa.array(n - pos)], names=["term", "pos", "neg"])
 
-    per = chosen.mapInArrow(count, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"))
+    per = chosen.mapInArrow(lean(count), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"))
     part = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
     p, q = F.col("p"), F.col("q")
     rate = (p + q) / (a + b)
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
             at, tf = (pa.array([v[k].astype(np.int32).tobytes() for v in found], pa.binary()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), at, tf], names=["id", "y", "at", "tf"])
 
-    told = chosen.select(F.col("id").cast("string").alias("id"), "t", "y").mapInArrow(tell, "id string, y int, at binary, tf binary").collect()
+    told = chosen.select(F.col("id").cast("string").alias("id"), "t", "y").mapInArrow(lean(tell), "id string, y int, at binary, tf binary").collect()
     sample = [(r["id"], r["y"], np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["tf"], np.int32)) for r in sorted(told, key=lambda r: r["id"])]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], names=["t", "n"])
 
     df = np.zeros(len(vocabulary) + 1)
-    for t, n in docs.select(F.col(f"`{text_col}`")).mapInArrow(spread, "t int, n long").groupBy("t").agg(F.sum("n")).collect():
+    for t, n in docs.select(F.col(f"`{text_col}`")).mapInArrow(lean(spread), "t int, n long").groupBy("t").agg(F.sum("n")).collect():
         df[t] = n
     return build(vocabulary, df[:-1], int(df[-1]), sample, (totals.get(0, b) / b, totals.get(1, a) / a))
 
@@ -269,7 +269,7 @@ def score(docs: DataFrame, index: Index | None, keep: list[str], text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(shown, kind)], names=[*keep, *names])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"{schema}`{names[0]}` double, `{names[1]}` array<struct<example: string, toxic: int, similarity: double>>")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(lean(run), f"{schema}`{names[0]}` double, `{names[1]}` array<struct<example: string, toxic: int, similarity: double>>")
 
 
 def without_toxic(docs: DataFrame, index: Index | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -286,4 +286,4 @@ def without_toxic(docs: DataFrame, index: Index | None, text_col: str = "text",
                     keep.append(index.calibrated(index.vote(terms_of, x)[0] if len(terms_of) else index.prior) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs if index is None else docs.mapInArrow(run, docs.schema)
+    return docs if index is None else docs.mapInArrow(lean(run), docs.schema)
