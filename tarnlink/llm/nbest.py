@@ -153,27 +153,34 @@ class Vocabulary:
                 out.append(self.pieces[i])
         return "".join(out).replace(MARK, " ")[1:]
 
-    def viterbi(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For words of one length (rows of code points): best score, runner-up's score, and for each position
-        the id (-1: unknown character) of the best path's piece that begins there, or -2."""
+    def found(self, cp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each size of pieces the pieces in the words cp: (size, word, position, number in the size's table)."""
         n, width = cp.shape
         h = np.zeros((n, width + 1), U)
-        s, ids = {}, {}
         for size in range(1, min(self.longest, width) + 1):
             h = h[:, : width - size + 1] * _P + cp[:, size - 1 :] + U(1)
-            keys, scores, names, bits, chars = self.tables[size]
-            s[size] = np.full(h.shape, self.low if size == 1 else -np.inf)
-            ids[size] = np.full(h.shape, -1, np.int64)
+            keys, _, _, bits, chars = self.tables[size]
             if not len(keys):
+                yield size, *[np.zeros(0, np.int64)] * 3
                 continue
             flat = h.ravel()
             maybe = np.flatnonzero(bits[(mix(flat) >> U(48)).astype(np.int64)])
             at = np.minimum(np.searchsorted(keys, flat[maybe]), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == flat[maybe])
             row, col = np.divmod(maybe[hit], h.shape[1])
-            hit = hit[(cp[row[:, None], col[:, None] + np.arange(size)] == chars[at[hit]]).all(1)]
-            s[size].ravel()[maybe[hit]] = scores[at[hit]]
-            ids[size].ravel()[maybe[hit]] = names[at[hit]]
+            same = (cp[row[:, None], col[:, None] + np.arange(size)] == chars[at[hit]]).all(1)
+            yield size, row[same], col[same], at[hit][same]
+
+    def viterbi(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words of one length (rows of code points): best score, runner-up's score, and for each position
+        the id (-1: unknown character) of the best path's piece that begins there, or -2."""
+        n, width = cp.shape
+        s, ids = {}, {}
+        for size, row, col, at in self.found(cp):
+            shape = n, width - size + 1
+            s[size] = np.full(shape, self.low if size == 1 else -np.inf)
+            ids[size] = np.full(shape, -1, np.int64)
+            s[size][row, col], ids[size][row, col] = self.tables[size][1][at], self.tables[size][2][at]
         fore, aft = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
         fore[0], aft[width], back = 0, 0, np.zeros((width + 1, n), np.int64)
         for j in range(1, width + 1):
@@ -200,8 +207,36 @@ class Vocabulary:
             second = np.maximum(second, np.where(on, -np.inf, over).max(1))
         return fore[width], second, path, begin
 
+    def long(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What viterbi() gives, for one long word: it is cut where no piece goes over the edge, so that the parts' lattices are
+        independent, and the parts are worked on side by side as far as they are short."""
+        width = cp.shape[1]
+        over = np.zeros(width + 1, np.int64)
+        for size, _, col, _ in self.found(cp):
+            np.add.at(over, col + 1, 1)
+            np.add.at(over, col + size, -1)
+        free = np.flatnonzero(np.cumsum(over)[1:width] == 0) + 1
+        edges, at = [0], 0
+        for e in [*free.tolist(), width]:  # parts of up to WIDE code points, if there are edges for that
+            if e - edges[-1] > WIDE and at > edges[-1]:
+                edges.append(at)
+            at = e
+        edges = np.array([*edges, width])
+        sizes = np.diff(edges)
+        best, gap = 0.0, np.inf
+        path, begin = np.full((1, width), -2, np.int64), np.zeros((1, width), np.int64)
+        for w in np.unique(sizes).tolist():
+            starts = edges[:-1][sizes == w]
+            step = max(1, (1 << 17) // w) if w <= WIDE else 1
+            for k in range(0, len(starts), step):
+                cells = starts[k : k + step, None] + np.arange(w)
+                first, second, own, begun = self.viterbi(cp[0][cells]) if w <= WIDE else self.walk(cp[0][cells])
+                best, gap = best + float(first.sum()), min(gap, float((first - second).min()))
+                path[0, cells], begin[0, cells] = own, begun
+        return np.array([best]), np.array([best - gap]), path, begin
+
     def walk(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What viterbi() gives, for one long word, position by position."""
+        """What viterbi() gives, for one long word, position by position: a run of characters that pieces chain together."""
         word = "".join(map(chr, cp[0].tolist()))
         width = len(word)
         first, start, score = array("q", [0]), array("q"), array("d")  # the edges that end at j: from first[j - 1] to first[j]
@@ -250,7 +285,7 @@ class Encoder:
             for k in range(0, len(own), step):
                 rows = own[k : k + step]
                 words = cp[starts[rows][:, None] + np.arange(width)].astype(U)
-                best[rows], second[rows], path, begin = self.v.viterbi(words) if width <= WIDE else self.v.walk(words)
+                best[rows], second[rows], path, begin = self.v.viterbi(words) if width <= WIDE else self.v.long(words)
                 i, j = np.nonzero(begin)
                 ids = path[i, j]
                 lost = ids == -1

@@ -545,3 +545,55 @@ def test_dense_families_are_not_squared(spark, monkeypatch):
     near(spark, texts, monkeypatch, 2, 8)
     blocks = len(texts) / 8
     assert sum(units) < 0.6 * blocks * (blocks + 1) / 2
+
+
+def test_kept_columns_of_the_same_names(spark):
+    """Kept columns named like results stay; the results get an underscore before their names."""
+    df = spark.createDataFrame([(1, "some text of a house", "en", 5), (2, None, "en", 6)], "score int, text string, lang string, ids int").withColumns({"findings": F.lit("f"), "lang_pred": F.lit("x")})
+    got = {r["score"]: r for r in nbest.encode(df, queries.PIECES, ["score", "ids"]).collect()}
+    assert got[1]["ids"] == 5 and len(got[1]["_ids"]) == got[1]["n_pieces"] > 0 and got[2]["_ids"] == []
+    got = {r["score"]: r for r in secrets.scan(df, ["score", "findings"]).collect()}
+    assert got[1]["findings"] == "f" and got[1]["_findings"] == []
+    model = langid.fit(df, F.lit(True))
+    got = {r["score"]: r for r in langid.predict(df, model, ["score", "lang_pred"]).collect()}
+    assert got[1]["lang_pred"] == "x" and got[1]["_lang_pred"] == "en" and got[2]["_lang_pred"] == "und" and got[2]["_score"] == 0
+    got = {r["score"]: r for r in toxicity.score(df, None, ["score"]).collect()}
+    assert got[1]["_score"] == 0.0 and got[1]["evidence"] == []
+
+
+def test_ids_that_are_texts(spark):
+    rows = [(f"d{i}", "worthless idiot words here" if i % 3 == 0 else f"plain text of number {'abcdefgh'[i % 8]}") for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(60)] + [(None, 1), ("d1", None)], "doc_id string, toxic int")
+    index = toxicity.fit(df, labels, F.lit(True))
+    assert len(index.ids) <= 60 and all(isinstance(i, str) for i in index.ids)  # a text an id, however often it stands there
+    got = toxicity.score(df, index, ["doc_id"]).collect()
+    assert all((r["score"] >= 0.7) == (int(r["doc_id"][1:]) % 3 == 0) for r in got) and any(r["evidence"] for r in got)
+    with pytest.raises(ValueError):
+        ngram_join.near_duplicates(df)
+
+
+def test_settled_folder_on_a_cluster():
+    from tarnlink.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+
+
+@pytest.mark.parametrize("word", ["漢字" * 300, "x" * 400, "漢" * 90 + "internationalization" * 12 + "字" * 200, "a漢" * 200, "📚" * 150 + "ab"])
+def test_long_words(word):
+    """Cut into independent parts or not: best score, runner-up and pieces are those of the walk over all of it."""
+    v = nbest.load(queries.PIECES)
+    cp = np.frombuffer(word.encode("utf-32-le"), np.uint32)[None].astype(nbest.U)
+    for a, b in zip(v.long(cp), v.walk(cp), strict=True):
+        assert np.allclose(a, b)
