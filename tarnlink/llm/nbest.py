@@ -46,7 +46,7 @@ UNKNOWN = 10.0
 #: Of the law that makes ranks probabilities.
 OFFSET = 100.0
 #: Code points worked on at once; words remembered between slabs.
-SLAB, KNOWN = 1 << 20, 200_000
+SLAB, KNOWN = 1 << 19, 100_000
 #: Code points of a word up to which words are scored side by side.
 WIDE = 128
 _P = U(0x9E3779B97F4A7C15)
@@ -227,7 +227,7 @@ class Vocabulary:
         path, begin = np.full((1, width), -2, np.int64), np.zeros((1, width), np.int64)
         for w in np.unique(sizes).tolist():
             starts = edges[:-1][sizes == w]
-            step = max(1, (1 << 17) // w) if w <= WIDE else 1
+            step = max(1, (1 << 15) // w) if w <= WIDE else 1
             for k in range(0, len(starts), step):
                 cells = starts[k : k + step, None] + np.arange(w)
                 first, second, own, begun = self.viterbi(cp[0][cells]) if w <= WIDE else self.walk(cp[0][cells])
@@ -281,7 +281,7 @@ class Encoder:
         pieces: list[tuple[np.ndarray, np.ndarray]] = []
         for width in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == width)
-            step = max(1, (1 << 17) // width) if width <= WIDE else 1
+            step = max(1, (1 << 15) // width) if width <= WIDE else 1
             for k in range(0, len(own), step):
                 rows = own[k : k + step]
                 words = cp[starts[rows][:, None] + np.arange(width)].astype(U)

@@ -44,7 +44,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slabs(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slabs(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `size` bytes in all; a longer text is a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
