@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 import tiktoken
