@@ -45,12 +45,13 @@ MARK = "▁"
 UNKNOWN = 10.0
 #: Of the law that makes ranks probabilities.
 OFFSET = 100.0
-#: Code points worked on at once; words remembered between slabs.
+#: Code points worked on at once; words remembered between slabs, after which those that the last two slabs didn't hold go.
 SLAB, KNOWN = 1 << 19, 100_000
 #: Code points of a word up to which words are scored side by side.
 WIDE = 128
 _P = U(0x9E3779B97F4A7C15)
 _models: dict = {}
+_encoders: dict = {}
 
 
 def load(path: str) -> Vocabulary:
@@ -65,6 +66,13 @@ def log_probabilities(scores: list[float]) -> list[float]:
     return np.log(p / p.sum()).tolist()
 
 
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder, which knows the words of the tasks before."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(load(path))
+    return _encoders[path]
+
+
 class Vocabulary:
     """Pieces of a model file, by text and, for numpy, by hash within each length."""
 
@@ -266,14 +274,25 @@ class Encoder:
     """Encodes batches of texts, remembering words."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.salt = v, 0
+        self.v, self.salt, self.slab = v, 0, 0
         self.forget()
 
     def forget(self) -> None:
         self.hash = np.zeros(0, U)
         self.best, self.second, self.count, self.first = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
-        self.chars, self.char, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars, self.char, self.size, self.last = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Forgets the words that the last two slabs didn't hold."""
+        keep = self.last >= self.slab - 2
+        for name in ("hash", "best", "second", "count", "first", "char", "size", "last"):
+            setattr(self, name, getattr(self, name)[keep])
+        for flat, first, count in (("flat", "first", "count"), ("chars", "char", "size")):
+            begin, n = getattr(self, first), getattr(self, count)
+            new = np.cumsum(n) - n
+            setattr(self, flat, getattr(self, flat)[np.repeat(begin - new, n) + np.arange(n.sum())])
+            setattr(self, first, new)
 
     def learn(self, hashes: np.ndarray, cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Scores the words (code points from starts on) under these hashes."""
@@ -307,7 +326,7 @@ class Encoder:
         char = np.cumsum(sizes) - sizes
         own = cp[np.repeat(starts - char, sizes) + np.arange(sizes.sum())]
         char, self.chars = char + len(self.chars), np.concatenate((self.chars, own))
-        for name, new in (("best", best), ("second", second), ("count", count), ("first", first), ("char", char), ("size", sizes)):
+        for name, new in (("best", best), ("second", second), ("count", count), ("first", first), ("char", char), ("size", sizes), ("last", np.full(len(sizes), self.slab))):
             setattr(self, name, np.concatenate((getattr(self, name), new))[order])
 
     def encode(self, texts: list[str], n: int) -> Iterator[tuple[list[np.ndarray], list[float]]]:
@@ -342,15 +361,18 @@ class Encoder:
             h = mix(np.add.reduceat(value * powers(int(lengths.max()) + 1)[rel], starts) + lengths.astype(U))
             known, at, inverse = np.unique(h, return_index=True, return_inverse=True)
             if len(self.hash) > KNOWN:
-                self.forget()
+                self.trim()
             new = ~np.isin(known, self.hash)
             if new.any():
                 self.learn(known[new], cp, starts[at[new]], lengths[at[new]])
-            word = np.searchsorted(self.hash, known)[inverse]
+            own = np.searchsorted(self.hash, known)
+            self.last[own] = self.slab
+            word = own[inverse]
             if (self.size[word] == lengths).all() and (self.chars[np.repeat(self.char[word], lengths) + rel] == cp).all():
                 break
             self.forget()  # two words of one hash: all again under other hashes
             self.salt += 1
+        self.slab += 1
         gap = self.best[word] - self.second[word]
         firsts = np.searchsorted(starts, edge)
         for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
@@ -396,8 +418,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
     names = results(keep, "ids_sha256" if digest else "ids", "n_pieces", "scores", "other_ids_sha256" if digest else "other_ids", "round_trip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = load(path)
-        encoder = Encoder(v)
+        encoder = encoder_of(path)
+        v = encoder.v
         texts_of = np.array([v.pieces[i].encode() if i not in v.byte else bytes([v.byte[i]]) for i in range(len(v.pieces))], object)
         for whole in batches:
             for i, j in slabs(raw(whole.column(len(keep)))[1], SLAB):  # small batches out, whatever comes in

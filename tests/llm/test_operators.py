@@ -597,3 +597,16 @@ def test_long_words(word):
     cp = np.frombuffer(word.encode("utf-32-le"), np.uint32)[None].astype(nbest.U)
     for a, b in zip(v.long(cp), v.walk(cp), strict=True):
         assert np.allclose(a, b)
+
+
+def test_words_that_are_forgotten(monkeypatch):
+    monkeypatch.setattr(nbest, "SLAB", 200)
+    monkeypatch.setattr(nbest, "KNOWN", 30)
+    v = nbest.load(queries.PIECES)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", "of", f"word{rng.randrange(500)}", "漢字"]) for _ in range(12)) for _ in range(120)]
+    encoder = nbest.Encoder(v)
+    for t, (ids, scores) in zip(texts, encoder.encode(texts, 3), strict=True):
+        (want, points), = nbest.Encoder(v).encode([t], 3)
+        assert [x.tolist() for x in ids] == [x.tolist() for x in want] and np.allclose(scores, points)
+    assert 0 < len(encoder.hash) < 120
