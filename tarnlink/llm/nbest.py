@@ -49,7 +49,7 @@ OFFSET = 100.0
 SLAB, KNOWN = 1 << 19, 100_000
 #: Code points of a word up to which words are scored side by side.
 WIDE = 128
-_P = U(0x9E3779B97F4A7C15)
+_P, _Q = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 _models: dict = {}
 _encoders: dict = {}
 
@@ -98,8 +98,8 @@ class Vocabulary:
             order = np.argsort(h)
             if len(np.unique(h)) < len(h):
                 raise ValueError("two pieces of one length have the same hash")
-            bits = np.zeros(1 << 16, bool)
-            bits[(mix(h) >> U(48)).astype(np.int64)] = True
+            bits = np.zeros(1 << 18, bool)
+            bits[(h * _Q >> U(46)).astype(np.int64)] = True
             self.tables[n] = (h[order], np.array([self.score[p][0] for p in own])[order], np.array([self.score[p][1] for p in own], np.int64)[order], bits, cp[order])
         self.segmentations = lru_cache(maxsize=10_000)(self._segmentations)
 
@@ -172,7 +172,7 @@ class Vocabulary:
                 yield size, *[np.zeros(0, np.int64)] * 3
                 continue
             flat = h.ravel()
-            maybe = np.flatnonzero(bits[(mix(flat) >> U(48)).astype(np.int64)])
+            maybe = np.flatnonzero(bits[(flat * _Q >> U(46)).astype(np.int64)])
             at = np.minimum(np.searchsorted(keys, flat[maybe]), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == flat[maybe])
             row, col = np.divmod(maybe[hit], h.shape[1])
@@ -183,37 +183,46 @@ class Vocabulary:
         """For words of one length (rows of code points): best score, runner-up's score, and for each position
         the id (-1: unknown character) of the best path's piece that begins there, or -2."""
         n, width = cp.shape
-        s, ids = {}, {}
+        s, ids, some = {}, {}, {}  # by size: scores and ids, a row for each position, and whether any word has a piece there
         for size, row, col, at in self.found(cp):
-            shape = n, width - size + 1
+            shape = width - size + 1, n
             s[size] = np.full(shape, self.low if size == 1 else -np.inf)
-            ids[size] = np.full(shape, -1, np.int64)
-            s[size][row, col], ids[size][row, col] = self.tables[size][1][at], self.tables[size][2][at]
+            ids[size] = np.full(shape, -1, np.int32)
+            s[size][col, row], ids[size][col, row] = self.tables[size][1][at], self.tables[size][2][at]
+            some[size] = np.bincount(col, minlength=shape[0]) > 0
+            if size == 1:
+                some[size][:] = True
         fore, aft = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
-        fore[0], aft[width], back = 0, 0, np.zeros((width + 1, n), np.int64)
+        fore[0], aft[width], back = 0, 0, np.zeros((width + 1, n), np.int8 if self.longest < 128 else np.int64)
+        c, better = np.empty(n), np.empty(n, bool)
         for j in range(1, width + 1):
             for size in range(1, min(self.longest, j) + 1):
-                c = fore[j - size] + s[size][:, j - size]
-                better = c > fore[j]
-                fore[j] = np.where(better, c, fore[j])
-                back[j] = np.where(better, size, back[j])
+                if some[size][j - size]:
+                    np.add(fore[j - size], s[size][j - size], out=c)
+                    np.greater(c, fore[j], out=better)
+                    np.copyto(fore[j], c, where=better)
+                    np.copyto(back[j], size, where=better)
         for i in range(width - 1, -1, -1):
             for size in range(1, min(self.longest, width - i) + 1):
-                np.maximum(aft[i], s[size][:, i] + aft[i + size], out=aft[i])
-        path, begin, rows = np.full((n, width), -2, np.int64), np.zeros((n, width), np.int64), np.arange(n)
+                if some[size][i]:
+                    np.add(s[size][i], aft[i + size], out=c)
+                    np.maximum(aft[i], c, out=aft[i])
+        path, begin, rows = np.full((width, n), -2, np.int64), np.zeros((width, n), np.int64), np.arange(n)
         at = np.full(n, width)
         while (live := at > 0).any():
             size = np.where(live, back[at, rows], 0)
             at = at - size
-            begin[rows[live], at[live]] = size[live]
+            begin[at[live], rows[live]] = size[live]
         second = np.full(n, -np.inf)
         for size, own in s.items():
-            span = width - size + 1
-            over = fore[:span].T + own + aft[size : size + span].T
-            on = begin[:, :span] == size
-            path[:, :span] = np.where(on, ids[size], path[:, :span])
-            second = np.maximum(second, np.where(on, -np.inf, over).max(1))
-        return fore[width], second, path, begin
+            for i in np.flatnonzero(some[size]).tolist():
+                on = begin[i] == size
+                np.copyto(path[i], ids[size][i], where=on)
+                np.add(fore[i], own[i], out=c)
+                np.add(c, aft[i + size], out=c)
+                np.copyto(c, -np.inf, where=on)
+                np.maximum(second, c, out=second)
+        return fore[width], second, path.T, begin.T
 
     def long(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What viterbi() gives, for one long word: it is cut where no piece goes over the edge, so that the parts' lattices are

@@ -476,11 +476,11 @@ def family_links(member: DataFrame, found: DataFrame, texts: DataFrame, k: int,
     heads = settle(rows.groupBy("root", "label").agg(F.min(F.struct("cls", "n")).alias("h")).select("root", "h.cls", "h.n"))
     some = settle(cells(heads))
     edges = edges.union(inside(some, duo(compatible(some, num, den)).union(some.select("root", F.col("blk").alias("i"), F.col("blk").alias("j")).distinct()), texts, k, num, den))
-    rows = labelled(edges)
+    rows = settle(labelled(edges))
     sizes = rows.groupBy("root", "label").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("root").agg(F.max(F.struct("m", "label"))["label"].alias("main"))
+    main = settle(sizes.groupBy("root").agg(F.max(F.struct("m", "label"))["label"].alias("main")))
     seen = heads.select("cls", F.lit(True).alias("head"))
-    rows = rows.join(main, "root").join(seen, "cls", "left").withColumn("state", F.when(F.col("label") == F.col("main"), 0).when(F.col("head").isNull(), 1).otherwise(2))
+    rows = rows.join(sent_if_small(main), "root").join(seen, "cls", "left").withColumn("state", F.when(F.col("label") == F.col("main"), 0).when(F.col("head").isNull(), 1).otherwise(2))
     # 0: in the largest component; 1, 2: outside it, 2 compared with the other heads already
     rows = settle(cells(rows.select("cls", "n", "root", "state"), "state").withColumn("blk", F.col("blk") * 3 + F.col("state")).select("cls", "n", "root", "state", "blk"))
     p, q = F.col("p.state"), F.col("q.state")
