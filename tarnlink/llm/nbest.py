@@ -114,9 +114,12 @@ class Vocabulary:
 
     def _alternatives(self, word: str, k: int) -> tuple[tuple[float, tuple[int, ...]], ...]:
         """The k best segmentations of word: (score, cut positions), by A* from the end."""
-        best = [0.0] + [-np.inf] * len(word)
+        best, held = [0.0] + [-np.inf] * len(word), {}
         for j in range(1, len(word) + 1):
-            best[j] = max(best[i] + s for i, s in self.edges(word, j))
+            into = tuple(self.edges(word, j))
+            best[j] = max([best[i] + s for i, s in into])
+            if j <= 1 << 12:  # of longer words edges are found again, not kept
+                held[j] = into
         # f, then the nearer to the beginning: where very many segmentations tie, the first are finished first
         heap, serial, out = [(round(-best[-1], 6), len(word), 0, 0.0, None)], 1, []
         while heap and len(out) < k:
@@ -128,7 +131,7 @@ class Vocabulary:
                     at = at[1]
                 out.append((g, tuple(cuts)))
                 continue
-            for i, s in self.edges(word, j):
+            for i, s in held.get(j) or self.edges(word, j):
                 heapq.heappush(heap, (round(-(best[i] + s + g), 6), i, serial, s + g, (j, tail)))
                 serial += 1
         return tuple(out)
