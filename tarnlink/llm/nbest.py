@@ -46,12 +46,11 @@ UNKNOWN = 10.0
 #: Of the law that makes ranks probabilities.
 OFFSET = 100.0
 #: Code points worked on at once; words remembered between slabs, after which those that the last two slabs didn't hold go.
-SLAB, KNOWN = 1 << 19, 100_000
+SLAB, KNOWN = 1 << 19, 150_000
 #: Code points of a word up to which words are scored side by side.
 WIDE = 128
 _P, _Q = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 _models: dict = {}
-_encoders: dict = {}
 
 
 def load(path: str) -> Vocabulary:
@@ -66,13 +65,6 @@ def log_probabilities(scores: list[float]) -> list[float]:
     return np.log(p / p.sum()).tolist()
 
 
-def encoder_of(path: str) -> Encoder:
-    """This worker's encoder, which knows the words of the tasks before."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(load(path))
-    return _encoders[path]
-
-
 class Vocabulary:
     """Pieces of a model file, by text and, for numpy, by hash within each length."""
 
@@ -430,8 +422,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
     names = results(keep, "ids_sha256" if digest else "ids", "n_pieces", "scores", "other_ids_sha256" if digest else "other_ids", "round_trip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
-        v = encoder.v
+        v = load(path)
+        encoder = Encoder(v)
         texts_of = np.array([v.pieces[i].encode() if i not in v.byte else bytes([v.byte[i]]) for i in range(len(v.pieces))], object)
         for whole in batches:
             for i, j in slabs(raw(whole.column(len(keep)))[1], SLAB):  # small batches out, whatever comes in
