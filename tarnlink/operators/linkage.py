@@ -53,21 +53,25 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     ratio = t / (2 - t)
     band = lambda c: F.floor(F.log(c) / -math.log(ratio) + 1e-9).cast("int") if ratio < 1 else c
     near = lambda c: F.explode(F.sequence(band(c) - 1, band(c) + 1)) if ratio < 1 else c
-    l, r = _grammed(left, t), _grammed(right, t)
+    l, r = (settle(_grammed(x, t).withColumn("id", F.monotonically_increasing_id())) for x in (left, right))
     counts = l.select(F.explode("grams").alias("g")).unionAll(r.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count("*").alias("c"))
 
     def rarest(df: DataFrame) -> DataFrame:
-        rows = df.select("block", "s", "len", "grams", "lack", "open", F.explode("grams").alias("g")).join(counts, "g")
-        rank = F.row_number().over(Window.partitionBy("block", "s").orderBy("c", "g"))
-        return rows.withColumn("_r", rank).filter(F.col("_r") <= F.col("lack") + 1).drop("_r", "c")
-
-    both = lambda df, tag, *more: df.select("block", *more, F.col("s").alias(tag), F.col("len").alias(f"{tag}_len"), F.col("grams").alias(f"{tag}_grams"), F.col("lack").alias(f"{tag}_lack"))
-    by_gram = both(rarest(l).withColumn("band", near(F.col("len"))), "a", "band", "g").join(both(rarest(r).withColumn("band", band(F.col("len"))), "b", "band", "g"), ["block", "band", "g"]).drop("g")
-    by_length = both(l.filter("open").withColumn("band", near(F.col("len"))), "a", "band").join(both(r.filter("open").withColumn("band", band(F.col("len"))), "b", "band"), ["block", "band"])
+        rows = df.select("id", "block", "len", "lack", F.explode("grams").alias("g")).join(counts, "g")
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "g"))
+        return rows.withColumn("_r", rank).filter(F.col("_r") <= F.col("lack") + 1)
+
+    def met(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+        x = x.select("block", near(F.col("len")).alias("band"), F.col("id").alias("u"), F.col("len").alias("m"), *on)
+        y = y.select("block", band(F.col("len")).alias("band"), F.col("id").alias("v"), F.col("len").alias("n"), *on)
+        return x.join(y, ["block", "band", *on]).filter(may_reach(F.col("m"), F.col("n"), threshold)).select("u", "v")
+
+    pairs = met(rarest(l), rarest(r), "g").union(met(l.filter("open"), r.filter("open"))).distinct()
+    side = lambda df, key, tag, *more: df.select(*more, F.col("id").alias(key), F.col("s").alias(tag), F.col("grams").alias(f"{tag}_grams"), F.col("lack").alias(f"{tag}_lack"))
+    rows = pairs.join(side(l, "u", "a", "block"), "u").join(side(r, "v", "b"), "v")
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
     enough = (shared >= F.size("a_grams") - F.col("a_lack")) & (shared >= F.size("b_grams") - F.col("b_lack"))
-    out = by_gram.unionByName(by_length).filter(may_reach(F.col("a_len"), F.col("b_len"), threshold)).filter(enough)
-    return out.select("block", "a", "b").distinct()
+    return rows.filter(enough).select("block", "a", "b")
 
 
 def _expanded(left: DataFrame, right: DataFrame, scored: DataFrame, key: list[str], n: int, apart: bool) -> DataFrame:
