@@ -33,6 +33,13 @@ def test_last_part(spark):
     assert one(spark, html, web.company_name) == "Acme Co"
 
 
+def test_references_end_in_a_semicolon(spark):
+    """A title cut within a reference stays as it is; whole references are resolved once."""
+    page = "<title>Erre*** und&amp;&&amp</title><h1>&lt;b&gt; &amp;lt; &eacute;&#39;&#x2019; &nosuch; &notit; &amp</h1>"
+    assert one(spark, page, web.title_name) == "Erre*** und&&&amp"
+    assert one(spark, page, web.heading) == "<b> &lt; \u00e9'\u2019 &nosuch; &notit; &amp"
+
+
 def test_ratio_golden(spark):
     pair = spark.createDataFrame([("kitten", "sitting"), ("acme pty ltd", "acme limited pty"), ("pty ltd acme", "acme ltd pty")], "a string, b string")
     got = pair.select(similarity.indel_ratio("a", "b"), similarity.token_sort_ratio(F.col("a"), F.col("b"))).collect()
