@@ -5,26 +5,32 @@ Both sides are (id, name), name in the form compared (functions.text.name_key).
 apart=True rows of the same id do not match, for a table that is linked with itself.
 
 Equal names are compared once, whatever the number of rows that have them, and only the smallest ids of a name take part on
-the right, since no other can win. Ratios are computed for pairs that can reach the threshold: an Indel ratio of t bounds how
-many of a name's bigrams the other name may lack, so names meet on the rarest of their bigrams (as many as may be lacking, and
-one), with lengths in neighbouring bands, and must share enough of them before they are scored. Two names that may lack all their
-bigrams, as at low thresholds, meet on lengths alone. Cosines are prefix-filtered alike: a row's terms by rising frequency, up to
-where the rest is too short a vector to reach the threshold. All of this is exact.
+the right, since no other can win. Blocks of names are dealt out in slabs, every left one with every right one, and a slab pair is
+one unit of work (operators.products) that holds no more than its two slabs and gives the n best of each left name. Slabs bound
+what a task holds; their numbers are bounded, so that what is exchanged grows with the input. Ratios are computed for pairs that
+have enough letters in common, cosines for pairs that share a term rare enough. All of this is exact; the number of pairs that
+are looked at (not held, not exchanged) still grows with the square of a block.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel_ratio, may_reach, tfidf
+from ..functions.similarity import tfidf
 from ..functions.text import block_key, token_sort
 from ..sources.files import settle
 from . import classify
 from .dedup import top
+from .products import best_cosines, best_ratios, rising
+
+#: Names in a left slab of a block at least, how many left slabs at most; names in a right slab.
+SLAB, SLABS, WIDE = 2048, 48, 1 << 15
+#: The same for vectors, of which all are one block.
+VECTORS, VECTOR_SLABS, VECTORS_WIDE = 100, 24, 1 << 16
 
 
 def _classes(df: DataFrame, block: int, least: int) -> DataFrame:
@@ -33,45 +39,24 @@ def _classes(df: DataFrame, block: int, least: int) -> DataFrame:
     return rows.filter("s <> ''")
 
 
-def _lacking(length: Column, t: float) -> Column:
-    """The most bigrams (with the edges as letters) of a name of this length that a name at ratio t or more may lack. With an
-    LCS of m, length - m letters go, breaking two bigrams each, and others come between, breaking one each."""
-    other = length * (t / (2 - t) if 1 - 1.5 * t < 0 else (2 - t) / t)
-    return F.floor(length * (2 - 1.5 * t) + other * (1 - 1.5 * t) + 1e-6)
-
-
-def _grammed(names: DataFrame, t: float) -> DataFrame:
-    """(block, s) with length, grams, the number lacking at most, and whether all may lack."""
-    edged = F.concat(F.lit("\u0002"), F.col("s"), F.lit("\u0003"))
-    out = names.select("block", "s", F.length("s").alias("len"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") + 1), lambda i: F.substr(edged, i, F.lit(2)))).alias("grams"))
-    return out.withColumn("lack", F.least(_lacking(F.col("len"), t), F.size("grams"))).withColumn("open", F.col("lack") >= F.size("grams"))
-
-
-def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (block, a, b) of names (block, s) of equal block that may reach the ratio."""
-    t = threshold / 100
-    ratio = t / (2 - t)
-    band = lambda c: F.floor(F.log(c) / -math.log(ratio) + 1e-9).cast("int") if ratio < 1 else c
-    near = lambda c: F.explode(F.sequence(band(c) - 1, band(c) + 1)) if ratio < 1 else c
-    l, r = (settle(_grammed(x, t).withColumn("id", F.monotonically_increasing_id())) for x in (left, right))
-    counts = l.select(F.explode("grams").alias("g")).unionAll(r.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count("*").alias("c"))
-
-    def rarest(df: DataFrame) -> DataFrame:
-        rows = df.select("id", "block", "len", "lack", F.explode("grams").alias("g")).join(counts, "g")
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "g"))
-        return rows.withColumn("_r", rank).filter(F.col("_r") <= F.col("lack") + 1)
+def _dealt(left: DataFrame, right: DataFrame, size: int, most: int, wide: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (block, s, ...) with _i and _j, their slabs, each row as often as the other side has slabs. Only blocks of more
+    than one slab are looked up: there are few."""
+    counts = lambda df, n: df.groupBy("block").agg(F.count("*").alias(n)).filter(F.col(n) > (size if n == "_l" else wide))
+    large = counts(left, "_l").join(counts(right, "_r"), "block", "full")
+    large = large.select("block", F.least(F.lit(most), F.ceil(F.coalesce("_l", F.lit(1)) / size)).cast("int").alias("_m"), F.ceil(F.coalesce("_r", F.lit(1)) / wide).cast("int").alias("_n"))
+    large = F.broadcast(settle(large))
+    own = lambda n: F.pmod(F.xxhash64("s"), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    l, r = left.join(large, "block", "left"), right.join(large, "block", "left")
+    return l.withColumn("_i", own("_m")).withColumn("_j", all_of("_n")).drop("_m", "_n"), r.withColumn("_j", own("_n")).withColumn("_i", all_of("_m")).drop("_m", "_n")
 
-    def met(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
-        x = x.select("block", near(F.col("len")).alias("band"), F.col("id").alias("u"), F.col("len").alias("m"), *on)
-        y = y.select("block", band(F.col("len")).alias("band"), F.col("id").alias("v"), F.col("len").alias("n"), *on)
-        return x.join(y, ["block", "band", *on]).filter(may_reach(F.col("m"), F.col("n"), threshold)).select("u", "v")
 
-    pairs = met(rarest(l), rarest(r), "g").union(met(l.filter("open"), r.filter("open"))).distinct()
-    side = lambda df, key, tag, *more: df.select(*more, F.col("id").alias(key), F.col("s").alias(tag), F.col("grams").alias(f"{tag}_grams"), F.col("lack").alias(f"{tag}_lack"))
-    rows = pairs.join(side(l, "u", "a", "block"), "u").join(side(r, "v", "b"), "v")
-    shared = F.size(F.array_intersect("a_grams", "b_grams"))
-    enough = (shared >= F.size("a_grams") - F.col("a_lack")) & (shared >= F.size("b_grams") - F.col("b_lack"))
-    return rows.filter(enough).select("block", "a", "b")
+def _met(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run on each two slabs (block, _i, _j) that meet."""
+    keys = ["block", "_i", "_j"]
+    right = right.toDF(*right.columns)  # columns of its own, where both sides come from one table
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def _expanded(left: DataFrame, right: DataFrame, scored: DataFrame, key: list[str], n: int, apart: bool) -> DataFrame:
@@ -86,10 +71,16 @@ def _expanded(left: DataFrame, right: DataFrame, scored: DataFrame, key: list[st
 
 
 def _by_ratio(left: DataFrame, right: DataFrame, threshold: float, n: int, block: int, least: int, apart: bool) -> DataFrame:
-    l, r = _classes(left, block, least), _classes(right, block, least)
-    pairs = candidates(l.select("block", "s").distinct(), r.select("block", "s").distinct(), threshold)
-    score = F.when(F.col("a") == F.col("b"), 100.0).otherwise(indel_ratio("a", "b"))
-    scored = pairs.select("block", "a", "b", score.alias("score")).filter(F.col("score") >= threshold)
+    l, r = settle(_classes(left, block, least)), settle(_classes(right, block, least))
+    held = n + 1 if apart else n
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.take(rising(b["least"]))
+        i, j, score = best_ratios(a["s"].to_pylist(), b["s"].to_pylist(), threshold, held)
+        return pa.table({"block": a["block"].take(i), "a": a["s"].take(i), "b": b["s"].take(j), "score": score})
+
+    names = l.select("block", "s").distinct(), r.groupBy("block", "s").agg(F.min("id").alias("least"))
+    scored = _met(*_dealt(*map(settle, names), SLAB, SLABS, WIDE), run, "block string, a string, b string, score double")
     return _expanded(l, r, scored, ["block"], n, apart)
 
 
@@ -125,20 +116,25 @@ def neighbours(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def cosine(left: DataFrame, right: DataFrame, *, threshold: float = 0.7, n: int = 1, grams: int = 1, max_df: float = 1.0, max_features: int | None = None, apart: bool = False) -> DataFrame:
-    """The n nearest right rows of each left row by TF-IDF cosine, fitted on both sides together. Names meet on the rarest of
-    their terms; nothing is made dense."""
-    l, r = (df.filter("name <> ''").select("id", F.col("name").alias("s")) for df in (left, right))
-    names = left.select("name").unionAll(right.select("name")).groupBy("name").agg(F.count("*").alias("times"))
-    w = settle(tfidf(names, F.col("name"), n=grams, max_df=max_df, max_features=max_features))
-    past = Window.partitionBy("name").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    first = w.withColumn("_rest", F.sum(F.col("weight") * F.col("weight")).over(past)).filter(F.col("_rest") >= (threshold - 1e-6) ** 2).select("name", "term")
-    a = first.join(l.select(F.col("s").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("a"), "term")
-    b = first.join(r.select(F.col("s").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("b"), "term")
-    pairs = a.join(b, "term").select("a", "b").distinct()
-    x = w.select(F.col("name").alias("a"), "term", F.col("weight").alias("_x"))
-    y = w.select(F.col("name").alias("b"), "term", F.col("weight").alias("_y"))
-    scored = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("_x") * F.col("_y")), 6).alias("score")).filter(F.col("score") >= threshold)
-    return _expanded(l, r, scored, [], n, apart)
+    """The n nearest right rows of each left row by TF-IDF cosine, fitted on both sides together. Names and terms go by number."""
+    left, right = settle(left.select("id", "name")), settle(right.select("id", "name"))
+    names = settle(left.select("name").unionAll(right.select("name")).groupBy("name").agg(F.count("*").alias("times")).withColumn("s", F.monotonically_increasing_id()))
+    l, r = (settle(df.filter("name <> ''").join(names, "name").select("id", "s")) for df in (left, right))
+    w = settle(tfidf(names.select(F.col("s").alias("name"), "times", F.col("name").alias("_text")), F.col("_text"), n=grams, max_df=max_df, max_features=max_features))
+    terms = settle(w.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
+    items = F.array_sort(F.collect_list(F.struct("df", "number", "weight")))
+    vectors = settle(w.join(terms, "term").groupBy(F.col("name").alias("s")).agg(items.alias("v")).select("s", F.col("v.number").alias("terms"), F.col("v.weight").alias("weights")))
+    held = n + 1 if apart else n
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.take(rising(b["least"]))
+        i, j, score = best_cosines(a, b, threshold, held)
+        return pa.table({"a": a["s"].take(i), "b": b["s"].take(j), "score": score})
+
+    one = F.lit(0).alias("block")
+    sides = l.select("s").distinct().join(vectors, "s").select(one, "*"), r.groupBy("s").agg(F.min("id").alias("least")).join(vectors, "s").select(one, "*")
+    scored = _met(*_dealt(*map(settle, sides), VECTORS, VECTOR_SLABS, VECTORS_WIDE), run, "a long, b long, score double")
+    return _expanded(l, r, scored.withColumn("score", F.round("score", 6)).filter(F.col("score") >= threshold), [], n, apart)
 
 
 def by_model(left: DataFrame, right: DataFrame, *, client: Callable[[str, str], str] = classify.rule_client, least: float = 0.2, n: int = 3, apart: bool = False) -> DataFrame:
@@ -153,6 +149,7 @@ def waterfall(left: DataFrame, right: DataFrame, *, client: Callable[[str, str],
     """Exact names first, then the best in the block, then the nearest by cosine, then what a language model takes for a match
     (none with client=None); each stage sees only left rows that the stages before left over, and is settled before the next.
     score is in 0..1, raw_score in the stage's own unit."""
+    left, right = settle(left), settle(right)
     held = top(right.filter("name <> ''"), ["name"], ["id"], 2 if apart else 1, "_i").select(F.col("id").alias("right_id"), "name")
     pairs = left.filter("name <> ''").select(F.col("id").alias("left_id"), "name").join(held, "name")
     if apart:
