@@ -31,6 +31,8 @@ from .products import best_cosines, best_ratios, rising
 SLAB, SLABS, WIDE = 2048, 48, 1 << 15
 #: The same for vectors, of which all are one block.
 VECTORS, VECTOR_SLABS, VECTORS_WIDE = 100, 24, 1 << 16
+#: Rows of a value up to which an equi-join meets them in one task.
+HOT = 2048
 
 
 def _classes(df: DataFrame, block: int, least: int) -> DataFrame:
@@ -94,16 +96,30 @@ def nested_loop(left: DataFrame, right: DataFrame, *, threshold: float = 85, n:
     return _by_ratio(left, right, threshold, n, 0, 1, apart)
 
 
+def _equal(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of left (its columns begin with l_) and right (r_) where a = b. Values of more than HOT rows on a side are dealt out
+    in parts of HOT rows, every left one with every right one: no task holds or writes all pairs of a value."""
+    l, r = left.filter(F.col(a).isNotNull()), right.filter(F.col(b).isNotNull())
+    many = lambda df, c, n: df.groupBy(F.col(c).alias("_value")).agg(F.count("*").alias(n))
+    hot = many(l, a, "_l").join(many(r, b, "_r"), "_value").filter(f"_l > {HOT} or _r > {HOT}")
+    hot = settle(hot.select("_value", F.ceil(F.col("_l") / HOT).cast("int").alias("_m"), F.ceil(F.col("_r") / HOT).cast("int").alias("_n"), F.monotonically_increasing_id().alias("_h")))
+    usual = l.join(F.broadcast(hot), F.col(a) == F.col("_value"), "left_anti").join(r, F.col(a) == F.col(b))
+    part = lambda df, c, own, other, count, copies: df.join(F.broadcast(hot), F.col(c) == F.col("_value")).withColumn(own, F.pmod(F.xxhash64(c[:2] + "id"), F.col(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop("_value", "_m", "_n")
+    dealt = part(l, a, "_i", "_j", "_m", "_n").join(part(r, b, "_j", "_i", "_n", "_m"), ["_h", "_i", "_j"]).drop("_h", "_i", "_j")
+    return usual.unionByName(dealt)
+
+
 def exact(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
-    """(left_id, right_id) of rows that agree on any of the key pairs: one equi-join a pair, then distinct."""
-    joins = [
-        left.filter(F.col(a).isNotNull()).alias("l").join(right.filter(F.col(b).isNotNull()).alias("r"), F.col(f"l.{a}") == F.col(f"r.{b}")).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
-        for a, b in keys
-    ]
-    out = joins[0]
-    for j in joins[1:]:
-        out = out.union(j)
-    return out.distinct()
+    """(left_id, right_id) of rows that agree on any of the key pairs, each once: an equi-join a pair of keys, without what an
+    earlier one has. Only where a side repeats ids are the pairs themselves compared."""
+    l, r = (settle(df.select(*[F.col(f"`{c}`").alias(f"{side}_{c}") for c in dict.fromkeys(["id", *[k[at] for k in keys]])])) for df, side, at in ((left, "l", 0), (right, "r", 1)))
+    out, before = None, F.lit(False)
+    for a, b in keys:
+        pairs = _equal(l, r, f"l_{a}", f"r_{b}").filter(~before).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
+        out = pairs if out is None else out.union(pairs)
+        before = before | F.coalesce(F.col(f"l_{a}") == F.col(f"r_{b}"), F.lit(False))
+    repeated = any(not df.groupBy(c).count().filter("count > 1").isEmpty() for df, c in ((l, "l_id"), (r, "r_id")))
+    return out.distinct() if repeated else out
 
 
 def neighbours(left: DataFrame, right: DataFrame) -> DataFrame:

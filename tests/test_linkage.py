@@ -94,3 +94,18 @@ def test_cosines_of_vectors():
             want += [(i, j, -s) for s, j in found if -s >= threshold][:n]
         i, j, score = products.best_cosines(left, right, threshold, n)
         assert sorted((a, b, round(s, 6)) for a, b, s in zip(i.tolist(), j.tolist(), score.tolist(), strict=True)) == sorted(want) and want
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_exact_pairs_are_not_gathered(spark, monkeypatch, repeated):
+    """Frequent values are met part by part; where ids are unique no step holds pairs."""
+    monkeypatch.setattr(linkage, "HOT", 4)
+    rng = random.Random(6)
+    make = lambda: [(i // (1 + repeated), rng.choice(["a", "a", "a", "b", "", None]), rng.choice(["p", "q", None, str(i)])) for i in range(40)]
+    left, right = make(), make()
+    a, b = (spark.createDataFrame(x, "id long, name string, code string") for x in (left, right))
+    out = linkage.exact(a, b, keys=[("name", "name"), ("id", "id"), ("code", "code")])
+    want = {(x[0], y[0]) for x in left for y in right if any(p is not None and p == q for p, q in ((x[1], y[1]), (x[0], y[0]), (x[2], y[2])))}
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got) == sorted(want)
+    assert repeated or "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
