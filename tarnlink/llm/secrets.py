@@ -9,8 +9,8 @@ author. Tokens of letters in one case alone (or with a capital) are taken from W
 A candidate's novelty is the number of bytes by which it lengthens the zstandard frame of its surroundings (without further
 copies of itself), over its length. Capitals throughout count as small letters, and numbers of up to four digits that stand
 between signs count nothing: neither tells a NAME_OF_THIS_KIND or a dated path from another. The compressor is primed with a trained dictionary: identifiers and prose of Python's own
-library and reference, and words of a bounded sample of the corpus (SAMPLE distinct texts, those with the smallest hashes;
-of their words the WORDS most frequent, in three of them or more). Its content makes known names cheap, and its entropy tables
+library and reference, and words of the corpus (counted over all its distinct texts; the WORDS most frequent that stand in three
+of them or more, since a dictionary has a size). Its content makes known names cheap, and its entropy tables
 price letters by how usual they are, so that unknown words cost little, too, and random strings nearly all their bytes.
 Candidates whose novelty reaches a threshold are reported as kind `novel`. The threshold is fitted: words that the dictionary has
 not seen, joined to names and paths, are set against random strings, and the cut with the fewest errors is taken. Base findings
@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, results, text_batches
+from .common import lean, results, sent_if_small, settle, text_batches
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -70,8 +70,8 @@ _WORD = re.compile("[A-Z]?(?:[a-z]+|[A-Z]+)")
 _NUMBER = re.compile("(?<![A-Za-z0-9])[0-9]{1,4}(?![A-Za-z0-9])[/_-]?")
 SIGNS = "+/_-"
 _GIVEN = re.compile(r"""["']?\s*[:=]""")
-#: Bounds of the fit: distinct texts, words kept of them, bytes of the dictionary.
-SAMPLE, WORDS, DICTIONARY = 2000, 20_000, 65_536
+#: The size of the model: words kept, bytes of the dictionary.
+WORDS, DICTIONARY = 20_000, 65_536
 LEVEL = 3
 
 
@@ -169,16 +169,21 @@ def learnt(words: tuple[str, ...]) -> Scanner:
     return Scanner(trained(lines, sorted({*words, *names})), calibrated(lines, list(words), names))
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Scanner:
-    """A scanner whose dictionary also knows the words of docs."""
-    hashed = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).filter("t is not null").select(F.xxhash64("t").alias("h"), "t")
-    least = [r["h"] for r in hashed.groupBy("h").agg(F.lit(1)).select("h").orderBy("h").limit(sample).collect()]
-    if not least:
-        return learnt(())
-    texts = hashed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.first("t").alias("t"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])([A-Za-z]{4,24})(?![A-Za-z0-9+/_=-])"), 1))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "w").limit(WORDS).collect()
-    return learnt(tuple(sorted(r["w"] for r in top)))
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, n): in how many distinct texts of docs, of all of them, each word stands. Texts are not exchanged, except one copy (a
+    task) of those that stand in several rows."""
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).filter("t is not null").select(F.xxhash64("t").alias("h"), "t")
+    repeated = sent_if_small(settle(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")))
+    once = rows.join(repeated, "h", "left_anti").select("t")
+    copies = rows.join(repeated, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")).select("t")
+    words = once.unionAll(copies).select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])([A-Za-z]{4,24})(?![A-Za-z0-9+/_=-])"), 1))).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Scanner:
+    """A scanner whose dictionary also knows the most frequent words of docs."""
+    top = settle(word_counts(docs, text_col).filter("n >= 3").orderBy(F.desc("n"), "w").limit(WORDS).select("w"))
+    return learnt(tuple(sorted(r["w"] for r in top.collect())))
 
 
 def base(text: str, low: str) -> list[tuple[int, int, int]]:

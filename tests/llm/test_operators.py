@@ -610,3 +610,11 @@ def test_words_that_are_forgotten(monkeypatch):
         (want, points), = nbest.Encoder(v).encode([t], 3)
         assert [x.tolist() for x in ids] == [x.tolist() for x in want] and np.allclose(scores, points)
     assert 0 < len(encoder.hash) < 120
+
+
+def test_words_of_all_texts_are_counted(spark):
+    """No sample: words count in every distinct text, copies of a text once."""
+    rows = [(f"text{'abcdefghij'[i % 10]} of number {i} common" + (" rareword" if i % 1000 == 7 else ""),) for i in range(5000)]
+    docs = spark.createDataFrame([*rows, *rows[:100], ("copied copied",), ("copied copied",), ("copied copied",), (None,)], "text string")
+    got = {r["w"]: r["n"] for r in secrets.word_counts(docs).collect()}
+    assert got["common"] == 5000 and got["rareword"] == 5 and got["copied"] == 1 and got["textj"] == 500
