@@ -618,3 +618,44 @@ def test_words_of_all_texts_are_counted(spark):
     docs = spark.createDataFrame([*rows, *rows[:100], ("copied copied",), ("copied copied",), ("copied copied",), (None,)], "text string")
     got = {r["w"]: r["n"] for r in secrets.word_counts(docs).collect()}
     assert got["common"] == 5000 and got["rareword"] == 5 and got["copied"] == 1 and got["textj"] == 500
+
+
+def labelled_texts(count, seed):
+    """(id, text, toxic): a tenth toxic; each toxic text has one of 200 words that no other has, all have some of the usual ones."""
+    rng, bad = random.Random(seed), random.Random(1)
+    words, rude = ([f"{p}{''.join(bad.choices('abcdefghiklmnop', k=7))}" for _ in range(200)] for p in "uz")
+    return [(i, " ".join([*rng.choices(words, k=8), *([rng.choice(rude)] if i % 10 == 0 else [])]), int(i % 10 == 0)) for i in range(count)]
+
+
+def toxic_frames(spark, rows):
+    return spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """With room for 40 examples by hash, words that these do not have count, all rows stand with an example, and shares are theirs."""
+    monkeypatch.setattr(toxicity, "POSITIVE", 15)
+    monkeypatch.setattr(toxicity, "NEGATIVE", 25)
+    rows = labelled_texts(18000, 3)
+    df, labels = toxic_frames(spark, rows)
+    index = toxicity.fit(df, labels, F.lit(True))
+    assert len(index.vocabulary) >= 200 and len(index.ids) <= 40 + len(index.vocabulary)
+    new = toxic_frames(spark, labelled_texts(1000, 4))[0]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(new, index, ["doc_id"]).collect()}
+    assert sum((s >= 0.7) == (i % 10 == 0) for i, s in got.items()) >= 980
+
+
+def test_toxicity_fit_as_at_hand(spark):
+    """The curve and the prior learnt over tables are those of the examples at hand where every row is one."""
+    import pyarrow as pa
+
+    rows = labelled_texts(1500, 5)
+    df, labels = toxic_frames(spark, rows)
+    index = toxicity.fit(df, labels, F.lit(True))
+    data, offsets = wordhash.raw(pa.array([t for _, t, _ in rows], pa.string()))
+    told = index.counts(data, offsets)
+    df = np.zeros(len(index.vocabulary))
+    for at, _ in told:
+        df[at] += 1
+    plain = toxicity.build(index.vocabulary, df, len(rows), [(str(i), y, *v) for (i, _, y), v in zip(rows, told, strict=True)], (1.0, 1.0))
+    assert plain.ids == index.ids and np.array_equal(plain.toxic, index.toxic) and len(index.ids) < len(rows)
+    assert np.allclose([plain.prior, plain.slope, plain.shift], [index.prior, index.slope, index.shift], atol=1e-3)
