@@ -8,7 +8,7 @@ Equal names are compared once, whatever the number of rows that have them, and o
 the right, since no other can win. Blocks of names are dealt out in slabs, every left one with every right one, and a slab pair is
 one unit of work (operators.products) that holds no more than its two slabs and gives the n best of each left name. Slabs bound
 what a task holds; their numbers are bounded, so that what is exchanged grows with the input. Ratios are computed for pairs that
-have enough letters in common, cosines for pairs that share a term rare enough. All of this is exact; the number of pairs that
+have enough letters in common, cosines for pairs of which enough is left from the rarest term that they share. All of this is exact; the number of pairs that
 are looked at (not held, not exchanged) still grows with the square of a block.
 """
 
@@ -29,8 +29,9 @@ from .products import best_cosines, best_ratios, rising
 
 #: Names in a left slab of a block at least, how many left slabs at most; names in a right slab.
 SLAB, SLABS, WIDE = 2048, 48, 1 << 15
-#: The same for vectors, of which all are one block.
-VECTORS, VECTOR_SLABS, VECTORS_WIDE = 100, 24, 1 << 16
+#: The same for vectors, of which all are one block; right slabs of more than VECTORS names up to which they are cut anyway, so
+#: that both sides go out in few copies, as many at all sizes up to VECTORS_WIDE names a slab.
+VECTORS, VECTOR_SLABS, VECTORS_WIDE, VECTORS_ACROSS = 100, 8, 1 << 17, 4
 #: Rows of a value up to which an equi-join meets them in one task.
 HOT = 2048
 
@@ -41,12 +42,14 @@ def _classes(df: DataFrame, block: int, least: int) -> DataFrame:
     return rows.filter("s <> ''")
 
 
-def _dealt(left: DataFrame, right: DataFrame, size: int, most: int, wide: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides (block, s, ...) with _i and _j, their slabs, each row as often as the other side has slabs. Only blocks of more
-    than one slab are looked up: there are few."""
-    counts = lambda df, n: df.groupBy("block").agg(F.count("*").alias(n)).filter(F.col(n) > (size if n == "_l" else wide))
-    large = counts(left, "_l").join(counts(right, "_r"), "block", "full")
-    large = large.select("block", F.least(F.lit(most), F.ceil(F.coalesce("_l", F.lit(1)) / size)).cast("int").alias("_m"), F.ceil(F.coalesce("_r", F.lit(1)) / wide).cast("int").alias("_n"))
+def _dealt(left: DataFrame, right: DataFrame, size: int, most: int, wide: int, across: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Both sides (block, s, ...) with _i and _j, their slabs, each row as often as the other side has slabs: slabs of size names,
+    but no more than most left and across right ones, unless they would hold over wide names. Only blocks of more than one slab
+    are looked up: there are few."""
+    counts = lambda df, n, least: df.groupBy("block").agg(F.count("*").alias(n)).filter(F.col(n) > least)
+    large = counts(left, "_l", size).join(counts(right, "_r", size if across > 1 else wide), "block", "full")
+    slabs = lambda n, most: F.greatest(F.least(F.lit(most), F.ceil(F.coalesce(n, F.lit(1)) / size)), F.ceil(F.coalesce(n, F.lit(1)) / wide)).cast("int")
+    large = large.select("block", slabs("_l", most).alias("_m"), slabs("_r", across).alias("_n"))
     large = F.broadcast(settle(large))
     own = lambda n: F.pmod(F.xxhash64("s"), F.coalesce(F.col(n), F.lit(1))).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
@@ -149,7 +152,7 @@ def cosine(left: DataFrame, right: DataFrame, *, threshold: float = 0.7, n: int
 
     one = F.lit(0).alias("block")
     sides = l.select("s").distinct().join(vectors, "s").select(one, "*"), r.groupBy("s").agg(F.min("id").alias("least")).join(vectors, "s").select(one, "*")
-    scored = _met(*_dealt(*map(settle, sides), VECTORS, VECTOR_SLABS, VECTORS_WIDE), run, "a long, b long, score double")
+    scored = _met(*_dealt(*map(settle, sides), VECTORS, VECTOR_SLABS, VECTORS_WIDE, VECTORS_ACROSS), run, "a long, b long, score double")
     return _expanded(l, r, scored.withColumn("score", F.round("score", 6)).filter(F.col("score") >= threshold), [], n, apart)
 
 

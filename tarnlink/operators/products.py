@@ -18,6 +18,10 @@ ROWS, COLS = 256, 8192
 OWN, SHARED, COPIES = 64, 32, 8
 WORDS = 16
 BATCH = 1 << 16
+#: Left vectors and their terms that are looked up together; pairs that are met, terms of right vectors that are added up
+#: together; the first bound, and its steps.
+QUERIES, ITEMS, PAIRS, ADDED = 256, 8192, 1 << 17, 1 << 20
+FIRST, FALL = 0.8, 0.8
 
 
 def rising(ids: pa.ChunkedArray) -> np.ndarray:
@@ -153,74 +157,110 @@ def _lists(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return pc.list_flatten(column).to_numpy().astype(kind), np.concatenate(([0], np.cumsum(sizes)))
 
 
+class _Postings:
+    """Right vectors by term; those of a term by falling length of what is left of them from that term on."""
+
+    def __init__(self, right: pa.Table):
+        terms, self.begins = _lists(right["terms"], "int64")
+        self.weights = _lists(right["weights"], "float64")[0]
+        self.sizes, self.total = np.diff(self.begins), len(self.begins) - 1
+        self.known, self.terms = np.unique(terms, return_inverse=True)
+        rest, after = _rests(self.weights, self.begins)
+        order = np.lexsort((-rest, self.terms))
+        self.row, self.weight, self.after = np.repeat(np.arange(self.total), self.sizes)[order], self.weights[order], after[order]
+        self.longest = float(rest.max()) if len(rest) else 1.0
+        self.key = self.terms[order] + 0.5 - 0.5 / self.longest * rest[order]
+        self.start = np.searchsorted(self.terms[order], np.arange(len(self.known) + 1))
+
+    def reach(self, terms: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """For each term the end of its postings with least or more left (a few more, for rounding)."""
+        at = np.searchsorted(self.key, terms + 0.5 - 0.5 / self.longest * np.minimum(least, 2 * self.longest) + 1e-9, "right")
+        return np.clip(at, self.start[terms], self.start[terms + 1])
+
+
+def _rests(weights: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item of a vector the length of the vector from it on, and behind it: never less than it is."""
+    sums = np.concatenate(([0.0], np.cumsum(weights * weights)))
+    whole = np.repeat(sums[begins[1:]], np.diff(begins))
+    return np.sqrt(np.maximum(whole - sums[:-1], 0) + 1e-9), np.sqrt(np.maximum(whole - sums[1:], 0) + 1e-9)
+
+
 def best_cosines(left: pa.Table, right: pa.Table, threshold: float, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, score) of the n best right vectors of each left one, by place, from threshold on (rounded to six digits);
     equal scores by place. Vectors have unit length at most: `terms` by rising frequency and `weights`.
 
-    A left vector's terms are taken one after the other, and the right vectors that have them are scored, until what is left of it
-    is too short to bring another one among the n best."""
-    (lt, la), (rt, ra) = _lists(left["terms"], "int64"), _lists(right["terms"], "int64")
-    lw, rw = _lists(left["weights"], "float64")[0], _lists(right["weights"], "float64")[0]
-    known, rt = np.unique(rt, return_inverse=True)
-    size, total = np.diff(ra), len(ra) - 1
-    by_term = np.argsort(rt, kind="stable")
-    posted, weight = np.repeat(np.arange(total), size)[by_term], rw[by_term]
-    begins = np.searchsorted(rt[by_term], np.arange(len(known) + 1))
-    place = np.searchsorted(known, lt)
-    there = known[np.minimum(place, max(0, len(known) - 1))] == lt if len(known) else np.zeros(len(lt), bool)
-    query, seen = np.zeros(len(known)), np.zeros(total, bool)
-    rows, cols, scores = [], [], []
-    least = threshold - 1e-6
-
-    def scored(at: np.ndarray) -> np.ndarray:
-        lengths = size[at]
-        ends = np.cumsum(lengths)
-        items = np.repeat(ra[at] - ends + lengths, lengths) + np.arange(ends[-1])
-        return np.add.reduceat(query[rt[items]] * rw[items], ends - lengths)
-
-    for i in range(len(la) - 1):
-        here = slice(la[i], la[i + 1])
-        t, w = place[here][there[here]], lw[here][there[here]]
-        if not len(t):
-            continue
-        rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
-        lists = begins[t + 1] - begins[t]
-        whole = int(lists.sum()) + total  # the work of scoring all right vectors
-        found, worth, bound, work = [], [], least, 0
-        query[t] = w
-        for k in range(len(t)):
-            if rest[k] < bound:
-                break
-            work += 16 * int(lists[k])
-            if work > whole:  # soon more than that of all
-                every = np.zeros(total)
-                for u, v in zip(t, w, strict=True):
-                    span = slice(begins[u], begins[u + 1])
-                    every[posted[span]] += v * weight[span]
-                at = np.flatnonzero(every >= bound)
-                for f in found:
-                    seen[f] = False
-                found, worth = [at], [every[at]]
-                break
-            at = posted[begins[t[k]] : begins[t[k] + 1]]
-            at = at[~seen[at]]
-            if not len(at):
+    Two vectors are worth no more than the product of what is left of both from the first term that they share: right vectors
+    are scored where that product reaches a bound, which falls by steps until it is the threshold or the n-th best so far."""
+    (lt, la), lw = _lists(left["terms"], "int64"), _lists(left["weights"], "float64")[0]
+    posts = _Postings(right)
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(posts.known) and len(lt):
+        place = np.minimum(np.searchsorted(posts.known, lt), len(posts.known) - 1)
+        there = posts.known[place] == lt
+        row, terms, lw = np.repeat(np.arange(len(la) - 1), np.diff(la))[there], place[there], lw[there]
+        la = np.searchsorted(row, np.arange(len(la)))
+        first = 0
+        while first < len(la) - 1:
+            last = min(first + QUERIES, max(first + 1, int(np.searchsorted(la, la[first] + ITEMS, "right")) - 1), len(la) - 1)
+            here = slice(la[first], la[last])
+            if la[last] > la[first]:
+                i, j, score = _nearest(la[first : last + 1] - la[first], terms[here], lw[here], posts, threshold - 1e-6, n)
+                kept.append((i + first, j, score))
+            first = last
+    return tuple(np.concatenate(p) for p in zip(*kept, strict=True))
+
+
+def _nearest(begins: np.ndarray, terms: np.ndarray, weights: np.ndarray, posts: _Postings, least: float, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best_cosines of a few left vectors."""
+    count = len(begins) - 1
+    row = np.repeat(np.arange(count), np.diff(begins))
+    rest, after = _rests(weights, begins)
+    own, column = np.unique(terms, return_inverse=True)
+    width = len(own) + 1
+    query = np.zeros((count, width))
+    query[row, column + 1] = weights
+    query = query.ravel()
+    columns = np.zeros(len(posts.known), np.int64)
+    columns[own] = np.arange(1, width)
+    bound, done = np.full(count, least), posts.start[terms]
+    i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    open_, level = np.bincount(row, minlength=count) > 0, FIRST
+
+    def scored(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        sizes = posts.sizes[c]
+        ends = np.cumsum(sizes)
+        items = np.repeat(posts.begins[c] - ends + sizes, sizes) + np.arange(ends[-1])
+        return np.add.reduceat(query[np.repeat(r * width, sizes) + columns[posts.terms[items]]] * posts.weights[items], ends - sizes)
+
+    while open_.any():
+        wanted = np.maximum(bound, level if level > max(least, 0.01) else least)
+        items = np.flatnonzero(open_[row])
+        ends = np.maximum(posts.reach(terms[items], wanted[row[items]] / rest[items]), done[items])
+        counts = ends - done[items]
+        upto = np.cumsum(counts)
+        found = [(i, j, score)]
+        for begin in range(0, int(upto[-1]), PAIRS):
+            at = np.arange(begin, min(begin + PAIRS, int(upto[-1])))
+            of = np.searchsorted(upto, at, "right")
+            item, post = items[of], ends[of] - upto[of] + at
+            worth = weights[item] * posts.weight[post] + after[item] * posts.after[post]
+            good = worth >= bound[row[item]]
+            r, c = row[item[good]], posts.row[post[good]]
+            if not len(r):
                 continue
-            seen[at] = True
-            found.append(at)
-            worth.append(scored(at))
-            values = np.concatenate(worth)
-            if len(values) >= n:
-                bound = max(bound, np.partition(values, len(values) - n)[len(values) - n] - 2e-6)
-        query[t] = 0
-        if not found:
-            continue
-        at, values = np.concatenate(found), np.concatenate(worth)
-        seen[at] = False
-        ok = values >= least
-        at, values = at[ok], values[ok]
-        keep = np.lexsort((at, -np.floor(values * 1e6 + 0.5)))[:n]
-        rows.append(np.full(len(keep), i)), cols.append(at[keep]), scores.append(values[keep])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+            for part in np.split(np.arange(len(r)), np.flatnonzero(np.diff(np.cumsum(posts.sizes[c]) // ADDED)) + 1):
+                value = scored(r[part], c[part])
+                part, value = part[value >= bound[r[part]]], value[value >= bound[r[part]]]
+                found.append((r[part], c[part], value))
+        done[items] = ends
+        i, j, score = (np.concatenate(p) for p in zip(*found, strict=True))
+        once = np.unique(i * posts.total + j, return_index=True)[1]  # found by every term that they share
+        once = once[firsts(i[once], j[once], np.floor(score[once] * 1e6 + 0.5), n)]
+        i, j, score = i[once], j[once], score[once]
+        full = np.flatnonzero(np.bincount(i, minlength=count) >= n)
+        lowest = np.full(count, np.inf)
+        np.minimum.at(lowest, i, score)
+        bound[full] = np.maximum(bound[full], lowest[full] - 2e-6)
+        open_ &= wanted > bound
+        level *= FALL
+    return i, j, score

@@ -1,6 +1,8 @@
 """Linkage by slabs: the same results however blocks are dealt out, and exchanges that grow with the rows, not with the pairs."""
 
 import random
+import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,55 @@ def test_exchanges_grow_with_rows(spark, match):
     assert written(spark, lambda: run(df, df).collect()) < 200 * 600
 
 
+def test_copies_do_not_grow(spark):
+    """Vectors go out in as many copies whatever their number."""
+    names = sentences(3000, 900, 8)
+    few, many = (spark.createDataFrame(list(enumerate(names[:n])), "id long, name string") for n in (800, 3000))
+    each = [written(spark, lambda df=df: linkage.cosine(df, df, apart=True).collect()) / n for df, n in ((few, 800), (many, 3000))]
+    assert each[1] < 1.2 * each[0]
+
+
+def vectors(names, known):
+    """Terms by rising frequency and weights, as linkage.cosine makes them."""
+    words = [re.findall(r"\w{2,}", t) for t in known]
+    df = {}
+    for w in words:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    number = {t: i for i, t in enumerate(df)}
+    terms, weights = [], []
+    for t in names:
+        items = sorted((df[x], number[x], w.count(x) * (np.log((1 + len(known)) / (1 + df[x])) + 1)) for w in [re.findall(r"\w{2,}", t)] for x in set(w))
+        terms.append([x for _, x, _ in items])
+        weights.append((lambda v: (v / np.sqrt((v * v).sum())).tolist())(np.array([x for _, _, x in items])))
+    return pa.table({"terms": pa.array(terms, pa.list_(pa.int64())), "weights": pa.array(weights, pa.list_(pa.float64()))})
+
+
+def test_cosines_work_by_batches(monkeypatch):
+    """Many left vectors are looked up by one call; bounds, batches and steps leave the results alone."""
+    names = sentences(700, 300, 9)
+    left, right = vectors(names[:500], names), vectors(names[200:], names)
+    calls = [0]
+    sys.setprofile(lambda _, event, __: calls.__setitem__(0, calls[0] + (event in ("call", "c_call"))))
+    try:
+        want = [products.best_cosines(left, right, threshold, n) for threshold, n in ((0.7, 2), (0.2, 4))]
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 10 * 500 and all(len(x[0]) >= 300 for x in want)
+    for name, value in (("QUERIES", 7), ("ITEMS", 30), ("PAIRS", 50), ("ADDED", 9)):
+        monkeypatch.setattr(products, name, value)
+    for (threshold, n), x in zip(((0.7, 2), (0.2, 4)), want, strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(products.best_cosines(left, right, threshold, n), x, strict=True))
+
+
+def test_vectors_without_shared_terms():
+    """Nothing in common, no items at all, one side empty."""
+    table = lambda terms: pa.table({"terms": pa.array(terms, pa.list_(pa.int64())), "weights": pa.array([[1.0] * len(t) for t in terms], pa.list_(pa.float64()))})
+    for left, right, want in (([[1], [], [7]], [[2], [7]], [(2, 1)]), ([[1]], [[2]], []), ([[1]], [], []), ([], [[1]], []), ([[], [3]], [[]], [])):
+        i, j, _ = products.best_cosines(table(left), table(right), 0.5, 2)
+        assert list(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
 @pytest.mark.parametrize("threshold, n, block", [(60, 2, 0), (85, 1, 2)])
 def test_slabs_do_not_matter(spark, monkeypatch, threshold, n, block):
     left, right = list(enumerate(made_names(80, 7))), list(enumerate(made_names(80, 8)))
