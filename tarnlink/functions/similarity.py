@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -65,20 +65,33 @@ def grams(c: Column, n: int) -> Column:
     return F.concat(t, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
-def tfidf(names: DataFrame, text: Column, *, n: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
-    """(name, term, df, weight) of distinct names (name, times), fitted on all of them as often as they stand: raw counts times
-    ln((1 + n) / (1 + df)) + 1, scaled to unit length by name.
+def term_counts(names: DataFrame, text: Column, n: int) -> DataFrame:
+    """(name, times, term, tf) of distinct names (name, times), without an exchange: the terms of a name are sorted where they are, and
+    each run of equal ones is counted."""
+    sorted_ = names.select("name", "times", F.array_sort(grams(text, n)).alias("_t"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: ~F.get("_t", i - 1).eqNullSafe(F.get("_t", i)))
+    run = lambda end, k: F.struct(F.get("_t", end - 1).alias("term"), (end - F.coalesce(F.get("_e", k - 1), F.lit(0))).alias("tf"))
+    return sorted_.withColumn("_e", ends).select("name", "times", F.explode(F.transform("_e", run)).alias("_x")).select("name", "times", "_x.*")
+
+
+def inverse_frequencies(counts: DataFrame, names: DataFrame, *, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """(term, idf, number) of term_counts, fitted on all names as often as they stand: ln((1 + n) / (1 + df)) + 1. Numbers rise with df;
+    they hold once the result is settled.
 
     max_df drops terms in more than that share of rows; max_features keeps the most frequent ones, ties by term."""
-    tf = names.select("name", "times", F.explode(grams(text, n)).alias("term")).groupBy("name", "times", "term").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("term").agg(F.sum("times").alias("df"), F.sum(F.col("tf") * F.col("times")).alias("total"))
+    terms = counts.groupBy("term").agg(F.sum("times").alias("df"), F.sum(F.col("tf") * F.col("times")).alias("total"))
     total = names.agg(F.sum("times").alias("n"))
     terms = terms.crossJoin(F.broadcast(total))  # one row
     if max_df < 1:
         terms = terms.filter(F.col("df") <= max_df * F.col("n"))
     if max_features:
         terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
-    idf = terms.select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("name")))
-    return w.select("name", "term", "df", (F.col("w") / norm).alias("weight"))
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    return terms.orderBy("df", "term").select("term", idf.alias("idf"), F.monotonically_increasing_id().alias("number"))
+
+
+def tfidf(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(name, terms, weights) of term_counts: the numbers of a name's terms, rising, and raw counts times idf, scaled to unit length."""
+    w = counts.join(idf, "term").select("name", "number", (F.col("tf") * F.col("idf")).alias("w")).repartition("name")  # rows are smaller than lists of one
+    v = w.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("number", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return v.select("name", F.col("v.number").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"))

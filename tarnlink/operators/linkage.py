@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import tfidf
+from ..functions.similarity import inverse_frequencies, term_counts, tfidf
 from ..functions.text import block_key, token_sort
 from ..sources.files import settle
 from . import classify
@@ -139,10 +139,9 @@ def cosine(left: DataFrame, right: DataFrame, *, threshold: float = 0.7, n: int
     left, right = settle(left.select("id", "name")), settle(right.select("id", "name"))
     names = settle(left.select("name").unionAll(right.select("name")).groupBy("name").agg(F.count("*").alias("times")).withColumn("s", F.monotonically_increasing_id()))
     l, r = (settle(df.filter("name <> ''").join(names, "name").select("id", "s")) for df in (left, right))
-    w = settle(tfidf(names.select(F.col("s").alias("name"), "times", F.col("name").alias("_text")), F.col("_text"), n=grams, max_df=max_df, max_features=max_features))
-    terms = settle(w.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
-    items = F.array_sort(F.collect_list(F.struct("df", "number", "weight")))
-    vectors = settle(w.join(terms, "term").groupBy(F.col("name").alias("s")).agg(items.alias("v")).select("s", F.col("v.number").alias("terms"), F.col("v.weight").alias("weights")))
+    counts = term_counts(names.select(F.col("s").alias("name"), "times", F.col("name").alias("_text")), F.col("_text"), grams)
+    idf = settle(inverse_frequencies(counts, names, max_df=max_df, max_features=max_features))
+    vectors = settle(tfidf(counts, idf).withColumnRenamed("name", "s"))
     held = n + 1 if apart else n
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:

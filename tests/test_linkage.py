@@ -3,13 +3,14 @@
 import random
 import re
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlink.functions.similarity import lcs_length
+from tarnlink.functions.similarity import lcs_length, term_counts
 from tarnlink.operators import linkage, products
 
 from .test_operators import made_names, plain_best
@@ -50,6 +51,25 @@ def test_copies_do_not_grow(spark):
     assert each[1] < 1.2 * each[0]
 
 
+def test_terms_are_counted_in_place(spark):
+    """No exchange counts the terms of a name: what is left counts them over all names, numbers them and gathers vectors."""
+    names = sentences(1500, 40_000, 11)
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    terms = sum(len(set(w) | set(zip(w, w[1:], strict=False))) for w in (re.findall(r"\w{2,}", t) for t in names))
+    assert written(spark, lambda: linkage.cosine(df, df, grams=2, apart=True).collect()) < 7 * terms
+
+
+def test_term_counts(spark):
+    names = ["a bb", "bb BB bb cc bb cc", "", " ", None, "é x_ é1 é1", "bb " * 3000 + "aa"]
+    df = spark.createDataFrame([(i, 2, t) for i, t in enumerate(names)], "name long, times long, t string")
+    for n in (1, 2):
+        want = []
+        for i, t in enumerate(names):
+            words = re.findall(r"\w{2,}", (t or "").lower())
+            want += [(i, 2, x, c) for x, c in Counter(words + [" ".join(p) for p in zip(words, words[1:], strict=False)] * (n - 1)).items()]
+        assert sorted(map(tuple, term_counts(df, F.col("t"), n).collect())) == sorted(want)
+
+
 def vectors(names, known):
     """Terms by rising frequency and weights, as linkage.cosine makes them."""
     words = [re.findall(r"\w{2,}", t) for t in known]
